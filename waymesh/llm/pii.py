@@ -50,7 +50,7 @@ def _any(*xs: str) -> str:
 
 
 _FAMILY = rf"{_CAP}(?:-{_CAP})*"
-_LOOSE = rf"{_WORD}(?:-{_WORD})*"
+_LOOSE = rf"[^\W\d_]{{2,}}(?:['’][^\W\d_]+)?(?:-{_WORD})*"
 # a whole name of unknown words, for contexts that leave no doubt; each goes with texts of which one must occur
 _NAME = rf"(?:{_INIT}|{_LOOSE})(?:{_SP}{_INIT})?{_SP}{_PART}{_LOOSE}"
 _BACK = rf"{_LOOSE},{_SP}(?:{_INIT}|{_LOOSE}(?:{_SP}{_INIT})?)"
@@ -134,7 +134,7 @@ _ADDRESSES = [
     # street with its kind in the word, number, code and town
     rf"{_B}(?:(?i:Am|An der|Im|In der|Zum|Zur)[ \t])?{_WORD}(?:-{_WORD})*(?i:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer)[ \t]\d{{1,4}}[a-z]?(?![\w])(?!\.\d| km| m\b| Min)(?:(?:{_NL}|[ \t])\d{{5}}[ \t]{_TOWN})?",
     # number before the kind of street
-    rf"{_B}\d{{1,4}}(?:[ \t]?(?:bis|ter|quater))?,?[ \t](?i:rue|avenue|av\.|bd|boulevard|chemin|place|allée|impasse|quai|route|cours)[ \t](?:(?i:de la|de l['’]|de|du|des|d['’]|la|le)[ \t]?)?{_WORD}(?:-{_WORD})*(?:(?:{_NL}|[ \t])\d{{5}}[ \t]{_TOWN})?",
+    rf"{_B}\d{{1,4}}[a-zA-Z]?(?:[ \t]?(?:bis|ter|quater))?,?[ \t](?i:rue|avenue|av\.|bd|boulevard|chemin|place|allée|impasse|quai|route|cours)[ \t](?:(?i:de la|de l['’]|de|du|des|d['’]|la|le)[ \t]?)?{_WORD}(?:-{_WORD})*(?:(?:{_NL}|[ \t])\d{{5}}[ \t]{_TOWN})?",
     # kind of street, name, number, floor
     rf"{_B}(?i:calle|c/|avda\.?|avenida|av\.|plaza|pza\.?|paseo|p\.º|camino|ronda|carrer)[ \t]?(?:(?i:de la|de los|de las|de|del)[ \t])?{_WORD}(?:[ \t]{_WORD})?,?[ \t](?:(?i:n\.º|nº|núm\.|n°)[ \t]?)?\d{{1,4}}[a-zA-Z]?(?![\w])(?:,[ \t]\d{{1,2}}\.?º(?:[ \t][A-Z](?!\w))?)?(?:(?:{_NL}|[ \t])\d{{5}}[ \t]{_TOWN})?",
 ]
@@ -169,6 +169,8 @@ def _compiled():
     }
 
 
+# unusual spaces and hyphens, one for one so that positions hold
+_SAME_LENGTH = {**dict.fromkeys(map(ord, "\u00a0\u2007\u2009\u202f\u3000"), " "), **dict.fromkeys(map(ord, "\u2010\u2011\u2012\u2013\u2212"), "-")}
 _STOP = frozenset("The This That What When Where Why How My Our Your His Her Its And But For From With Please Since Ticket Trip Way Number".split())
 _NO_FAMILY = frozenset("does line and the is was ist war fue und y et here verkehrt circule sale no ne hat".split())
 _CUES = ("@", "＠", " at ", "(at)", "[at]")
@@ -184,6 +186,7 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     rx = _compiled()
+    text = text.translate(_SAME_LENGTH)
     taken: list[tuple[int, int, str]] = []
 
     def add(kind: str, a: int, b: int) -> None:
