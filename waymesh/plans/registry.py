@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from waymesh.plans import graph_queries, problem_queries
+from waymesh.plans import graph_queries, problem_queries, relational_queries
 
-_MODULES = (problem_queries, graph_queries)
+_MODULES = (problem_queries, graph_queries, relational_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
