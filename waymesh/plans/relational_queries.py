@@ -226,9 +226,8 @@ def recursive_cte(spark, d):
 
 
 def lateral_join(spark, d):
-    n = table(spark, d, "nation")
-    o = table(spark, d, "customer")
-    return n.lateralJoin(o.filter(F.col("c_nationkey") == F.col("n_nationkey").outer()).agg(F.count(F.lit(1)).alias("customers"), F.max("c_custkey").alias("last"))).select("n_name", "customers", "last")
+    text = "SELECT n_name, customers, last FROM {n}, LATERAL (SELECT count(*) AS customers, max(c_custkey) AS last FROM {c} WHERE c_nationkey = n_nationkey)"
+    return spark.sql(text, n=table(spark, d, "nation"), c=table(spark, d, "customer"))
 
 
 def udf_jaro_winkler(spark, d):
