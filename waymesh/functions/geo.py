@@ -61,3 +61,84 @@ def tile_xy(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
     y = F.floor((1 - F.ln(F.tan(phi) + 1 / F.cos(phi)) / 3.141592653589793) / 2 * n)
     clamp = lambda c: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("bigint")
     return clamp(x), clamp(y)
+
+
+def distance_3d(flat_m: Column, ele1: Column, ele2: Column) -> Column:
+    """Distance with the difference of elevation; unknown or NaN elevations leave the flat distance."""
+    d = F.coalesce(F.nanvl(ele2 - ele1, F.lit(0.0)), F.lit(0.0))
+    return F.sqrt(flat_m * flat_m + d * d)
+
+
+def circumference_m(lat: Column) -> Column:
+    """Length of the parallel at a latitude."""
+    return 2 * 3.141592653589793 * MEAN_RADIUS_M * F.cos(F.radians(lat))
+
+
+def box_around(lat: Column, lon: Column, radius_m: Column) -> Column:
+    """struct(min_lat, max_lat, min_lon, max_lon) that holds the circle; not for circles over a pole."""
+    dlat = F.degrees(radius_m / MEAN_RADIUS_M)
+    dlon = dlat / F.cos(F.radians(lat))
+    return F.struct((lat - dlat).alias("min_lat"), (lat + dlat).alias("max_lat"), (lon - dlon).alias("min_lon"), (lon + dlon).alias("max_lon"))
+
+
+def segment_distance_m(lat: Column, lon: Column, lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
+    """Plane distance from a point to a segment."""
+    t = project_fraction(lat, lon, lat_a, lon_a, lat_b, lon_b)
+    return plane_distance_m(lat, lon, lat_a + (lat_b - lat_a) * t, lon_a + (lon_b - lon_a) * t)
+
+
+def crosses_date_line(lon1: Column, lon2: Column) -> Column:
+    return F.abs(lon1 - lon2) > 300
+
+
+def project(lat: Column, lon: Column, distance_m: Column, heading_deg: Column) -> Column:
+    """struct(lat, lon) reached from a point along a great circle."""
+    d, h, p = distance_m / MEAN_RADIUS_M, F.radians(heading_deg), F.radians(lat)
+    s = F.sin(p) * F.cos(d) + F.cos(p) * F.sin(d) * F.cos(h)
+    east = F.atan2(F.sin(h) * F.sin(d) * F.cos(p), F.cos(d) - F.sin(p) * s)
+    return F.struct(F.degrees(F.asin(s)).alias("lat"), (F.pmod(F.degrees(F.radians(lon) + east) + 180.0, F.lit(360.0)) - 180.0).alias("lon"))
+
+
+def between(lat1: Column, lon1: Column, lat2: Column, lon2: Column, share: Column) -> Column:
+    """struct(lat, lon) at a share of the great circle from point 1 to point 2."""
+    d = haversine_m(lat1, lon1, lat2, lon2, 1.0)
+    a = F.when(d == 0, 1.0 - share).otherwise(F.sin((1 - share) * d) / F.sin(d))
+    b = F.when(d == 0, share).otherwise(F.sin(share * d) / F.sin(d))
+    p1, l1, p2, l2 = F.radians(lat1), F.radians(lon1), F.radians(lat2), F.radians(lon2)
+    x = a * F.cos(p1) * F.cos(l1) + b * F.cos(p2) * F.cos(l2)
+    y = a * F.cos(p1) * F.sin(l1) + b * F.cos(p2) * F.sin(l2)
+    z = a * F.sin(p1) + b * F.sin(p2)
+    return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
+
+
+def line_length_m(points: Column) -> Column:
+    """Length of an array<struct<lat,lon>>."""
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(points) - 1)), F.lit(0.0), lambda acc, i: acc + F.coalesce(haversine_m(F.get(points, i - 1)["lat"], F.get(points, i - 1)["lon"], F.get(points, i)["lat"], F.get(points, i)["lon"]), F.lit(0.0)))
+
+
+def compass_point(azimuth: Column) -> Column:
+    """One of 16 directions."""
+    names = ("N", "NNE", "NE", "ENE", "E", "ESE", "SE", "SSE", "S", "SSW", "SW", "WSW", "W", "WNW", "NW", "NNW")
+    return F.element_at(F.array(*map(F.lit, names)), (F.floor((azimuth + 11.25) / 22.5) % 16).cast("int") + 1)
+
+
+def clockwise(x1: Column, y1: Column, x2: Column, y2: Column, x3: Column, y3: Column) -> Column:
+    """Whether three points turn to the right."""
+    return (x2 - x1) * (y3 - y1) - (y2 - y1) * (x3 - x1) < 0
+
+
+def coordinate_int(degrees: Column, factor: float = 1e7) -> Column:
+    """A coordinate as an integer, rounded."""
+    return F.round(degrees * factor).cast("bigint")
+
+
+def hilbert_key(x: Column, y: Column, order: int) -> Column:
+    """Position on a Hilbert curve of two non-negative integers below 2**order."""
+    key, px, py = F.lit(0).cast("bigint"), x.cast("bigint"), y.cast("bigint")
+    for i in range(order - 1, -1, -1):
+        rx, ry = F.shiftright(px, i).bitwiseAND(F.lit(1).cast("bigint")), F.shiftright(py, i).bitwiseAND(F.lit(1).cast("bigint"))
+        key = key + (F.lit(3) * rx).bitwiseXOR(ry.cast("bigint")) * (1 << (2 * i))
+        low = F.lit((1 << i) - 1).cast("bigint")
+        fx, fy = F.when((ry == 0) & (rx == 1), low - px.bitwiseAND(low)).otherwise(px.bitwiseAND(low)), F.when((ry == 0) & (rx == 1), low - py.bitwiseAND(low)).otherwise(py.bitwiseAND(low))
+        px, py = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
+    return key
