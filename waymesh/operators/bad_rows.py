@@ -156,45 +156,35 @@ def repair_columns(fields: list[str], columns: list[tuple]) -> tuple[int, list[s
 
     An inserted delimiter leaves a column empty, a deleted one joins a field
     to the one before.  Among repairs of equal number the one with fewest
-    unfit values holds.
+    unfit values holds.  A header without columns takes no repair.
     """
     n, m = len(fields), len(columns)
     if n == m:
         return 0, fields, []
     inf = (1 << 30, 0)
     best = [[inf] * (m + 1) for _ in range(n + 1)]
-    how: dict[tuple[int, int], str] = {}
+    how: dict[tuple[int, int], int] = {}  # number of fields that make the column
     best[0][0] = (0, 0)
-    unfit = [[value_error(f, c) is not None for c in columns] for f in fields]
     empty = [value_error("", c) is not None for c in columns]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            tries = []
-            if i and j:
-                c, u = best[i - 1][j - 1]
-                tries.append(((c, u + unfit[i - 1][j - 1]), "take"))
-            if j and (i or j > 1 or n == 0):
-                c, u = best[i][j - 1]
-                tries.append(((c + 1, u + empty[j - 1]), "insert"))
-            if i and j and i > 1:
-                c, u = best[i - 1][j]
-                tries.append(((c + 1, u + 1), "delete"))
-            for t, h in tries:
+    reach = n if n <= 60 else n - m + 1 if n > m else 1  # joins of long records are tried for all surplus fields at once
+    widths = range(1, reach + 1) if n <= 60 else {1, reach}
+    for j in range(1, m + 1):
+        for i in range(n + 1):
+            c, u = best[i][j - 1]
+            best[i][j], how[i, j] = (c + 1, u + empty[j - 1]), 0
+            for k in widths:
+                if k > i or best[i - k][j - 1] == inf:
+                    continue
+                c, u = best[i - k][j - 1]
+                t = (c + k - 1, u + (value_error(",".join(fields[i - k : i]), columns[j - 1]) is not None))
                 if t < best[i][j]:
-                    best[i][j], how[i, j] = t, h
-    i, j, values, edits = n, m, [""] * m, []
-    while (i, j) in how:
-        h = how[i, j]
-        if h == "take":
-            i, j = i - 1, j - 1
-            values[j] = fields[i] + values[j]
-        elif h == "insert":
-            j -= 1
-            edits.append(f"insert delimiter for column {j}")
-        else:
-            i -= 1
-            values[j - 1] = "," + fields[i] + values[j - 1]
-            edits.append(f"delete delimiter before field {i}")
+                    best[i][j], how[i, j] = t, k
+    i, values, edits = n, [""] * m, []
+    for j in range(m, 0, -1):
+        k = how[i, j]
+        values[j - 1] = ",".join(fields[i - k : i])
+        edits += [f"insert delimiter for column {j - 1}"] if not k else [f"delete delimiter before field {x}" for x in range(i - 1, i - k, -1)]
+        i -= k
     return best[n][m][0], values, edits[::-1]
 
 

@@ -136,8 +136,8 @@ def plan(stats: dict[str, Stat], lists: dict[str, int] | None = None) -> dict[st
     * A table is made of the root, of array items, and of object elements met
       under several parent elements (shared) or below themselves (recursive).
     * Other objects are inlined into their parent, scalars always.
-    * A short array of scalars whose length never differs (an interval, a pair)
-      is inlined as one column for each position.
+    * A member that is a short array of scalars whose length never differs (an
+      interval, a box) is inlined as one column for each position.
     * An element that is an object here and a scalar or array there is inlined
       as JSON text where it is not an object.
 
@@ -157,6 +157,8 @@ def plan(stats: dict[str, Stat], lists: dict[str, int] | None = None) -> dict[st
         if st and "array" in st.kinds and element(path) in lists:
             return True
         item = stats.get(path + "[]")
+        if path.endswith("[]"):  # rows of a matrix stay rows, also where all are equally long
+            return False
         return bool(st and st.kinds == {"array"} and 0 < st.shortest == st.longest <= 4 and item and not item.kinds & {"array", "object"})
 
     for p, st in stats.items():

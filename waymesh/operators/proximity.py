@@ -114,7 +114,7 @@ def containing_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
     """
     smallest = 0.25
     rings = F.transform("rings", _ring_sides)
-    outline = F.element_at("rings", 1)
+    outline = F.get("rings", F.lit(0))
     box = areas.filter(F.size("rings") >= 1).filter(F.size(outline) >= 3).select(
         "area_id", rings.alias("sides"),
         F.array_min(F.transform(outline, lambda p: p["lon"])).alias("x1"), F.array_max(F.transform(outline, lambda p: p["lon"])).alias("x2"),
@@ -132,7 +132,7 @@ def containing_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
     rows = rows.withColumn("cx", F.floor(F.col("lon") / size).cast("int")).withColumn("cy", F.floor(F.col("lat") / size).cast("int"))
     hit = rows.join(tiles, ["level", "cx", "cy"]).filter(F.col("lon").between(F.col("x1"), F.col("x2")) & F.col("lat").between(F.col("y1"), F.col("y2")))
     x, y = F.col("lon"), F.col("lat")
-    inside = _odd(F.element_at("sides", 1), x, y) & ~F.exists(F.slice("sides", 2, F.greatest(F.lit(1), F.size("sides"))), lambda s: _odd(s, x, y))
+    inside = _odd(F.get("sides", F.lit(0)), x, y) & ~F.exists(F.slice("sides", 2, F.greatest(F.lit(1), F.size("sides"))), lambda s: _odd(s, x, y))
     return hit.filter(inside).select("id", "area_id").distinct()
 
 
