@@ -28,6 +28,7 @@ def weak_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         up = hooked.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         nxt = cut(hooked.join(up, "c", "left").select("node", "was", F.least("c", F.coalesce("cc", F.col("c"))).alias("c")))
         if not nxt.filter("c <> was").head(1):
+            both.unpersist()
             return nxt.select("node", F.col("c").alias("component"))
         state = nxt.select("node", "c")
 

@@ -51,7 +51,7 @@ def salted_join(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int
     """
     hot = left.groupBy(*on).count().filter(F.col("count") > hot_rows).select(*on, F.ceil(F.col("count") / hot_rows).cast("int").alias("__n"))
     salts = F.coalesce(F.col("__n"), F.lit(1))
-    a = left.join(hot, on, "left").withColumn("__salt", F.floor(F.rand(7) * salts).cast("int")).drop("__n")
+    a = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("__n")
     b = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__n")
     return a.join(b, [*on, "__salt"]).drop("__salt")
 

@@ -82,7 +82,9 @@ def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, rou
         e = edges.withColumnRenamed("w", "ew")
         return fresh.join(e, fresh["node"] == e["base"]).select("source", F.col("adj").alias("node"), (F.col("w") + F.col("ew")).alias("w"), (F.col("hops") + 1).alias("hops"))
 
-    return relax(seeds, expand, ["source", "node"], ["hops"], F.col("w") <= limit if limit is not None else None, rounds)
+    out = relax(seeds, expand, ["source", "node"], ["hops"], F.col("w") <= limit if limit is not None else None, rounds)
+    edges.unpersist()
+    return out
 
 
 def turn_search(edges: DataFrame, sources: DataFrame, turns: DataFrame, u_turn_cost: int | None = None) -> DataFrame:
@@ -103,7 +105,10 @@ def turn_search(edges: DataFrame, sources: DataFrame, turns: DataFrame, u_turn_c
         turn = F.when(F.col("edge") == F.col("next"), F.lit(u_turn_cost).cast("bigint")).when(F.col("cost") < 0, None).otherwise(F.coalesce("cost", F.lit(0)))
         return got.withColumn("t", turn).filter("t is not null").select("source", F.col("next").alias("edge"), F.col("to").alias("node"), (F.col("w") + F.col("ew") + F.col("t")).alias("w"))
 
-    return relax(start, expand, ["source", "edge", "node"])
+    out = relax(start, expand, ["source", "edge", "node"])
+    edges.unpersist()
+    turns.unpersist()
+    return out
 
 
 def parents(labels: DataFrame, edges: DataFrame) -> DataFrame:
