@@ -133,12 +133,24 @@ def coordinate_int(degrees: Column, factor: float = 1e7) -> Column:
 
 
 def hilbert_key(x: Column, y: Column, order: int) -> Column:
-    """Position on a Hilbert curve of two non-negative integers below 2**order."""
-    key, px, py = F.lit(0).cast("bigint"), x.cast("bigint"), y.cast("bigint")
-    for i in range(order - 1, -1, -1):
-        rx, ry = F.shiftright(px, i).bitwiseAND(F.lit(1).cast("bigint")), F.shiftright(py, i).bitwiseAND(F.lit(1).cast("bigint"))
-        key = key + (F.lit(3) * rx).bitwiseXOR(ry.cast("bigint")) * (1 << (2 * i))
-        low = F.lit((1 << i) - 1).cast("bigint")
-        fx, fy = F.when((ry == 0) & (rx == 1), low - px.bitwiseAND(low)).otherwise(px.bitwiseAND(low)), F.when((ry == 0) & (rx == 1), low - py.bitwiseAND(low)).otherwise(py.bitwiseAND(low))
-        px, py = F.when(ry == 0, fy).otherwise(fx), F.when(ry == 0, fx).otherwise(fy)
-    return key
+    """Position on a Hilbert curve of two non-negative integers below 2**order.
+
+    A fold over the bits, highest first: written out as one expression it
+    would double with each bit.
+    """
+    one = F.lit(1).cast("bigint")
+    start = F.struct(F.lit(0).cast("bigint").alias("key"), x.cast("bigint").alias("px"), y.cast("bigint").alias("py"))
+
+    def step(acc: Column, bit: Column) -> Column:
+        rx, ry = F.call_function("shiftright", acc["px"], bit).bitwiseAND(one), F.call_function("shiftright", acc["py"], bit).bitwiseAND(one)
+        side = F.call_function("shiftleft", one, bit)
+        low = side - 1
+        turn = (ry == 0) & (rx == 1)
+        px = F.when(turn, low - acc["px"].bitwiseAND(low)).otherwise(acc["px"].bitwiseAND(low))
+        py = F.when(turn, low - acc["py"].bitwiseAND(low)).otherwise(acc["py"].bitwiseAND(low))
+        return F.struct(
+            (acc["key"] + (rx * 3).bitwiseXOR(ry) * side * side).alias("key"),
+            F.when(ry == 0, py).otherwise(px).alias("px"), F.when(ry == 0, px).otherwise(py).alias("py"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(order - 1), F.lit(0)), start, step)["key"]
