@@ -160,10 +160,57 @@ judged AS (SELECT r.file, r.field, r.feed_id, r.source_file_line, r.key, r.tm, c
 found AS (SELECT DISTINCT feed_id, file, source_file_line, field, key AS affected_entity_id, CASE WHEN n = 0 THEN 'missing' WHEN later THEN 'late' ELSE 'deleted' END AS kind, strftime(tm, '%Y-%m') AS period FROM judged WHERE NOT valid)
 """
 
+_P2_COLUMNS = ", ".join(
+    f"('{file}', '{name}', '{kind}', {str(need).lower()}, {low if low is not None else 'NULL'}, {high if high is not None else 'NULL'})" for file, cols in bad_rows.FILES.items() for name, (kind, need, low, high) in cols.items()
+)
+
+_FIELD = r'("([^"]|"")*"|[^",]*)'
+_P2 = rf"""
+WITH spec(file, field, kind, need, low, high) AS (VALUES {_P2_COLUMNS}),
+lines AS (SELECT DISTINCT feed_id, file, line, regexp_replace(regexp_replace(raw, '^\x{{FEFF}}', ''), '\r$', '') AS raw FROM gtfs_lines),
+heads AS (SELECT feed_id, file, list_transform(string_split(raw, ','), lambda x: trim(replace(x, '"', ''))) AS names FROM lines WHERE line = 1),
+body AS (SELECT l.*, names, regexp_full_match(raw, '(?s){_FIELD}(,{_FIELD})*') AS ok FROM lines l JOIN heads h ON h.feed_id = l.feed_id AND h.file = l.file WHERE line > 1),
+cut AS (SELECT *, CASE WHEN ok THEN regexp_extract_all(',' || raw, '(?s),{_FIELD}', 1) END AS parts FROM body),
+cells AS (SELECT feed_id, file, line, names[i] AS field, i, trim(CASE WHEN starts_with(parts[i], '"') THEN replace(substr(parts[i], 2, length(parts[i]) - 2), '""', '"') ELSE parts[i] END) AS v
+  FROM cut, range(1, 20) t(i) WHERE ok AND len(parts) = len(names) AND i <= len(names)),
+judged AS (SELECT c.*, CASE WHEN v = '' THEN CASE WHEN need THEN 'EmptyFieldError' END
+  WHEN kind IN ('int', 'double') THEN CASE WHEN NOT regexp_full_match(v, CASE kind WHEN 'int' THEN '[+-]?[0-9]+' ELSE '[+-]?[0-9]+([.][0-9]+)?' END) THEN 'NumberParseError' WHEN NOT (CAST(v AS DOUBLE) BETWEEN low AND high) THEN 'RangeError' END
+  WHEN kind = 'time' THEN CASE WHEN NOT regexp_full_match(v, '[0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}') THEN 'TimeParseError' WHEN CAST(string_split(v, ':')[1] AS INTEGER) > 72 OR CAST(string_split(v, ':')[2] AS INTEGER) > 59 OR CAST(string_split(v, ':')[3] AS INTEGER) > 59 THEN 'RangeError' END
+  WHEN kind = 'date' THEN CASE WHEN NOT regexp_full_match(v, '[0-9]{{8}}') OR try_strptime(v, '%Y%m%d') IS NULL THEN 'DateParseError' WHEN CAST(substr(v, 1, 4) AS INTEGER) NOT BETWEEN 2000 AND 2100 THEN 'RangeError' END
+  WHEN kind = 'url' THEN CASE WHEN NOT regexp_full_match(v, 'https?://[^/?#: ]*[^/?#: .][.][^/?#: .][^/?#: ]*([:/?#].*)?') THEN 'URLParseError' END END AS why
+  FROM cells c LEFT JOIN spec s ON s.file = c.file AND s.field = c.field)
+SELECT feed_id, file, line, '' AS field, 'QuotingError' AS error_type FROM cut WHERE NOT ok
+UNION SELECT feed_id, file, line, '', 'ColumnCountError' FROM cut WHERE ok AND len(parts) <> len(names)
+UNION SELECT feed_id, file, line, arg_min(field, i), arg_min(why, i) FROM judged WHERE why IS NOT NULL GROUP BY 1, 2, 3
+"""
+
+
+def _bits(part: str) -> str:
+    u = f"list_sum(list_transform(range(length({part})), lambda k: ((ascii(substr({part}, CAST(k + 1 AS INTEGER), 1)) - 63) & 31) * CAST(pow(32, k) AS BIGINT)))"
+    return f"(CASE WHEN CAST({u} AS BIGINT) % 2 = 1 THEN -(CAST({u} AS BIGINT) // 2) - 1 ELSE CAST({u} AS BIGINT) // 2 END) / 1e5"
+
+
+_ONE = "^([_-~]*[?-^])([_-~]*[?-^])$"
+_P5 = f"""
+WITH raw AS (SELECT DISTINCT location_id AS id, coordinates AS c, snapped_waypoints AS s, coordinate AS p FROM locations),
+pos AS (SELECT id, CASE WHEN c IS NOT NULL THEN c[2] WHEN s IS NOT NULL THEN CASE WHEN regexp_matches(s, '{_ONE}') THEN {_bits(f"regexp_extract(s, '{_ONE}', 1)")} END ELSE p.lat END AS lat,
+  CASE WHEN c IS NOT NULL THEN c[1] WHEN s IS NOT NULL THEN CASE WHEN regexp_matches(s, '{_ONE}') THEN {_bits(f"regexp_extract(s, '{_ONE}', 2)")} END ELSE p.lon END AS lon FROM raw),
+ok AS (SELECT * FROM pos WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)),
+cells AS (SELECT *, CAST(floor(lat * 1000) AS BIGINT) AS band FROM ok), look AS (SELECT id, lat, lon, band + d AS band FROM cells, (SELECT unnest([-1, 0, 1]) AS d)),
+near AS (SELECT a.id AS x, b.id AS y FROM look a JOIN cells b ON a.band = b.band AND a.id < b.id AND 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30),
+ring AS (SELECT area_id, r, rings[r] AS pts FROM areas, range(1, 10) t(r) WHERE r <= len(rings)), side AS (SELECT area_id, r, pts[i] AS a, pts[i % len(pts) + 1] AS b FROM ring, range(1, 200) t(i) WHERE i <= len(pts)),
+box AS (SELECT area_id, min(a.lon) AS x1, max(a.lon) AS x2, min(a.lat) AS y1, max(a.lat) AS y2 FROM side GROUP BY 1), hit AS (SELECT id, lat, lon, area_id FROM ok JOIN box ON lon BETWEEN x1 AND x2 AND lat BETWEEN y1 AND y2),
+odd AS (SELECT id, h.area_id, r, count(*) FILTER (WHERE (a.lat > h.lat) <> (b.lat > h.lat) AND h.lon < (b.lon - a.lon) * (h.lat - a.lat) / (b.lat - a.lat) + a.lon) % 2 = 1 AS odd FROM hit h JOIN side s ON s.area_id = h.area_id GROUP BY ALL)
+SELECT 'near' AS relation, x AS location_id, CAST(y AS VARCHAR) AS other_id FROM near
+UNION ALL SELECT 'inside', id, area_id FROM odd GROUP BY id, area_id HAVING bool_or(odd AND r = 1) AND NOT bool_or(odd AND r > 1)
+"""
+
 SQL = {
     "p1_found": _P1,
+    "p2_found": _P2,
     "p3_found": _P3,
     "p4_found": _P4,
+    "p5_found": _P5,
     "p6_found": f"WITH {_P6_BASE} SELECT * FROM found",
     "p6_report": f"WITH {_P6_BASE} SELECT file, field, kind, period, count(*) AS orphans, count(DISTINCT feed_id) AS feeds FROM found GROUP BY ALL",
 }
