@@ -180,3 +180,35 @@ def test_contours():
     assert len(lines) == 1 and lines[0][0] == pytest.approx(lines[0][-1])
     assert all(abs(np.hypot(x, y) - 0.5) < 0.1 for x, y in lines[0])
     assert len(contours.delaunay(np.zeros((2, 2)))) == 0
+
+
+def test_sequences_of_candidates(spark):
+    from waymesh.operators import matching
+
+    r = random.Random(6)
+    c = [(t, s, k, r.randint(0, 30)) for t in range(4) for s in range(6) for k in range(3) if r.random() < 0.9 and (t, s) != (3, 4)]
+    m = [(t, s, a, b, r.randint(0, 30)) for t in range(4) for s in range(1, 6) for a in range(3) for b in range(3) if r.random() < 0.9]
+    cost, move = {x[:3]: x[3] for x in c}, {x[:4]: x[4] for x in m}
+
+    def best(t):
+        layers = [{k: cost[t, 0, k] for k in range(3) if (t, 0, k) in cost}]
+        for s in range(1, 6):
+            nxt = {}
+            for b in range(3):
+                ways = [v + move[t, s, a, b] + cost[t, s, b] for a, v in layers[-1].items() if (t, s, a, b) in move and (t, s, b) in cost]
+                if ways:
+                    nxt[b] = min(ways)
+            if not nxt:
+                break
+            layers.append(nxt)
+        return len(layers), min(layers[-1].values())
+
+    cs, ms = spark.createDataFrame(c, "trace bigint, step int, candidate bigint, cost double" .replace("double", "bigint")), spark.createDataFrame(m, "trace bigint, step int, a bigint, b bigint, cost bigint")
+    for bound in (1000, 10):
+        got = matching.viterbi(cs, ms, bound).collect()
+        for t in range(4):
+            mine = sorted((x["step"], x["candidate"], x["cost"]) for x in got if x["trace"] == t)
+            assert (len(mine), mine[-1][2]) == best(t)
+            for (s, a, w), (_, b, v) in zip(mine, mine[1:]):
+                assert v == w + move[t, s + 1, a, b] + cost[t, s + 1, b]
+    assert matching.viterbi(cs.limit(0), ms).count() == 0

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.session import cut
+from waymesh.session import cut, ship
 
 #: Standard deviation of positions in metres, and mean of the route difference in metres.
 SIGMA, BETA = 10.0, 2.0
@@ -27,20 +28,83 @@ def transition(route: Column, beeline: Column, beta: float = BETA) -> Column:
     return F.lit(math.log(beta)) + F.abs(route - beeline) / beta
 
 
-def viterbi(candidates: DataFrame, transitions: DataFrame, steps: int) -> DataFrame:
+LOCAL_ROWS = 500_000
+
+
+def _best_sequence(steps: np.ndarray, names: np.ndarray, costs: np.ndarray, moves: dict[int, list[tuple[int, int, float]]]) -> list[tuple[int, int, float]]:
+    """(step, candidate, cost) of the cheapest sequence of one trace."""
+    order = np.lexsort((names, steps))
+    layers: list[dict[int, tuple[float, int | None]]] = []
+    at: dict[int, dict[int, float]] = {}
+    for i in order:
+        at.setdefault(int(steps[i]), {}).setdefault(int(names[i]), float(costs[i]))
+    n = 0
+    while n in at:
+        if n == 0:
+            layer = {c: (e, None) for c, e in at[0].items()}
+        else:
+            layer = {}
+            for a, b, t in moves.get(n, ()):
+                if a in layers[-1] and b in at[n]:
+                    new = (layers[-1][a][0] + t + at[n][b], a)
+                    if b not in layer or new < layer[b]:
+                        layer[b] = new
+        if not layer:
+            break
+        layers.append(layer)
+        n += 1
+    out = []
+    here = min(layers[-1], key=lambda c: (layers[-1][c][0], c)) if layers else None
+    for k in range(len(layers) - 1, -1, -1):
+        cost, prev = layers[k][here]
+        out.append((k, here, cost))
+        here = prev
+    return out[::-1]
+
+
+def viterbi(candidates: DataFrame, transitions: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(trace, step, candidate, cost): the cheapest sequence of each trace, its cost up to each step.
 
-    candidates(trace, step, candidate, cost), steps from 0;
+    candidates(trace bigint, step, candidate bigint, cost), steps from 0;
     transitions(trace, step, a, b, cost) lead from candidate a at step - 1 to b
-    at step.  All traces advance together, one step a round: ``steps`` is the
-    number of steps of the longest trace.  A trace whose step has no reachable
-    candidate ends there.  Ties go to the smaller candidate.
+    at step.  A trace ends where no candidate can be reached.  Ties go to the
+    smaller candidate.  Traces of up to ``local_rows`` candidates and
+    transitions are worked off one at a time in Arrow batches; for longer ones
+    all advance together, one step a round.
     """
-    layer = cut(candidates.filter("step = 0").select("trace", "step", "candidate", "cost", F.lit(None).cast("bigint").alias("prev")))
+    c = candidates.select(F.col("trace").cast("bigint").alias("trace"), F.col("step").cast("int").alias("step"), F.col("candidate").cast("bigint").alias("candidate"), F.col("cost").cast("double").alias("cost"))
+    t = transitions.select(F.col("trace").cast("bigint").alias("trace"), F.col("step").cast("int").alias("step"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("cost").cast("double").alias("cost"))
+    sizes = c.groupBy("trace").agg(F.count(F.lit(1)).alias("n")).unionByName(t.groupBy("trace").agg(F.count(F.lit(1)).alias("n"))).groupBy("trace").agg(F.sum("n").alias("n"))
+    long = cut(sizes.filter(F.col("n") > local_rows).select("trace"))
+    ship(c.sparkSession)
+
+    def run(key, left, right):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        moves: dict[int, list[tuple[int, int, float]]] = {}
+        for s, a, b, w in zip(right["step"].tolist(), right["a"].tolist(), right["b"].tolist(), right["cost"].tolist()):
+            moves.setdefault(s, []).append((a, b, w))
+        rows = _best_sequence(left["step"].to_numpy(), left["candidate"].to_numpy(), left["cost"].to_numpy(), moves)
+        return pd.DataFrame([(key[0], *r) for r in rows], columns=["trace", "step", "candidate", "cost"])
+
+    out_schema = "trace bigint, step int, candidate bigint, cost double"
+    some = bool(long.head(1))
+    near_c, near_t = (c.join(long, "trace", "left_anti"), t.join(long, "trace", "left_anti")) if some else (c, t)
+    near = near_c.groupBy("trace").cogroup(near_t.groupBy("trace")).applyInPandas(run, out_schema)
+    if not some:
+        return near
+    far_c, far_t = cut(c.join(long, "trace", "left_semi")), cut(t.join(long, "trace", "left_semi"))
+    return near.unionByName(_viterbi_rounds(far_c, far_t))
+
+
+def _viterbi_rounds(candidates: DataFrame, transitions: DataFrame) -> DataFrame:
+    """The same for long traces: one step of all traces a round."""
+    steps = (candidates.agg(F.max("step")).head()[0] or 0) + 1
+    layer = cut(candidates.filter("step = 0").groupBy("trace", "step", "candidate").agg(F.min("cost").alias("cost")).withColumn("prev", F.lit(None).cast("bigint")))
     layers = layer
     for n in range(1, steps):
         t = transitions.filter(F.col("step") == n).select("trace", "a", "b", F.col("cost").alias("tc"))
-        c = candidates.filter(F.col("step") == n).select("trace", F.col("candidate").alias("b"), F.col("cost").alias("ec"))
+        c = candidates.filter(F.col("step") == n).groupBy("trace", F.col("candidate").alias("b")).agg(F.min("cost").alias("ec"))
         go = layer.select("trace", F.col("candidate").alias("a"), "cost").join(t, ["trace", "a"]).join(c, ["trace", "b"])
         best = go.groupBy("trace", "b").agg(F.min(F.struct((F.col("cost") + F.col("tc") + F.col("ec")).alias("cost"), "a")).alias("m"))
         layer = cut(best.select("trace", F.lit(n).alias("step"), F.col("b").alias("candidate"), F.col("m.cost").alias("cost"), F.col("m.a").alias("prev")))

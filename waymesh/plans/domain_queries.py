@@ -95,17 +95,17 @@ def frequency_expand(spark, d):
 def next_departure_asof(spark, d):
     from waymesh.operators.relational import next_event
 
-    c = derived.calls(spark, d).filter("trip % 10 = 0")
+    c = derived.calls(spark, d)
     ask = table(spark, d, "supplier").select(F.col("s_suppkey").alias("stop"), (F.col("s_suppkey") * 701 % 80_000).alias("t"), F.col("s_suppkey").alias("ask"))
     return next_event(ask, c.select("stop", F.col("dep_s").alias("t"), F.col("dep_s").alias("dep"), "trip"), ["stop"], "t", ["dep", "trip"]).select("ask", "dep", "trip")
 
 
 def pattern_grouping(spark, d):
-    return transit.patterns(derived.calls(spark, d).filter("trip % 20 = 0"))
+    return transit.patterns(derived.calls(spark, d))
 
 
 def trip_based_rounds(spark, d):
-    c = derived.calls(spark, d).filter("trip % 8 = 0")
+    c = derived.calls(spark, d)
     start = spark.createDataFrame([(1, 3, 20_000), (2, 7, 40_000)], "source bigint, stop bigint, at bigint")
     return transit.earliest_arrival(c, start, rounds=3, change_s=120)
 
@@ -116,7 +116,7 @@ def pareto_front(spark, d):
 
 
 def transfer_most_specific(spark, d):
-    s = table(spark, d, "supplier").filter("s_suppkey % 4 = 0")
+    s = table(spark, d, "supplier")
     k = F.col("s_suppkey")
     rules = s.select((k % 5).alias("from_stop_id"), (k % 3).alias("to_stop_id"), F.when(k % 8 == 0, k % 2).alias("from_route_id"), F.when(k % 12 == 0, k % 2).alias("to_route_id"), k.alias("min_transfer_time"))
     wanted = table(spark, d, "nation").select((F.col("n_nationkey") % 5).cast("bigint").alias("from_stop"), (F.col("n_nationkey") % 3).cast("bigint").alias("to_stop"), (F.col("n_nationkey") % 2).cast("bigint").alias("from_route"), (F.col("n_nationkey") % 4 % 2).cast("bigint").alias("to_route")).distinct()
@@ -131,20 +131,20 @@ def cheapest_fare_sum(spark, d):
 
 
 def time_expanded_network(spark, d):
-    return transit.network(derived.calls(spark, d).filter("trip % 10 = 0")).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.sum(F.col("dst_s") - F.col("src_s")).cast("bigint").alias("seconds"))
+    return transit.network(derived.calls(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("edges"), F.sum(F.col("dst_s") - F.col("src_s")).cast("bigint").alias("seconds"))
 
 
 def realtime_overlay(spark, d):
-    c = derived.calls(spark, d).filter("trip % 10 = 0")
+    c = derived.calls(spark, d)
     u = c.filter("(trip + seq) % 3 = 0").select("trip", "seq", (F.col("seq") * 30).cast("bigint").alias("arrival_delay_s"), (F.col("seq") * 30 + 5).cast("bigint").alias("departure_delay_s"), (F.col("seq") % 4 == 3).alias("skipped"))
     return transit.overlay(c, u)
 
 
 def _cand(spark, d):
-    e = table(spark, d, "events").filter("user_id < 40").select("user_id", "ts", "event_id", F.floor("value").cast("bigint").alias("v"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.floor("value").cast("bigint").alias("v"))
     from pyspark.sql import Window
 
-    e = e.withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).filter("step < 4")
+    e = e.withColumn("step", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
     return e.select(F.col("user_id").alias("trace"), "step", "v", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(3)])).alias("candidate"))
 
 
@@ -163,12 +163,12 @@ def viterbi_layers(spark, d):
     c = _cand(spark, d).select("trace", "step", "candidate", ((F.col("v") * 7 + F.col("candidate") * 13) % 50).alias("cost"))
     a = c.select("trace", (F.col("step") + 1).alias("step"), F.col("candidate").alias("a"))
     t = a.join(c.select("trace", "step", F.col("candidate").alias("b")), ["trace", "step"]).select("trace", "step", "a", "b", (F.abs(F.col("a") - F.col("b")) * 11 + F.col("step")).alias("cost"))
-    got = matching.viterbi(c, t, 4)
+    got = matching.viterbi(c, t)
     return got.groupBy("trace").agg(F.max("step").alias("steps"), F.max("cost").alias("cost"))
 
 
 def time_text(spark, d):
-    c = derived.calls(spark, d).filter("trip % 10 = 0")
+    c = derived.calls(spark, d)
     t = text.time_of_seconds(F.col("dep_s"))
     return c.select("trip", "seq", t.alias("text"), text.seconds_of_time(t).alias("back"))
 
@@ -205,7 +205,7 @@ _KMH = "CASE maxspeed WHEN '50' THEN 50.0 WHEN '30 mph' THEN 30 * CAST(1.609344
 _RUNS = "(SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 _W = f"WITH {_WAYS} "
 _B = f"WITH {BASE_SQL} "
-_STEPS = "st AS (SELECT user_id AS trace, step, v FROM (SELECT user_id, CAST(floor(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events WHERE user_id < 40) WHERE step < 4), cand AS (SELECT trace, step, v, c AS candidate, (v * 7 + c * 13) % 50 AS cost FROM st, (SELECT unnest([0, 1, 2]) AS c))"
+_STEPS = "st AS (SELECT user_id AS trace, CAST(floor(value) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step FROM events), cand AS (SELECT trace, step, v, c AS candidate, (v * 7 + c * 13) % 50 AS cost FROM st, (SELECT unnest([0, 1, 2]) AS c))"
 
 SQL = {
     "attr_enum_lookup": _W + "SELECT id, CASE highway WHEN 'primary_link' THEN 'primary' WHEN 'nonsense' THEN 'other' ELSE highway END AS road_class, highway = 'primary_link' AS road_class_link, CASE surface WHEN 'sett' THEN 'cobblestone' WHEN '?' THEN 'missing' ELSE surface END AS surface FROM ways",
@@ -225,21 +225,21 @@ SQL = {
     "turn_sign_lag": "SELECT event_id, CASE WHEN t IS NULL THEN NULL ELSE CAST(sign(t) * CASE WHEN abs(t) < 0.2 THEN 0 WHEN abs(t) < 0.8 THEN 1 WHEN abs(t) < 1.8 THEN 2 ELSE 3 END AS INTEGER) END AS sign FROM (SELECT event_id, a - lag(a) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM (SELECT *, (CAST(floor(value) AS BIGINT) % 7 - 3) / 1.5 AS a FROM events))",
     "service_days": "WITH d AS (SELECT n_nationkey AS k, DATE '2024-01-01' + CAST(i AS INTEGER) AS date FROM nation, range(26) t(i) WHERE i <= n_nationkey), x AS (SELECT n_nationkey AS k, DATE '2024-01-03' + CAST(n_nationkey % 5 AS INTEGER) AS date, n_nationkey % 2 + 1 AS t FROM nation) SELECT k AS service_id, strftime(date, '%Y-%m-%d') AS date FROM ((SELECT k, date FROM d WHERE (k + isodow(date) - 1) % 3 = 0 UNION SELECT k, date FROM x WHERE t = 1) EXCEPT SELECT k, date FROM x WHERE t = 2)",
     "frequency_expand": "SELECT s_suppkey AS trip_id, CAST(unnest(range(21600, CAST(21600 + s_suppkey * 37 % 7200 AS BIGINT), CAST(s_suppkey % 20 * 60 AS BIGINT))) AS INTEGER) AS start_s FROM supplier WHERE s_suppkey % 20 > 0 AND s_suppkey * 37 % 7200 > 0",
-    "next_departure_asof": _B + ", r AS (SELECT s_suppkey AS ask, dep_s, trip FROM supplier LEFT JOIN (SELECT * FROM calls WHERE trip % 10 = 0) c ON c.stop = s_suppkey AND c.dep_s >= s_suppkey * 701 % 80000) SELECT ask, min(dep_s) AS dep, arg_min(trip, (dep_s, trip)) AS trip FROM r GROUP BY 1",
-    "pattern_grouping": _B + "SELECT trip, min(trip) OVER (PARTITION BY stops) AS pattern FROM (SELECT trip, list(stop ORDER BY seq) AS stops FROM calls WHERE trip % 20 = 0 GROUP BY trip)",
-    "trip_based_rounds": _B + """, c AS (SELECT * FROM calls WHERE trip % 8 = 0), r0 AS (SELECT 1::BIGINT AS source, 3::BIGINT AS stop, 20000::BIGINT AS arrival UNION ALL SELECT 2, 7, 40000), """ + ", ".join(
+    "next_departure_asof": _B + ", r AS (SELECT s_suppkey AS ask, dep_s, trip FROM supplier LEFT JOIN calls c ON c.stop = s_suppkey AND c.dep_s >= s_suppkey * 701 % 80000) SELECT ask, min(dep_s) AS dep, arg_min(trip, (dep_s, trip)) AS trip FROM r GROUP BY 1",
+    "pattern_grouping": _B + "SELECT trip, min(trip) OVER (PARTITION BY stops) AS pattern FROM (SELECT trip, list(stop ORDER BY seq) AS stops FROM calls GROUP BY trip)",
+    "trip_based_rounds": _B + """, c AS (SELECT * FROM calls), r0 AS (SELECT 1::BIGINT AS source, 3::BIGINT AS stop, 20000::BIGINT AS arrival UNION ALL SELECT 2, 7, 40000), """ + ", ".join(
         f"a{n} AS (SELECT b.source, c.stop, min(c.arrival_s) AS arrival FROM (SELECT r.source, c.trip, min(c.seq) AS s FROM r{n - 1} r JOIN c ON c.stop = r.stop AND c.dep_s >= r.arrival + {0 if n == 1 else 120} GROUP BY 1, 2) b JOIN c ON c.trip = b.trip AND c.seq > b.s GROUP BY 1, 2), "
         f"r{n} AS (SELECT a.* FROM a{n} a LEFT JOIN (SELECT source, stop, min(arrival) AS m FROM ({' UNION ALL '.join(f'SELECT * FROM r{k}' for k in range(n))}) GROUP BY 1, 2) p USING (source, stop) WHERE p.m IS NULL OR a.arrival < p.m)"
         for n in (1, 2, 3)
     ) + " " + " UNION ALL ".join(f"SELECT source, stop, CAST(arrival AS BIGINT) AS arrival, {n} AS trips FROM r{n}" for n in range(4)),
     "pareto_front": "WITH p AS (SELECT DISTINCT l_suppkey AS g, CAST(l_quantity AS BIGINT) AS a, CAST(floor(l_extendedprice) AS BIGINT) AS b FROM lineitem) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.g = p.g AND q.a <= p.a AND q.b <= p.b AND (q.a < p.a OR q.b < p.b))",
-    "transfer_most_specific": "WITH r AS (SELECT s_suppkey % 5 AS f, s_suppkey % 3 AS t, CASE WHEN s_suppkey % 8 = 0 THEN s_suppkey % 2 END AS fr, CASE WHEN s_suppkey % 12 = 0 THEN s_suppkey % 2 END AS tr, s_suppkey AS m FROM supplier WHERE s_suppkey % 4 = 0), w AS (SELECT DISTINCT CAST(n_nationkey % 5 AS BIGINT) AS from_stop, CAST(n_nationkey % 3 AS BIGINT) AS to_stop, CAST(n_nationkey % 2 AS BIGINT) AS from_route, CAST(n_nationkey % 4 % 2 AS BIGINT) AS to_route FROM nation) SELECT from_stop, to_stop, from_route, to_route, arg_max(m, ((CASE WHEN fr IS NULL THEN 0 ELSE 2 END) + (CASE WHEN tr IS NULL THEN 0 ELSE 1 END), -m)) AS min_transfer_time FROM w JOIN r ON f = from_stop AND t = to_stop AND (fr IS NULL OR fr = from_route) AND (tr IS NULL OR tr = to_route) GROUP BY ALL",
+    "transfer_most_specific": "WITH r AS (SELECT s_suppkey % 5 AS f, s_suppkey % 3 AS t, CASE WHEN s_suppkey % 8 = 0 THEN s_suppkey % 2 END AS fr, CASE WHEN s_suppkey % 12 = 0 THEN s_suppkey % 2 END AS tr, s_suppkey AS m FROM supplier), w AS (SELECT DISTINCT CAST(n_nationkey % 5 AS BIGINT) AS from_stop, CAST(n_nationkey % 3 AS BIGINT) AS to_stop, CAST(n_nationkey % 2 AS BIGINT) AS from_route, CAST(n_nationkey % 4 % 2 AS BIGINT) AS to_route FROM nation) SELECT from_stop, to_stop, from_route, to_route, arg_max(m, ((CASE WHEN fr IS NULL THEN 0 ELSE 2 END) + (CASE WHEN tr IS NULL THEN 0 ELSE 1 END), -m)) AS min_transfer_time FROM w JOIN r ON f = from_stop AND t = to_stop AND (fr IS NULL OR fr = from_route) AND (tr IS NULL OR tr = to_route) GROUP BY ALL",
     "cheapest_fare_sum": "WITH s AS (SELECT DISTINCT l_orderkey AS journey, l_linenumber AS segment, l_suppkey % 10 AS r FROM lineitem), f AS (SELECT s_suppkey % 10 AS r, CAST(floor(abs(s_acctbal)) AS BIGINT) AS price, CASE WHEN s_suppkey % 2 = 0 THEN 'EUR' ELSE 'CHF' END AS currency FROM supplier), c AS (SELECT journey, segment, min((price, currency)) AS m FROM s JOIN f USING (r) GROUP BY 1, 2) SELECT journey, m[2] AS currency, CAST(sum(m[1]) AS BIGINT) AS price FROM c GROUP BY 1, 2",
-    "time_expanded_network": _B + ", c AS (SELECT * FROM calls WHERE trip % 10 = 0), t AS (SELECT DISTINCT stop, dep_s % 86400 AS t FROM c), e AS (SELECT 'hop' AS kind, lead(arrival_s) OVER (PARTITION BY trip ORDER BY seq) - dep_s AS s FROM c UNION ALL SELECT 'dwell', dep_s - arrival_s FROM c UNION ALL SELECT 'board', 0 FROM c UNION ALL SELECT 'alight', 0 FROM c UNION ALL SELECT CASE WHEN n IS NULL THEN 'overnight' ELSE 'wait' END, coalesce(n, f + 86400) - t FROM (SELECT t, lead(t) OVER (PARTITION BY stop ORDER BY t) AS n, min(t) OVER (PARTITION BY stop) AS f FROM t)) SELECT kind, count(*) AS edges, CAST(sum(s) AS BIGINT) AS seconds FROM e WHERE s IS NOT NULL GROUP BY 1",
-    "realtime_overlay": _B + ", j AS (SELECT *, (trip + seq) % 3 = 0 AS u, last_value(CASE WHEN (trip + seq) % 3 = 0 THEN seq * 30 + 5 END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY seq) AS d FROM calls WHERE trip % 10 = 0) SELECT trip, CAST(seq AS INTEGER) AS seq, stop, arrival_s + CASE WHEN u THEN seq * 30 ELSE coalesce(d, 0) END AS arrival_s, dep_s + coalesce(d, 0) AS dep_s FROM j WHERE NOT (u AND seq % 4 = 3)",
+    "time_expanded_network": _B + ", c AS (SELECT * FROM calls), t AS (SELECT DISTINCT stop, dep_s % 86400 AS t FROM c), e AS (SELECT 'hop' AS kind, lead(arrival_s) OVER (PARTITION BY trip ORDER BY seq) - dep_s AS s FROM c UNION ALL SELECT 'dwell', dep_s - arrival_s FROM c UNION ALL SELECT 'board', 0 FROM c UNION ALL SELECT 'alight', 0 FROM c UNION ALL SELECT CASE WHEN n IS NULL THEN 'overnight' ELSE 'wait' END, coalesce(n, f + 86400) - t FROM (SELECT t, lead(t) OVER (PARTITION BY stop ORDER BY t) AS n, min(t) OVER (PARTITION BY stop) AS f FROM t)) SELECT kind, count(*) AS edges, CAST(sum(s) AS BIGINT) AS seconds FROM e WHERE s IS NOT NULL GROUP BY 1",
+    "realtime_overlay": _B + ", j AS (SELECT *, (trip + seq) % 3 = 0 AS u, last_value(CASE WHEN (trip + seq) % 3 = 0 THEN seq * 30 + 5 END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY seq) AS d FROM calls) SELECT trip, CAST(seq AS INTEGER) AS seq, stop, arrival_s + CASE WHEN u THEN seq * 30 ELSE coalesce(d, 0) END AS arrival_s, dep_s + coalesce(d, 0) AS dep_s FROM j WHERE NOT (u AND seq % 4 = 3)",
     "candidate_rank": f"WITH {_STEPS} SELECT * FROM (SELECT trace, CAST(step AS INTEGER) AS step, CAST(candidate AS BIGINT) AS candidate, cost AS distance, CAST(row_number() OVER (PARTITION BY trace, step ORDER BY cost, candidate) AS INTEGER) AS rank FROM cand) WHERE rank <= 2",
     "emission_logprob": "SELECT event_id, round(ln(sqrt(2 * pi()) * 10) + x * x / 200, 6) AS emission, round(ln(2) + abs(x - 10) / 2, 6) AS transition FROM (SELECT event_id, round(value, 2) AS x FROM events)",
-    "viterbi_layers": f"WITH {_STEPS}, l0 AS (SELECT trace, candidate, cost FROM cand WHERE step = 0), " + ", ".join(f"l{n} AS (SELECT c.trace, c.candidate, min(p.cost + abs(p.candidate - c.candidate) * 11 + {n} + c.cost) AS cost FROM l{n - 1} p JOIN cand c ON c.trace = p.trace AND c.step = {n} GROUP BY 1, 2)" for n in (1, 2, 3)) + " SELECT trace, CAST(max(n) AS INTEGER) AS steps, arg_max(m, n) AS cost FROM (" + " UNION ALL ".join(f"SELECT trace, {n} AS n, min(cost) AS m FROM l{n} GROUP BY trace" for n in range(4)) + ") GROUP BY 1",
-    "time_text": _B + "SELECT trip, CAST(seq AS INTEGER) AS seq, CAST(dep_s // 3600 AS VARCHAR) || ':' || lpad(CAST(dep_s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(dep_s % 60 AS VARCHAR), 2, '0') AS text, CAST(dep_s AS INTEGER) AS back FROM calls WHERE trip % 10 = 0",
+    "viterbi_layers": f"WITH RECURSIVE {_STEPS}, v(trace, candidate, step, cost) AS (SELECT trace, candidate, step, cost FROM cand WHERE step = 0 UNION ALL SELECT c.trace, c.candidate, c.step, min(p.cost + abs(p.candidate - c.candidate) * 11 + c.step + c.cost) FROM v p JOIN cand c ON c.trace = p.trace AND c.step = p.step + 1 GROUP BY 1, 2, 3) SELECT trace, CAST(max(step) AS INTEGER) AS steps, arg_max(m, step) AS cost FROM (SELECT trace, step, min(cost) AS m FROM v GROUP BY 1, 2) GROUP BY 1",
+    "time_text": _B + "SELECT trip, CAST(seq AS INTEGER) AS seq, CAST(dep_s // 3600 AS VARCHAR) || ':' || lpad(CAST(dep_s // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(dep_s % 60 AS VARCHAR), 2, '0') AS text, CAST(dep_s AS INTEGER) AS back FROM calls",
     "name_cleanup": "SELECT p_partkey, replace(p_name, ' ', ', ') AS clean, lower(substr(j, 1, 1)) || substr(j, 2) AS camel, '&lt;' || p_brand || '&amp;&apos;' AS xml FROM (SELECT *, array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_name, ' ')], '') AS j FROM part)",
 }

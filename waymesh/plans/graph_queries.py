@@ -43,7 +43,7 @@ def sssp_reverse_flow(spark, d):
 
 
 def sssp_multi_source_matrix(spark, d):
-    return search.shortest(_e(spark, d), _sources(spark, 1, 2, 3)).filter("node % 7 = 0").select("source", "node", "w")
+    return search.shortest(_e(spark, d), _sources(spark, 1, 2, 3)).select("source", "node", "w")
 
 
 def sssp_hop_bounded(spark, d):
@@ -112,12 +112,14 @@ def landmark_bounds(spark, d):
 
 
 def weakly_connected_components(spark, d):
-    links = derived.edges(spark, d).filter("edge % 7 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    """Components of the finished urgent roads."""
+    links = derived.edges(spark, d).filter("road_class = 'URGENT' and road_env = 'F'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return components.weak_components(derived.nodes(spark, d), links)
 
 
 def scc(spark, d):
-    links = derived.edges(spark, d).filter("edge % 5 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    """Strong components of the urgent roads."""
+    links = derived.edges(spark, d).filter("road_class = 'URGENT'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     return components.strong_components(derived.nodes(spark, d), links)
 
 
@@ -176,7 +178,7 @@ _CLOSURE = "reach AS (SELECT src AS a, dst AS b FROM part UNION SELECT r.a, p.ds
 SQL = {
     "sssp_dijkstra": _with(_sp("1")) + " SELECT node, w FROM sp",
     "sssp_reverse_flow": _with(_sp("1", "dst", "src")) + " SELECT node, w FROM sp",
-    "sssp_multi_source_matrix": _with(_sp("1", name="s1"), _sp("2", name="s2"), _sp("3", name="s3")) + " SELECT * FROM (SELECT 1::BIGINT AS source, node, w FROM s1 UNION ALL SELECT 2, node, w FROM s2 UNION ALL SELECT 3, node, w FROM s3) WHERE node % 7 = 0",
+    "sssp_multi_source_matrix": _with(_sp("1", name="s1"), _sp("2", name="s2"), _sp("3", name="s3")) + " SELECT * FROM (SELECT 1::BIGINT AS source, node, w FROM s1 UNION ALL SELECT 2, node, w FROM s2 UNION ALL SELECT 3, node, w FROM s3)",
     "sssp_hop_bounded": _with("h0 AS (SELECT CAST(1 AS BIGINT) AS node, CAST(0 AS BIGINT) AS w)", *[f"h{i + 1} AS (SELECT node, min(w) AS w FROM (SELECT * FROM h{i} UNION ALL SELECT e.dst, h.w + e.w FROM h{i} h JOIN edges e ON e.src = h.node) GROUP BY node)" for i in range(3)]) + " SELECT node, CAST(w AS BIGINT) AS w FROM h3",
     "sssp_rule_model": _with(_RULED, _sp("1", edges="ruled")) + " SELECT node, w FROM sp",
     "spt_limit": _with(_sp("5")) + " SELECT node, w FROM sp WHERE w <= 250000",
@@ -191,9 +193,9 @@ SQL = {
  WHERE sp.edge <> e.edge AND (sp.edge * 31 + e.edge) % 17 <> 0 AND sp.w + e.w + (sp.edge + e.edge) % 3 * 1000 < coalesce(r.w, 9223372036854775807) GROUP BY e.edge, e.dst)""") + " SELECT node, min(w) AS w FROM sp GROUP BY node",
     "alternatives_via_node": _with(_sp("5"), _sp("99", "dst", "src", name="bk")) + " SELECT CAST(row_number() OVER (ORDER BY w) AS INTEGER) AS rank, w FROM (SELECT DISTINCT sp.w + bk.w AS w FROM sp JOIN bk USING (node)) WHERE w <= 1.5 * (SELECT w FROM sp WHERE node = 99) ORDER BY w LIMIT 3",
     "landmark_bounds": _with(_LM, "lm AS (" + " UNION ALL ".join(f"SELECT coalesce(f.node, t.node) AS node, {x} AS lm, f.w AS wf, t.w AS wt FROM f{x} f FULL JOIN t{x} t ON t.node = f.node" for x in (1, 40, 77)) + ")") + " SELECT b.node AS target, greatest(0, max(b.wf - a.wf), max(a.wt - b.wt)) AS bound FROM lm b JOIN lm a ON a.lm = b.lm AND a.node = 5 GROUP BY 1",
-    "weakly_connected_components": _with("part AS (SELECT src, dst FROM edges WHERE edge % 7 = 0 UNION SELECT dst, src FROM edges WHERE edge % 7 = 0)", "cc(node, c) USING KEY (node) AS (SELECT node, node FROM nodes UNION SELECT p.dst, min(cc.c) FROM cc JOIN part p ON p.src = cc.node LEFT JOIN recurring.cc r ON r.node = p.dst WHERE cc.c < r.c GROUP BY p.dst)") + " SELECT node, c AS component FROM cc",
+    "weakly_connected_components": _with("part AS (SELECT src, dst FROM edges WHERE road_class = 'URGENT' AND road_env = 'F' UNION SELECT dst, src FROM edges WHERE road_class = 'URGENT' AND road_env = 'F')", "cc(node, c) USING KEY (node) AS (SELECT node, node FROM nodes UNION SELECT p.dst, min(cc.c) FROM cc JOIN part p ON p.src = cc.node LEFT JOIN recurring.cc r ON r.node = p.dst WHERE cc.c < r.c GROUP BY p.dst)") + " SELECT node, c AS component FROM cc",
     "degree_stats": _with() + " SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node",
 } | {k: _with() + f" SELECT edge, CAST(floor(({v[1]}) * 1000) AS BIGINT) AS value FROM edges" for k, v in RULES.items()}
-_SCC = _with("part AS (SELECT src, dst FROM edges WHERE edge % 5 = 0)", _CLOSURE, "comp AS (SELECT n.node, coalesce(min(least(r.b, n.node)), n.node) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) r ON r.a = n.node GROUP BY n.node)")
+_SCC = _with("part AS (SELECT src, dst FROM edges WHERE road_class = 'URGENT')", _CLOSURE, "comp AS (SELECT n.node, coalesce(min(least(r.b, n.node)), n.node) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) r ON r.a = n.node GROUP BY n.node)")
 SQL["scc"] = _SCC + " SELECT node, component FROM comp"
 SQL["subnetwork_marking"] = _SCC + " SELECT node, component, count(*) OVER (PARTITION BY component) AS size, count(*) OVER (PARTITION BY component) < 200 AS subnetwork FROM comp"

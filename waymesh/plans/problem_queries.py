@@ -191,18 +191,23 @@ def _bits(part: str) -> str:
 
 
 _ONE = "^([_-~]*[?-^])([_-~]*[?-^])$"
-_P5 = f"""
+POSITIONS_SQL = f"""
 WITH raw AS (SELECT DISTINCT location_id AS id, coordinates AS c, snapped_waypoints AS s, coordinate AS p FROM locations),
 pos AS (SELECT id, CASE WHEN c IS NOT NULL THEN c[2] WHEN s IS NOT NULL THEN CASE WHEN regexp_matches(s, '{_ONE}') THEN {_bits(f"regexp_extract(s, '{_ONE}', 1)")} END ELSE p.lat END AS lat,
   CASE WHEN c IS NOT NULL THEN c[1] WHEN s IS NOT NULL THEN CASE WHEN regexp_matches(s, '{_ONE}') THEN {_bits(f"regexp_extract(s, '{_ONE}', 2)")} END ELSE p.lon END AS lon FROM raw),
-ok AS (SELECT * FROM pos WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0)),
-cells AS (SELECT *, CAST(floor(lat * 1000) AS BIGINT) AS band FROM ok), look AS (SELECT id, lat, lon, band + d AS band FROM cells, (SELECT unnest([-1, 0, 1]) AS d)),
-near AS (SELECT a.id AS x, b.id AS y FROM look a JOIN cells b ON a.band = b.band AND a.id < b.id AND 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30),
+ok AS (SELECT * FROM pos WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0))"""
+
+INSIDE_SQL = """
 ring AS (SELECT area_id, r, rings[r] AS pts FROM areas, range(1, 10) t(r) WHERE r <= len(rings)), side AS (SELECT area_id, r, pts[i] AS a, pts[i % len(pts) + 1] AS b FROM ring, range(1, 200) t(i) WHERE i <= len(pts)),
 box AS (SELECT area_id, min(a.lon) AS x1, max(a.lon) AS x2, min(a.lat) AS y1, max(a.lat) AS y2 FROM side GROUP BY 1), hit AS (SELECT id, lat, lon, area_id FROM ok JOIN box ON lon BETWEEN x1 AND x2 AND lat BETWEEN y1 AND y2),
-odd AS (SELECT id, h.area_id, r, count(*) FILTER (WHERE (a.lat > h.lat) <> (b.lat > h.lat) AND h.lon < (b.lon - a.lon) * (h.lat - a.lat) / (b.lat - a.lat) + a.lon) % 2 = 1 AS odd FROM hit h JOIN side s ON s.area_id = h.area_id GROUP BY ALL)
+odd AS (SELECT id, h.area_id, r, count(*) FILTER (WHERE (a.lat > h.lat) <> (b.lat > h.lat) AND h.lon < (b.lon - a.lon) * (h.lat - a.lat) / (b.lat - a.lat) + a.lon) % 2 = 1 AS odd FROM hit h JOIN side s ON s.area_id = h.area_id GROUP BY ALL),
+inside AS (SELECT id, area_id FROM odd GROUP BY id, area_id HAVING bool_or(odd AND r = 1) AND NOT bool_or(odd AND r > 1))"""
+
+_P5 = f"""{POSITIONS_SQL}, {INSIDE_SQL},
+cells AS (SELECT *, CAST(floor(lat * 1000) AS BIGINT) AS band FROM ok), look AS (SELECT id, lat, lon, band + d AS band FROM cells, (SELECT unnest([-1, 0, 1]) AS d)),
+near AS (SELECT a.id AS x, b.id AS y FROM look a JOIN cells b ON a.band = b.band AND a.id < b.id AND 2 * 6371000 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) <= 30)
 SELECT 'near' AS relation, x AS location_id, CAST(y AS VARCHAR) AS other_id FROM near
-UNION ALL SELECT 'inside', id, area_id FROM odd GROUP BY id, area_id HAVING bool_or(odd AND r = 1) AND NOT bool_or(odd AND r > 1)
+UNION ALL SELECT 'inside', id, area_id FROM inside
 """
 
 SQL = {

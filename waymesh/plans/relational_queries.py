@@ -13,7 +13,7 @@ cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
 
 def join_inner(spark, d):
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "c_name", "c_mktsegment")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_name", "c_mktsegment")
 
 
 def join_left(spark, d):
@@ -23,7 +23,7 @@ def join_left(spark, d):
 
 def join_full(spark, d):
     s = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
-    c = table(spark, d, "customer").filter("c_nationkey % 2 = 0").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    c = table(spark, d, "customer").filter("c_acctbal < -950").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
     return s.join(c, s["s_nationkey"] == c["c_nationkey"], "full").select(F.coalesce("s_nationkey", "c_nationkey").alias("nation"), "suppliers", "customers")
 
 
@@ -258,9 +258,9 @@ QUERIES = {
 }
 
 SQL = {
-    "join_inner": "SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT'",
+    "join_inner": "SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey",
     "join_left": "SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P' GROUP BY 1",
-    "join_full": "SELECT coalesce(s_nationkey, c_nationkey) AS nation, suppliers, customers FROM (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) FULL JOIN (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_nationkey % 2 = 0 GROUP BY 1) ON s_nationkey = c_nationkey",
+    "join_full": "SELECT coalesce(s_nationkey, c_nationkey) AS nation, suppliers, customers FROM (SELECT s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1) FULL JOIN (SELECT c_nationkey, count(*) AS customers FROM customer WHERE c_acctbal < -950 GROUP BY 1) ON s_nationkey = c_nationkey",
     "join_semi": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
     "join_anti": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')",
     "join_self": "SELECT a.n_name AS first, b.n_name AS second FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",

@@ -9,6 +9,7 @@ from waymesh.functions import geo
 from waymesh.operators import proximity, snapping
 from waymesh.plans import derived
 from waymesh.plans.derived import BASE_SQL
+from waymesh.plans.problem_queries import INSIDE_SQL, POSITIONS_SQL
 from waymesh.session import table
 from waymesh.streaming import events as ev
 
@@ -74,15 +75,7 @@ def nearest_join(spark, d):
 
 def point_in_polygon(spark, d):
     pts = proximity.location_positions(table(spark, d, "locations")).select(F.col("location_id").alias("id"), "lat", "lon")
-    loc = table(spark, d, "locations").filter("coordinate is not null").select(F.col("location_id").alias("id")).distinct()
-    return proximity.containing_areas(pts.join(loc, "id", "left_semi"), table(spark, d, "areas"))
-
-
-def near_coordinates(spark, d):
-    """Near pairs among the locations given as a coordinate."""
-    loc = table(spark, d, "locations").filter("coordinate is not null")
-    pts = proximity.location_positions(loc).select(F.col("location_id").alias("id"), "lat", "lon")
-    return proximity.near_pairs(pts, 30.0).select("id_a", "id_b")
+    return proximity.containing_areas(pts, table(spark, d, "areas"))
 
 
 def area_smallest_wins(spark, d):
@@ -133,7 +126,7 @@ def late_data_drop(spark, d):
     return e.groupBy("event_type").agg(F.expr("count(*) filter (where lag > 86400000000)").alias("late"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (haversine, plane_projection, azimuth_sign, morton_key, tile_key, project_point, bbox_range_join, nearest_join, point_in_polygon, near_coordinates, area_smallest_wins, bounding_box, road_density, tumbling_window, sliding_window, session_window, latest_update_wins, late_data_drop)}
+QUERIES = {f.__name__: f for f in (haversine, plane_projection, azimuth_sign, morton_key, tile_key, project_point, bbox_range_join, nearest_join, point_in_polygon, area_smallest_wins, bounding_box, road_density, tumbling_window, sliding_window, session_window, latest_update_wins, late_data_drop)}
 
 _POS = "pos AS (SELECT node, lat_e7 / 1e7 AS lat, lon_e7 / 1e7 AS lon FROM nodes), roads AS (SELECT node AS edge, lat AS lat_a, lon AS lon_a, lat + (node % 7 - 3) * CAST(0.002 AS DOUBLE) AS lat_b, lon + (node % 5 - 2) * CAST(0.003 AS DOUBLE) AS lon_b FROM pos), asks AS (SELECT s_suppkey AS id, 47.0 + s_suppkey * 733 % 1000 / 1e4 AS lat, 8.0 + s_suppkey * 577 % 1000 / 1e4 AS lon FROM supplier)"
 _B = f"WITH {BASE_SQL.strip()}, {_POS} "
@@ -153,11 +146,8 @@ def _frac(y: str, x: str) -> str:
     return f"CASE WHEN {dx} * {dx} + {dy} * {dy} = 0 THEN 0 ELSE greatest(0, least(1, (({x} - lon_a) * {k} * {dx} + ({y} - lat_a) * {dy}) / ({dx} * {dx} + {dy} * {dy}))) END"
 
 
-_LOC = "loc AS (SELECT location_id AS id, min(coordinate.lat) AS lat, min(coordinate.lon) AS lon FROM locations WHERE coordinate IS NOT NULL GROUP BY 1), ok AS (SELECT * FROM loc WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0))"
-_PIP = f"""WITH {_LOC}, ring AS (SELECT area_id, r, rings[r] AS pts FROM areas, range(1, 10) t(r) WHERE r <= len(rings)), side AS (SELECT area_id, r, pts[i] AS a, pts[i % len(pts) + 1] AS b FROM ring, range(1, 200) t(i) WHERE i <= len(pts)),
-box AS (SELECT area_id, min(a.lon) AS x1, max(a.lon) AS x2, min(a.lat) AS y1, max(a.lat) AS y2 FROM side GROUP BY 1), hit AS (SELECT id, lat, lon, area_id FROM ok JOIN box ON lon BETWEEN x1 AND x2 AND lat BETWEEN y1 AND y2),
-odd AS (SELECT id, h.area_id, r, count(*) FILTER (WHERE (a.lat > h.lat) <> (b.lat > h.lat) AND h.lon < (b.lon - a.lon) * (h.lat - a.lat) / (b.lat - a.lat) + a.lon) % 2 = 1 AS odd FROM hit h JOIN side s ON s.area_id = h.area_id GROUP BY ALL),
-inside AS (SELECT id, area_id FROM odd GROUP BY 1, 2 HAVING bool_or(odd AND r = 1) AND NOT bool_or(odd AND r > 1)) """
+_PIP = POSITIONS_SQL + ", " + INSIDE_SQL
+
 
 SQL = {
     "haversine": _B + f"SELECT node, round({_hav('lat', 'lon', '47.05', '8.05')}, 3) AS metres, round({_plane('lat', 'lon', '47.05', '8.05')}, 3) AS plane FROM pos",
@@ -167,9 +157,8 @@ SQL = {
     "tile_key": _B + "SELECT node, CAST(floor((lon + 180) / 360 * 4096) AS BIGINT) AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 4096) AS BIGINT) AS y FROM pos",
     "bbox_range_join": _B + "SELECT n_nationkey AS box, edge FROM roads JOIN nation ON least(lat_a, lat_b) <= 47.005 + n_nationkey * CAST(0.003 AS DOUBLE) AND greatest(lat_a, lat_b) >= 47.0 + n_nationkey * CAST(0.003 AS DOUBLE) AND least(lon_a, lon_b) <= 8.005 + n_nationkey * CAST(0.003 AS DOUBLE) AND greatest(lon_a, lon_b) >= 8.0 + n_nationkey * CAST(0.003 AS DOUBLE)",
     "nearest_join": _B + f", f AS (SELECT id, lat, lon, lat_a, lon_a, lat_b, lon_b, {_frac('lat', 'lon')} AS t FROM asks JOIN roads ON true) SELECT id, round(min({_plane('lat', 'lon', '(lat_a + (lat_b - lat_a) * t)', '(lon_a + (lon_b - lon_a) * t)')}), 3) AS metres FROM f GROUP BY 1",
-    "point_in_polygon": _PIP + "SELECT id, area_id FROM inside",
-    "near_coordinates": f"WITH {_LOC} SELECT a.id AS id_a, b.id AS id_b FROM ok a JOIN ok b ON floor(a.lat * 1000) BETWEEN floor(b.lat * 1000) - 1 AND floor(b.lat * 1000) + 1 AND a.id < b.id AND {_hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 30",
-    "area_smallest_wins": _PIP + "SELECT id, arg_min(area_id, (len(rings[1]), area_id)) AS area_id FROM inside JOIN areas USING (area_id) GROUP BY 1",
+    "point_in_polygon": _PIP + " SELECT id, area_id FROM inside",
+    "area_smallest_wins": _PIP + " SELECT id, arg_min(area_id, (len(rings[1]), area_id)) AS area_id FROM inside JOIN areas USING (area_id) GROUP BY 1",
     "bounding_box": _B + "SELECT nation, min(lat_e7) AS south, max(lat_e7) AS north, min(lon_e7) AS west, max(lon_e7) AS east FROM nodes GROUP BY 1",
     "road_density": _B + f"SELECT id, count(*) AS edges FROM asks JOIN roads ON {_hav('lat', 'lon', 'lat_a', 'lon_a')} <= 1000 GROUP BY 1",
     "tumbling_window": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, strftime(date_trunc('day', ts) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end, event_type, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY ALL",

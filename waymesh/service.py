@@ -115,8 +115,7 @@ class Network:
         e = self.directed(profile).select("base", "adj", "edge", F.round(F.col("dist_m") * 1000).cast("bigint").alias("w"))
         ways = search.shortest(e, a.select(F.col("a").alias("source")).distinct()).select(F.col("source").alias("a"), F.col("node").alias("b"), (F.col("w") / 1000).alias("route"))
         t = pair.join(ways, ["a", "b"]).withColumn("cost", matching.transition(F.col("route"), haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))))
-        steps = (traces.agg(F.max("step")).head()[0] or 0) + 1
-        return matching.viterbi(c.select("trace", "step", "candidate", "cost"), t.select("trace", "step", "a", "b", "cost"), steps)
+        return matching.viterbi(c.select("trace", "step", "candidate", "cost"), t.select("trace", "step", "a", "b", "cost"))
 
     def info(self) -> dict:
         """Bounds, sizes and profiles."""
