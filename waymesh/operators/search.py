@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from waymesh.session import cut
@@ -49,20 +49,24 @@ def relax(
         return best.select(*key, F.col("b.w").alias("w"), *[F.col(f"b.{c}").alias(c) for c in carry], F.col("b.fresh").alias("fresh"))
 
     cols = [*key, "w", *carry]
-    state = cut(settle(seeds.select(*cols, F.lit(False).alias("old"))))
+    def kept(rows: DataFrame) -> tuple[DataFrame, int]:
+        """The settled labels, and how many of them changed: counted while the checkpoint is written."""
+        seen = Observation()
+        out = cut(settle(rows).observe(seen, F.count(F.when(F.col("fresh"), 1)).alias("n")))
+        return out, seen.get["n"]
+
+    state, moved = kept(seeds.select(*cols, F.lit(False).alias("old")))
     n = 0
-    while True:
+    while moved:
         if rounds is not None and n >= rounds:
             break
         fresh = state.filter("fresh")
-        if not fresh.head(1):
-            break
         if n >= MAX_ROUNDS:
             raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
         new = expand(fresh.select(*cols)).select(*cols)
         if within is not None:
             new = new.filter(within)
-        state = cut(settle(state.select(*cols, F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False)))))
+        state, moved = kept(state.select(*cols, F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False))))
         n += 1
     return state.select(*cols)
 
