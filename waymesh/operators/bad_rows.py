@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.session import map_arrow, spread
+from waymesh.session import join_small, map_arrow, widen
 
 BOM = "﻿"
 BLANKS = " \t\r\n\f\v "
@@ -265,11 +265,11 @@ def judge_lines(lines: DataFrame) -> DataFrame:
     """
     rows = lines.select("feed_id", "file", F.col("line").cast("bigint").alias("line"), "raw", F.col("received_at").cast("timestamp_ntz").alias("received_at"))
     heads = rows.filter((F.col("line") == 1) & F.col("raw").isNotNull()).groupBy(F.col("feed_id").alias("f2"), F.col("file").alias("k2")).agg(F.min_by("raw", F.struct("received_at", "raw")).alias("header"))
-    body = rows.filter(F.coalesce(F.col("line") > 1, F.lit(True)))
-    # The headers are one row a file: Spark broadcasts them only below its threshold, and splits hot feeds of a sort-merge join.
-    joined = body.join(heads, F.col("feed_id").eqNullSafe(F.col("f2")) & F.col("file").eqNullSafe(F.col("k2")), "left").drop("f2", "k2")
+    body = widen(rows).filter(F.coalesce(F.col("line") > 1, F.lit(True)))
+    # One header a file: where they fit a broadcast, the lines stay where they were read.
+    joined = join_small(body, heads, F.col("feed_id").eqNullSafe(F.col("f2")) & F.col("file").eqNullSafe(F.col("k2"))).drop("f2", "k2")
     made = "values array<string>, columns array<string>, field string, error_type string, cost int, edits array<string>"
-    return map_arrow(spread(joined), _judge, f"{_KEPT}, {made}")
+    return map_arrow(joined, _judge, f"{_KEPT}, {made}")
 
 
 def faulty_records(judged: DataFrame) -> DataFrame:

@@ -69,6 +69,29 @@ def spread(df: DataFrame, *cols: str, rows_per_task: int | None = None) -> DataF
     return df.repartition(n, *[F.col(c) for c in cols])
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan over all cores if it has fewer partitions than there are cores; rows are not moved otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Sides up to this size are sent to all executors by ``join_small``.
+SMALL_BYTES = 8 << 20
+
+
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "left", most_bytes: int = SMALL_BYTES, made: bool = False) -> DataFrame:  # noqa: ANN001
+    """Join with a side that is expected to be small: its rows are made, measured and broadcast if they fit.
+
+    Beyond ``most_bytes`` it is a plain join, which Spark plans and splits.
+    The large side is not shuffled in the first case.  ``made`` says that
+    ``right`` is a checkpoint already.
+    """
+    right = right if made else cut(right)
+    wide = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t == "string" else F.lit(0)) + 24 for c, t in right.dtypes)
+    size = right.agg(F.coalesce(F.sum(wide), F.lit(0))).head()[0]
+    return left.join(F.broadcast(right) if size <= most_bytes else right, on, how)
+
+
 _shipped: set[str] = set()
 
 
