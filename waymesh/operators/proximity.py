@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from waymesh.functions.geo import haversine_m
 from waymesh.functions.polyline import decode_point
+from waymesh.session import cut, join_small
 
 EARTH_M = 6_371_000.0
 HOT_CELL = 2_000
@@ -79,8 +80,9 @@ def near_pairs(points: DataFrame, radius_m: float, hot_cell: int = HOT_CELL) ->
     look = look.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), "band", "cell")
     crowd = home.groupBy("band", "cell").count().filter(F.col("count") > hot_cell)
     crowd = crowd.select("band", "cell", F.ceil(F.col("count") / hot_cell).cast("int").alias("salts"))
-    home = home.join(crowd, ["band", "cell"], "left").withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts"))).otherwise(0).cast("int"))
-    look = look.join(crowd, ["band", "cell"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
+    crowd = cut(crowd)  # at most one row for every hot_cell points
+    home = join_small(home, crowd, ["band", "cell"], made=True).withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("id"), F.col("salts"))).otherwise(0).cast("int"))
+    look = join_small(look, crowd, ["band", "cell"], made=True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)))
     home = home.select("band", "cell", "salt", F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"))
     pairs = look.drop("salts").join(home, ["band", "cell", "salt"]).filter((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("lat_a") - F.col("lat_b")) <= pad))
     d = haversine_m(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"), EARTH_M)
@@ -138,7 +140,7 @@ def containing_areas(points: DataFrame, areas: DataFrame) -> DataFrame:
 
 def close_by(locations: DataFrame, areas: DataFrame, radius_m: float) -> DataFrame:
     """(relation, location_id, other_id): ``near`` pairs of locations and the areas each is ``inside`` of."""
-    pts = location_positions(locations).select(F.col("location_id").alias("id"), "lat", "lon")
+    pts = cut(location_positions(locations).select(F.col("location_id").alias("id"), "lat", "lon"))  # used four times below
     near = near_pairs(pts, radius_m).select(F.lit("near").alias("relation"), F.col("id_a").alias("location_id"), F.col("id_b").cast("string").alias("other_id"))
     inside = containing_areas(pts, areas).select(F.lit("inside").alias("relation"), F.col("id").alias("location_id"), F.col("area_id").alias("other_id"))
     return near.unionByName(inside)
