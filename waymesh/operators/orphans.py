@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymesh.session import cut, join_small
+
 HOT_ROWS = 100_000
 
 
-def orphan_references(references: DataFrame, parents: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def orphan_references(references: DataFrame, parents: DataFrame, hot_rows: int = HOT_ROWS, keys: DataFrame | None = None) -> DataFrame:
     """The rows of ``references`` whose key has no version valid at their time, with ``kind``.
 
     references(parent_table, scope, key, at, ...any payload)
@@ -33,14 +35,19 @@ def orphan_references(references: DataFrame, parents: DataFrame, hot_rows: int =
       own.  A null ``at`` lies before every version.
     * Empty references give no rows; empty parents make every reference missing.
     Payload columns may have any names except those starting with ``__``.
+    ``keys``(parent_table, scope, key) may name rows that are cheaper to count
+    than the references when hot keys are looked for, such as those before
+    deduplication; it changes no result.
     """
     payload = [c for c in references.columns if c not in ("parent_table", "scope", "key", "at")]
     refs = references.filter(F.col("key").isNotNull() & (F.col("key") != ""))
     refs = refs.select("parent_table", "scope", "key", "at", F.struct(*[F.col(c) for c in payload]).alias("__row") if payload else F.lit(None).cast("struct<x:int>").alias("__row"))
-    size = refs.groupBy("parent_table", "scope", "key").count().filter(F.col("count") > hot_rows)
+    size = (refs if keys is None else keys).groupBy("parent_table", "scope", "key").count().filter(F.col("count") > hot_rows)
+    # at most one key for every hot_rows references
     hot = size.select(F.col("parent_table").alias("__t"), F.col("scope").alias("__s"), F.col("key").alias("__k"), F.ceil(F.col("count") / hot_rows).cast("int").alias("__n"))
     same = (F.col("parent_table") == F.col("__t")) & F.col("scope").eqNullSafe(F.col("__s")) & (F.col("key") == F.col("__k"))
-    salted = refs.join(hot, same, "left").withColumn("__salt", F.when(F.col("__n").isNotNull(), F.pmod(F.xxhash64("at", "__row"), F.col("__n"))).otherwise(0).cast("int"))
+    hot = cut(hot)
+    salted = join_small(refs, hot, same, made=True).withColumn("__salt", F.when(F.col("__n").isNotNull(), F.pmod(F.xxhash64("at", "__row"), F.col("__n"))).otherwise(0).cast("int"))
     stream = salted.select("parent_table", "scope", "key", "at", F.lit(1).alias("__rank"), F.lit(0).alias("__delta"), F.lit(None).cast("boolean").alias("__start"), "__salt", "__row")
     ok = F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from")))
     marks = F.array(
@@ -49,7 +56,7 @@ def orphan_references(references: DataFrame, parents: DataFrame, hot_rows: int =
     )
     versions = parents.select("parent_table", "scope", "key", "valid_from", "valid_to").distinct()
     salts = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1))
-    events = versions.join(hot, same, "left").withColumn("__salt", salts).select("*", F.explode(marks).alias("__m"))
+    events = join_small(versions, hot, same, made=True).withColumn("__salt", salts).select("*", F.explode(marks).alias("__m"))
     events = events.select("parent_table", "scope", "key", F.col("__m.at").alias("at"), F.lit(0).alias("__rank"), F.col("__m.d").alias("__delta"), F.col("__m.s").alias("__start"), "__salt", F.lit(None).cast(stream.schema["__row"].dataType).alias("__row"))
     events = events.filter(F.col("__start") | (F.col("__delta") != 0))
     merged = stream.unionByName(events)
@@ -79,7 +86,7 @@ def timetable_orphans(tables: dict[str, DataFrame], hot_rows: int = HOT_ROWS) ->
     A row delivered several times counts once, with its earliest ``loaded_at``.
     Columns: feed_id, file, source_file_line, field, affected_entity_id, kind, period.
     """
-    refs = None
+    refs = keys = None
     for name in dict.fromkeys(x[0] for x in TIMETABLE_LINKS):
         links = [x for x in TIMETABLE_LINKS if x[0] == name]
         cols = [x[1] for x in links]
@@ -89,11 +96,13 @@ def timetable_orphans(tables: dict[str, DataFrame], hot_rows: int = HOT_ROWS) ->
             F.col("__l.parent_table").alias("parent_table"), F.col("feed_id").alias("scope"), F.col("__l.key").alias("key"), F.col("loaded_at").alias("at"), F.lit(name).alias("file"), "source_file_line", F.col("__l.field").alias("field")
         )
         refs = rows if refs is None else refs.unionByName(rows)
+        raw = tables[name].withColumn("__l", each).select(F.col("__l.parent_table").alias("parent_table"), F.col("feed_id").alias("scope"), F.col("__l.key").alias("key"))
+        keys = raw if keys is None else keys.unionByName(raw)
     versions = None
     for name, key in dict.fromkeys((x[2], x[3]) for x in TIMETABLE_LINKS):
         rows = tables[name].select(F.lit(name).alias("parent_table"), F.col("feed_id").alias("scope"), F.col(key).alias("key"), F.col("loaded_at").alias("valid_from"), F.col("deleted_at").alias("valid_to"))
         versions = rows if versions is None else versions.unionByName(rows)
-    found = orphan_references(refs, versions, hot_rows)
+    found = orphan_references(refs, versions, hot_rows, keys)
     month = F.substring(F.col("at").cast("string"), 1, 7)
     return found.select(F.col("scope").alias("feed_id"), "file", "source_file_line", "field", F.col("key").alias("affected_entity_id"), "kind", month.alias("period")).distinct()
 
