@@ -43,8 +43,13 @@ def relax(
     """
     carry = carry or []
     label = F.struct(F.col("w"), (~F.col("old")).alias("fresh"), *[F.col(c) for c in carry])
+    # a weight and its age in one long keep the aggregation in hash tables of fixed-width rows; a round's new labels have equal hops
+    rank = F.col("w") * 2 + (~F.col("old")).cast("bigint")
 
     def settle(rows: DataFrame) -> DataFrame:
+        if set(carry) <= {"hops"}:
+            best = rows.withColumn("r", rank).groupBy(*key).agg(F.min("r").alias("r"), *[F.min_by(c, "r").alias(c) for c in carry])
+            return best.select(*key, F.shiftright("r", 1).alias("w"), *carry, (F.col("r") % 2 == 1).alias("fresh"))
         best = rows.groupBy(*key).agg(F.min(label).alias("b"))
         return best.select(*key, F.col("b.w").alias("w"), *[F.col(f"b.{c}").alias(c) for c in carry], F.col("b.fresh").alias("fresh"))
 

@@ -31,10 +31,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a local one only in local mode.
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    On a cluster without ``spark.checkpoint.dir`` this raises, because a
-    machine-local folder would lose data together with its executor.
+    Where it is unset, local mode takes a temporary folder and a cluster one
+    beside its warehouse, never a machine-local temporary folder.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
@@ -45,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     elif sc.master.startswith("local[") or sc.master == "local":
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "waymesh-checkpoints"))
     else:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
