@@ -82,9 +82,10 @@ _DOT = r"(?:\.|[ \t]?[\(\[][ \t]?dot[ \t]?[\)\]][ \t]?|[ \t]dot[ \t])"
 _LABEL = r"[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _LOCAL = r"[\w](?:[\w.%+-]*[\w])?"
 _TLD = r"(?:com|org|net|edu|gov|info|example|invalid|test|io|eu|de|fr|es|uk|jp|it|nl|at|ch)"
-_EMAILS = [
-    rf"(?<![\w.+-]){_LOCAL}{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}(?!(?:png|svg|webp|jpe?g|gif)\b)[A-Za-z]{{2,}}(?![\w-])",
-    rf"(?<![\w.+-]){_LOCAL}[ \t]at[ \t]{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}{_TLD}(?![\w-])",
+# read from the at sign on; the local part is then read backwards
+_DOMAINS = [
+    rf"{_AT}{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}(?!(?:png|svg|webp|jpe?g|gif)\b)[A-Za-z]{{2,}}(?![\w-])",
+    rf"[ \t]at[ \t]{_LABEL}(?:{_DOT}{_LABEL})*{_DOT}{_TLD}(?![\w-])",
 ]
 
 _EXT = r"(?:,?[ \t]?(?:x|ext\.?|extension|Durchwahl|poste|Apparat|extensión)[ \t]?\d{1,5})?"
@@ -129,10 +130,10 @@ _TOWN = r"(?!(?:ID|NI|DNI|NIE|NIF|SSN|Regards|Thanks|Cordialement|Atentamente|Sa
 _NL = r"(?:,[ \t]*(?:\r?\n)?[ \t]*|[ \t]*\r?\n[ \t]*)"
 _UNIT = r"(?:(?:Flat|Unit|Apt|Apartment|Suite|Room)\.?[ \t]\w{1,5})"
 _ADDRESSES = [
-    # number, street, unit, town and code in English order
-    rf"{_B}(?:(?i:{_UNIT}),?[ \t])?\d{{1,4}}[a-zA-Z]?[ \t](?:{_WORD}[ \t]){{1,2}}(?i:{_STREET_EN})(?![\w])(?:,[ \t](?i:{_UNIT}))?(?:{_NL}{_TOWN}(?:,[ \t]|[ \t]|[ \t]*\r?\n[ \t]*){_POST_EN}(?!\w)|,[ \t]{_TOWN}(?!\w)|[ \t]*\r?\n[ \t]*{_TOWN}(?=[.,;]?\s*(?:\n|$)|[.;]| (?:and|is)\b))?",
-    # street with its kind in the word, number, code and town
-    rf"{_B}(?:(?i:Am|An der|Im|In der|Zum|Zur)[ \t])?{_WORD}(?:-{_WORD})*(?i:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer)[ \t]\d{{1,4}}[a-z]?(?![\w])(?!\.\d| km| m\b| Min)(?:(?:{_NL}|[ \t])\d{{5}}[ \t]{_TOWN})?",
+    # number, street, unit, town and code in English order; a unit before the number is read backwards
+    rf"{_B}\d{{1,4}}[a-zA-Z]?[ \t](?:{_WORD}[ \t]){{1,2}}(?i:{_STREET_EN})(?![\w])(?:,[ \t](?i:{_UNIT}))?(?:{_NL}{_TOWN}(?:,[ \t]|[ \t]|[ \t]*\r?\n[ \t]*){_POST_EN}(?!\w)|,[ \t]{_TOWN}(?!\w)|[ \t]*\r?\n[ \t]*{_TOWN}(?=[.,;]?\s*(?:\n|$)|[.;]| (?:and|is)\b))?",
+    # street with its kind in the word, number, code and town; the rest of the name is read backwards
+    rf"(?i:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer)[ \t]\d{{1,4}}[a-z]?(?![\w])(?!\.\d| km| m\b| Min)(?:(?:{_NL}|[ \t])\d{{5}}[ \t]{_TOWN})?",
     # number before the kind of street
     rf"{_B}\d{{1,4}}[a-zA-Z]?(?:[ \t]?(?:bis|ter|quater))?,?[ \t](?i:rue|avenue|av\.|bd|boulevard|chemin|place|allée|impasse|quai|route|cours)[ \t](?:(?i:de la|de l['’]|de|du|des|d['’]|la|le)[ \t]?)?{_WORD}(?:-{_WORD})*(?:(?:{_NL}|[ \t])\d{{5}}[ \t]{_TOWN})?",
     # kind of street, name, number, floor
@@ -149,7 +150,12 @@ def _compiled():
     low = {x.lower() for x in GIVEN_NAMES}
     more = rf"(?:{_SP}(?:{names}|{names.upper()}))?(?:{_SP}{_INIT})?{_SP}"
     return {
-        "email": [c(p, regex.I) for p in _EMAILS],
+        "at": c(r"[@＠]|[(\[][ \t]?at[ \t]?[)\]]", regex.I),
+        "domain": [c(p, regex.I) for p in _DOMAINS],
+        "local": c(rf"(?<![\w.+-]){_LOCAL}$", regex.I),
+        "unit": c(rf"{_B}(?i:{_UNIT}),?[ \t]$"),
+        "street_name": c(rf"{_B}(?:(?i:Am|An der|Im|In der|Zum|Zur)[ \t])?{_WORD}(?:-{_WORD})*$"),
+        "us_phone": c(r"\d{3}[ .-]\d{3}[ .-]\d{4}"),
         "labelled": [c(_ID_LABELLED), c(_ID_COLUMN)],
         "identity": [c(p) for p in _ID_FREE],
         "phone": [c(p, regex.I) for p in _PHONES],
@@ -195,21 +201,33 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
 
     low = text.lower()
     if any(c in low for c in _CUES):
-        for p in rx["email"]:
-            for m in p.finditer(text):
-                add("email", *m.span())
+        for quick, p in zip((rx["at"].search(text), " at " in low or "\tat" in low or "at\t" in low), rx["domain"]):
+            if quick:
+                for m in p.finditer(text):
+                    if local := rx["local"].search(text, max(0, m.start() - 80), m.start()):
+                        add("email", local.start(), m.end())
     digits = any(ch.isdigit() for ch in text)
     if digits:
         for p in rx["labelled"]:
             for m in p.finditer(text):
                 if sum(ch.isdigit() for ch in m["n"]) >= 4:
                     add("identity", *m.span("n"))
-        for quick, p in zip(rx["streets"], rx["address"]):
-            if quick.search(text):
-                for m in p.finditer(text):
-                    add("address", *m.span())
-        for p in rx["phone"]:
+        for kind, (quick, p) in enumerate(zip(rx["streets"], rx["address"])):
+            if not quick.search(text):
+                continue
             for m in p.finditer(text):
+                a = m.start()
+                if kind == 0 and (unit := rx["unit"].search(text, max(0, a - 24), a)):
+                    a = unit.start()
+                elif kind == 1:
+                    name = rx["street_name"].search(text, max(0, a - 80), a)
+                    if not name:
+                        continue
+                    a = name.start()
+                add("address", a, m.end())
+        american = rx["us_phone"].search(text)
+        for k, p in enumerate(rx["phone"]):
+            for m in p.finditer(text) if k != 4 or american else ():
                 if 8 <= sum(ch.isdigit() for ch in m[0]) <= 20 and not rx["not_phone"].search(text[max(0, m.start() - 16) : m.start()]):
                     add("phone", *m.span())
         for p in rx["identity"]:
