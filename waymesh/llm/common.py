@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymesh.session import widen
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan over all cores if it has fewer partitions than there are cores; texts are not moved otherwise."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+__all__ = ["once", "widen"]
 
 
 def once(df: DataFrame, key: str, first: str) -> DataFrame:

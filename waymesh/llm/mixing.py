@@ -64,7 +64,7 @@ def thresholds(counts: DataFrame, wanted: list[dict]) -> list[dict]:
         if not live:
             break
         high, low = BITS * (LEVELS - level), BITS * (LEVELS - level - 1)
-        spots = spark.createDataFrame(live, "source string, prefix bigint")
+        spots = F.broadcast(spark.createDataFrame(live, "source string, prefix bigint"))  # at most one row a budget
         rows = counts.join(spots, "source") if level == 0 else counts.join(spots, (counts["source"] == spots["source"]) & (F.shiftright("h", high) == spots["prefix"])).drop(spots["source"])
         sums = rows.groupBy("source", "prefix", F.shiftright("h", low).bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
         hist = defaultdict(list)
@@ -103,19 +103,20 @@ def draw(counts: DataFrame, targets: DataFrame, total: float | None = None) -> t
       draw nothing.
     * Shares are met to within half of one document, as far as the caps allow.
     * Empty tables give empty mixes.
-    More than MAX_TARGETS targets raise ValueError: they are planned on the driver.
+    More than MAX_TARGETS targets raise ValueError: they are planned on the
+    driver, and what is broadcast has at most that many rows.
     """
     spark = counts.sparkSession
     plan = targets.select("mix_id", "source", "target_share", "max_repeats").distinct().limit(MAX_TARGETS + 1).collect()
     if len(plan) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     names = spark.createDataFrame(sorted({(r["source"],) for r in plan if r["source"] is not None}), "source string")
-    pool = counts.filter(F.col("n_tokens") > 0).join(names, "source").select("doc_id", "source", "n_tokens", _hash().alias("h"))
+    pool = counts.filter(F.col("n_tokens") > 0).join(F.broadcast(names), "source").select("doc_id", "source", "n_tokens", _hash().alias("h"))
     held = {r["source"]: r["n"] for r in pool.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     wanted = thresholds(pool, budgets(plan, held, total))
     rules = spark.createDataFrame([(w["mix_id"], w["source"], w["full"], w["below"]) for w in wanted], "mix_id string, source string, full int, below bigint")
     copies = (F.col("full") + (F.col("h") < F.col("below")).cast("int")).alias("copies")
-    drawn = pool.join(rules, "source").select("mix_id", "doc_id", "source", "n_tokens", copies).filter("copies > 0")
+    drawn = pool.join(F.broadcast(rules), "source").select("mix_id", "doc_id", "source", "n_tokens", copies).filter("copies > 0")
     given = drawn.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("most_copies"))
     whole = given.groupBy("mix_id").agg(F.sum("tokens").alias("whole"))
     asked = spark.createDataFrame([(r["mix_id"], r["source"], r["target_share"]) for r in plan if r["mix_id"] is not None and r["source"] is not None], "mix_id string, source string, target_share double")
