@@ -104,7 +104,7 @@ def turn_search(edges: DataFrame, sources: DataFrame, turns: DataFrame, u_turn_c
     unless ``u_turn_cost`` is given.  The first edge has no turn.
     """
     edges = by_base(edges)
-    turns = turns.select("from_edge", "to_edge", F.coalesce("cost", F.lit(-1)).cast("bigint").alias("cost")).persist(StorageLevel.MEMORY_AND_DISK)
+    turns = turns.select("from_edge", "to_edge", F.coalesce("cost", F.lit(-1)).cast("bigint").alias("cost")).repartition("from_edge", "to_edge").persist(StorageLevel.MEMORY_AND_DISK)
     start = sources.join(edges, F.col("source") == F.col("base")).select("source", "edge", F.col("adj").alias("node"), "w")
 
     def expand(fresh: DataFrame) -> DataFrame:
