@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from waymesh.operators.windows import lag_in_chunks
 from waymesh.session import cut, map_arrow, spread
 
-LOCAL_ROWS = 400_000
+#: Labels of one group that a task may hold: about 200 bytes each, so some 600 MB, and a few seconds of work.
+LOCAL_ROWS = 3_000_000
 _BUFFER = 150_000
 _SCHEMA = "group_id bigint, label_id bigint, parent_id bigint, root_id bigint, cycle_id bigint, depth bigint, entry bigint, exit bigint, descendants bigint, path array<bigint>"
 
