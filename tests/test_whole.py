@@ -4,7 +4,7 @@ import heapq
 
 import pytest
 
-from waymesh.plans import derived, route_queries
+from waymesh.plans import derived, graph_queries, route_queries
 
 
 @pytest.fixture(scope="module")
@@ -31,3 +31,36 @@ def test_virtual_nodes_reach_all(spark, data, network):
     want = dijkstra(network[1], 5)
     assert max(want.values()) > 300_000
     assert {r["node"]: r["w"] for r in route_queries.virtual_nodes(spark, data).collect()} == want
+
+
+def closure(nodes, edges):
+    """The nodes that each node reaches, itself among them."""
+    out = {}
+    for a, b, *_ in edges:
+        out.setdefault(a, set()).add(b)
+    reach = {}
+    for x in nodes:
+        seen, todo = {x}, [x]
+        while todo:
+            new = out.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        reach[x] = seen
+    return reach
+
+
+def test_weak_components_of_all_edges(spark, data, network):
+    nodes, edges = network
+    reach = closure(nodes, [*edges, *((b, a) for a, b, _ in edges)])
+    got = {r["node"]: r["component"] for r in graph_queries.weakly_connected_components(spark, data).collect()}
+    assert got == {x: min(reach[x] & set(nodes)) for x in nodes}
+
+
+def test_strong_components_of_all_edges(spark, data, network):
+    nodes, edges = network
+    reach = closure(nodes, edges)
+    want = {x: min(y for y in reach[x] if x in reach.get(y, ())) for x in nodes}
+    assert {r["node"]: r["component"] for r in graph_queries.scc(spark, data).collect()} == want
+    sizes = {c: sum(v == c for v in want.values()) for c in want.values()}
+    got = {(r["node"], r["component"], r["size"], r["subnetwork"]) for r in graph_queries.subnetwork_marking(spark, data).collect()}
+    assert got == {(x, c, sizes[c], sizes[c] < 200) for x, c in want.items()}

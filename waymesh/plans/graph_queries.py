@@ -111,16 +111,16 @@ def landmark_bounds(spark, d):
     return search.landmark_bound(table, pairs).select("target", "bound")
 
 
+def _links(spark: SparkSession, d: str) -> DataFrame:
+    return derived.edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+
+
 def weakly_connected_components(spark, d):
-    """Components of the finished urgent roads."""
-    links = derived.edges(spark, d).filter("road_class = 'URGENT' and road_env = 'F'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return components.weak_components(derived.nodes(spark, d), links)
+    return components.weak_components(derived.nodes(spark, d), _links(spark, d))
 
 
 def scc(spark, d):
-    """Strong components of the urgent roads."""
-    links = derived.edges(spark, d).filter("road_class = 'URGENT'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return components.strong_components(derived.nodes(spark, d), links)
+    return components.strong_components(derived.nodes(spark, d), _links(spark, d))
 
 
 def subnetwork_marking(spark, d):
