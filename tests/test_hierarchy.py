@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +75,20 @@ def test_empty_and_deep_chain(spark):
     assert (top["d"], top["n"]) == (19_999, 19_999)
 
 
+def test_paths_of_deep_chain_come_in_bounded_batches():
+    n = 20_000
+    ids = np.arange(n, dtype=np.int64)
+    chain = pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int64)), pa.array(ids), pa.array(ids - 1)], names=["group_id", "label_id", "parent_id"])
+    rows = 0
+    for b in h._local(True)(iter([chain])):
+        paths = b.column(9)
+        assert len(paths.flatten()) <= 4_000_000
+        for k in (0, len(paths) - 1):
+            assert np.array_equal(paths[k].values.to_numpy(), np.arange(b.column(1)[k].as_py() + 1))
+        rows += len(b)
+    assert rows == n
+
+
 def test_labels_of_both_modes(spark):
     rows = [(1, "node_based", 5, 50, None, 7, "2024-01-02"), (1, "node_based", 6, 51, 5, 7, "2024-01-01"), (1, "node_based", 6, 51, 6, 7, "2024-01-03"), (2, "edge_based", 5, 50, 5, 51, "2024-01-01"), (2, "edge_based", 5, 51, 5, 50, "2024-01-01"), (3, None, 1, 1, 1, 1, None), (4, "node_based", None, 1, 1, 1, None)]
     df = spark.createDataFrame(rows, "tree_id bigint, traversal_mode string, node_id int, edge_id int, prev_node_id int, prev_edge_id int, received_at string")

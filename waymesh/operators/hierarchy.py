@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from waymesh.operators.windows import lag_in_chunks
 from waymesh.session import cut, map_arrow, spread
 
-#: Labels of one group that a task may hold: about 200 bytes each, so some 600 MB, and a few seconds of work.
+#: Labels of one group that a task may hold: about 200 bytes each without their paths, so some 600 MB, and a few seconds of work.
 LOCAL_ROWS = 3_000_000
 _BUFFER = 150_000
+#: Path elements of one batch (32 MB); a single longer path is a batch of its own.
+PATH_ELEMENTS = 4_000_000
 _SCHEMA = "group_id bigint, label_id bigint, parent_id bigint, root_id bigint, cycle_id bigint, depth bigint, entry bigint, exit bigint, descendants bigint, path array<bigint>"
 
 
@@ -95,8 +97,11 @@ def rank_tour(parent: np.ndarray, order: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def resolve(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent: np.ndarray, paths: bool) -> pa.RecordBatch:
-    """Hierarchy columns of whole groups; (group, label) must be unique."""
+def resolve(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent: np.ndarray, paths: bool) -> Iterator[pa.RecordBatch]:
+    """Hierarchy columns of whole groups; (group, label) must be unique.
+
+    Paths are made batch by batch and never all held: a chain of n labels has n * n / 2 elements.
+    """
     n = len(label)
     g = np.unique(group, return_inverse=True)[1].astype(np.int64)
     codes = np.unique(np.concatenate([label, parent[has_parent]]))
@@ -124,20 +129,31 @@ def resolve(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent
         pa.array(group), pa.array(label), pa.array(parent, mask=~has_parent), pa.array(label[tour["root"]], mask=bad), pa.array(cycle, mask=~bad),
         pa.array(depth), pa.array(tour["entry"]), pa.array(tour["exit"]), pa.array((tour["exit"] - tour["entry"] - 1) // 2),
     ]
-    if paths:
-        ends = np.cumsum(depth + 1)
-        out = np.empty(int(ends[-1]) if n else 0, np.int64)
-        at, walk = ends - 1, np.arange(n)
-        while len(walk):
-            out[at] = label[walk]
-            walk = forest[walk]
-            go = walk >= 0
-            at, walk = at[go] - 1, walk[go]
-        big = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(out))
-    else:
-        big = pa.nulls(n, pa.list_(pa.int64()))
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([*arrays, big], names=names)
+    if not paths:
+        done = pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        for k in range(0, n, 10_000):
+            yield done.slice(k, 10_000)
+        return
+    # parents come before their children on the tour, so the path at hand begins every path below it
+    by = np.lexsort((tour["entry"], tour["root"]))
+    deep, name = depth[by], label[by]
+    done = pa.RecordBatch.from_arrays(arrays, names=names[:-1]).take(pa.array(by))
+    ends = np.cumsum(deep + 1)
+    path = np.empty(int(deep.max()) + 1 if n else 0, np.int64)
+    k = 0
+    while k < n:
+        before = int(ends[k - 1]) if k else 0
+        to = min(max(int(np.searchsorted(ends, before + PATH_ELEMENTS, "right")), k + 1), k + 10_000, n)
+        out = np.empty(int(ends[to - 1]) - before, np.int64)
+        at = 0
+        for d, x in zip(deep[k:to].tolist(), name[k:to].tolist()):
+            path[d] = x
+            out[at : at + d + 1] = path[: d + 1]
+            at += d + 1
+        offsets = np.concatenate([[0], ends[k:to] - before]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*done.slice(k, to - k).columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(out))], names=names)
+        k = to
 
 
 def _local(paths: bool):
@@ -149,11 +165,6 @@ def _local(paths: bool):
             p = b.column(2)
             return b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), p.fill_null(0).to_numpy(zero_copy_only=False), p.is_valid().to_numpy(zero_copy_only=False)
 
-        def pieces(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-            done = resolve(*cols, paths)
-            for k in range(0, done.num_rows, 10_000):
-                yield done.slice(k, 10_000)
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -164,10 +175,10 @@ def _local(paths: bool):
             cols = tuple(np.concatenate(c) for c in zip(*held))
             whole = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
             if whole:
-                yield from pieces(tuple(c[:whole] for c in cols))
+                yield from resolve(*(c[:whole] for c in cols), paths)
             held, size = [tuple(c[whole:] for c in cols)], len(cols[0]) - whole
         if size:
-            yield from pieces(tuple(np.concatenate(c) for c in zip(*held)))
+            yield from resolve(*(np.concatenate(c) for c in zip(*held)), paths)
 
     return run
 
