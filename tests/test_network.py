@@ -182,6 +182,17 @@ def test_contours():
     assert len(contours.delaunay(np.zeros((2, 2)))) == 0
 
 
+def test_contours_keep_late_pockets_within_a_cell(spark):
+    import json
+
+    rows = [(1, 47 + i / 500, 8 + j / 500, 9.0 if (i, j) == (14, 14) else 1.0) for i in range(30) for j in range(30)]
+    rows += [(1, 47 + 7 / 500, 8 + 7 / 500, 9.0)]  # a second, later label of a position
+    got = contours.isochrones(spark.createDataFrame(rows, "source bigint, lat double, lon double, z double"), [5.0], 0.02).head()
+    rings = sorted(json.loads(got["geometry"])["coordinates"], key=len)
+    assert len(rings) == 2 and all(r[0] == pytest.approx(r[-1]) for r in rings)
+    assert all(abs(x - 8.028) < 0.002 and abs(y - 47.028) < 0.002 for x, y in rings[0])
+
+
 def test_sequences_of_candidates(spark):
     from waymesh.operators import matching
 

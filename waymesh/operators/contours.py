@@ -1,9 +1,10 @@
 """Contours of travel time: a triangulation of labels and the lines where it passes a limit.
 
 Triangulating needs all labels of one source at hand, so it runs once for each
-source over at most MAX_LABELS labels; larger label sets are thinned to the
-earliest label in each cell of a grid first (``thin_labels``), which is exact
-for the cells' minima.
+source over at most MAX_LABELS labels.  Up to that many distinct positions all count;
+only larger label sets are thinned to the earliest label in each cell of a grid
+first (``thin_labels``), which is exact for the cells' minima and loses what
+lies late within a cell.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.session import ship
+from waymesh.session import cut, ship
 
 MAX_LABELS = 20_000
 
@@ -103,10 +104,14 @@ def thin_labels(labels: DataFrame, cell_deg: float) -> DataFrame:
 def isochrones(labels: DataFrame, limits: list[float], cell_deg: float) -> DataFrame:
     """(source, bucket, limit, geometry): contour lines as GeoJSON MultiLineString text of labels(source, lat, lon, z).
 
-    Labels are thinned to cells of ``cell_deg`` and framed by points out of
-    reach; more than MAX_LABELS cells of one source raise ValueError.
+    Every distinct position counts with its earliest label, framed by points
+    out of reach two ``cell_deg`` away.  Sources of more than MAX_LABELS
+    positions are thinned to cells of ``cell_deg``; more than MAX_LABELS cells
+    raise ValueError.
     """
-    thin = thin_labels(labels.filter("z is not null"), cell_deg)
+    known = cut(labels.filter("z is not null").groupBy("source", "lat", "lon").agg(F.min("z").alias("z")))
+    wide = known.groupBy("source").count().filter(F.col("count") > MAX_LABELS).select("source")
+    thin = cut(known.join(wide, "source", "left_anti").unionByName(thin_labels(known.join(wide, "source", "left_semi"), cell_deg)))
     most = thin.groupBy("source").count().agg(F.max("count")).head()[0] or 0
     if most > MAX_LABELS:
         raise ValueError(f"{most} cells for one source: choose larger ones")
@@ -117,8 +122,8 @@ def isochrones(labels: DataFrame, limits: list[float], cell_deg: float) -> DataF
 
         import pandas as pd
 
-        pts, z = df[["lon", "lat"]].drop_duplicates().to_numpy(float), None
-        z = df.drop_duplicates(["lon", "lat"])["z"].to_numpy(float)
+        df = df.sort_values(["lon", "lat"])  # the same triangles whatever the order of rows
+        pts, z = df[["lon", "lat"]].to_numpy(float), df["z"].to_numpy(float)
         (x1, y1), (x2, y2) = pts.min(0) - 2 * cell_deg, pts.max(0) + 2 * cell_deg
         frame = np.array([(x, y) for x in np.linspace(x1, x2, 5) for y in (y1, y2)] + [(x, y) for x in (x1, x2) for y in np.linspace(y1, y2, 5)[1:-1]])
         pts, z = np.vstack([pts, frame]), np.concatenate([z, np.full(len(frame), 2 * max(limits) + 1)])
