@@ -4,6 +4,7 @@ import heapq
 
 import pytest
 
+from waymesh.operators import contraction
 from waymesh.plans import derived, graph_queries, route_queries
 
 
@@ -64,3 +65,18 @@ def test_strong_components_of_all_edges(spark, data, network):
     sizes = {c: sum(v == c for v in want.values()) for c in want.values()}
     got = {(r["node"], r["component"], r["size"], r["subnetwork"]) for r in graph_queries.subnetwork_marking(spark, data).collect()}
     assert got == {(x, c, sizes[c], sizes[c] < 200) for x, c in want.items()}
+
+
+def test_shortcuts_keep_distances_of_all_edges(spark, data, network):
+    want = dijkstra(network[1], 5)
+    customers = set(network[0])
+    assert {r["target"]: r["w"] for r in route_queries.shortcut_search(spark, data).collect()} == {x: w for x, w in want.items() if x in customers}
+    assert [r["equal"] for r in route_queries.shortcut_unpack(spark, data).collect()] == [True]
+
+
+def test_contraction_ends_when_no_node_can_be_taken_out(spark):
+    rows = [(i, i + 1, i, 1) for i in range(40)] + [(i + 1, i, 100 + i, 1) for i in range(40)]
+    levels, up = contraction.contract(spark.createDataFrame(rows, "base bigint, adj bigint, edge bigint, w bigint"), None, None)
+    assert levels.filter(f"level = {contraction.CORE}").count() <= 1
+    pairs = spark.createDataFrame([(0, 40), (33, 2), (7, 7)], "source bigint, target bigint")
+    assert {(r["source"], r["target"]): r["w"] for r in contraction.hierarchy_search(levels, up, pairs).collect()} == {(0, 40): 40, (33, 2): 31, (7, 7): 0}

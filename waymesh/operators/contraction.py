@@ -3,12 +3,15 @@
 In each round the nodes of least priority among their neighbours are taken out
 together; a shortcut keeps each way through one of them unless an edge or a way
 of two edges is no longer.  What is left after the last round is the core.  A
-search goes upwards only: forwards from the source, backwards from the target,
-and on all edges within the core.
+search goes upwards only: forwards from the source and on all edges within the
+core, backwards from the target as far as the core.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,20 +21,24 @@ from waymesh.session import cut
 CORE = 1_000_000
 
 
-def contract(edges: DataFrame, rounds: int, most_degree: int = 12) -> tuple[DataFrame, DataFrame]:
+def contract(edges: DataFrame, rounds: int | None, most_degree: int | None = 12) -> tuple[DataFrame, DataFrame]:
     """(levels, up): levels(node, level), and edges with shortcuts (base, adj, edge, w, skip1, skip2, via).
 
     edges(base, adj, edge, w).  Only nodes with at most ``most_degree``
     neighbours are contracted, so one hub never makes more pairs than that
     squared; ties are broken by a hash of the node.  Core nodes have level CORE.
+    Without ``rounds`` nodes are taken out until none can be; without
+    ``most_degree`` it is the mean number of neighbours, but at least 12.
     """
     none = F.lit(None).cast("bigint")
     best = edges.filter("base <> adj").groupBy("base", "adj").agg(F.min(F.struct("w", "edge")).alias("b"))
     left = cut(best.select("base", "adj", F.col("b.edge").alias("edge"), F.col("b.w").alias("w"), none.alias("skip1"), none.alias("skip2"), none.alias("via")))
     everything, levels = left, None
-    for level in range(rounds):
+    for level in count() if rounds is None else range(rounds):
         both = left.select(F.col("base").alias("node"), F.col("adj").alias("other")).unionByName(left.select(F.col("adj").alias("node"), F.col("base").alias("other"))).distinct()
         degree = both.groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+        if most_degree is None:
+            most_degree = max(12, math.ceil(degree.agg(F.avg("d")).head()[0] or 0))
         rank = degree.select("node", F.struct("d", F.xxhash64("node").alias("h"), "node").alias("r"))
         low = both.join(rank.select(F.col("node").alias("other"), F.col("r").alias("ro")), "other").groupBy("node").agg(F.min("ro").alias("ro"))
         pick = cut(rank.join(low, "node").filter((F.col("r.d") <= most_degree) & (F.col("r") < F.col("ro"))).select("node"))
@@ -62,7 +69,8 @@ def hierarchy_search(levels: DataFrame, up: DataFrame, pairs: DataFrame) -> Data
     a, b = levels.select(F.col("node").alias("base"), F.col("level").alias("la")), levels.select(F.col("node").alias("adj"), F.col("level").alias("lb"))
     e = up.join(a, "base").join(b, "adj")
     forward = e.filter("lb >= la").select("base", "adj", "edge", "w")
-    backward = e.filter("la >= lb").select(F.col("adj").alias("base"), F.col("base").alias("adj"), "edge", "w")
+    # the forward search covers the core, so the backward one need not: it would label the core once for each target
+    backward = e.filter("la > lb").select(F.col("adj").alias("base"), F.col("base").alias("adj"), "edge", "w")
     there = shortest(forward, pairs.select("source").distinct())
     home = shortest(backward, pairs.select(F.col("target").alias("source")).distinct())
     return meet(there, home).join(pairs.select("source", "target").distinct(), ["source", "target"], "left_semi")
