@@ -132,6 +132,12 @@ def test_column_repair_keeps_typed_values_in_place():
     assert br.repair_columns([""], columns)[0] == 4
 
 
+def test_column_repair_tries_all_joins_of_long_records():
+    text, number = ("text", False, None, None), ("int", True, 0, 9)
+    n, values, edits = br.repair_columns(["x"] * 30 + ["5"] + ["x"] * 39, [text, number, text])
+    assert (n, values, len(edits)) == (67, [",".join("x" * 30), "5", ",".join("x" * 39)], 67)
+
+
 def test_tables(spark):
     at = dt.datetime(2024, 1, 1)
     rows = [("f", "stops", 1, br.BOM + '"stop_id",stop_name,stop_lat,stop_lon\r', at), ("f", "stops", 2, "A,x,1,2\r", at), ("f", "stops", 2, "A,x,1,2\r", at), ("f", "stops", 3, "B,x,1", at), ("f", "stops", 3, "B,x,1", at), ("f", "other", 1, "a,b", at), ("f", "other", 2, "1,2", at), ("g", "stops", 2, "A,x,1,2", at), ("f", "stops", 4, None, None), (None, "stops", 1, "stop_id", at), (None, "stops", 2, "", at), ("f", "stops", 5, "Z" * 300_000 + ',"x",1,2', at)]

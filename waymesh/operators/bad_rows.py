@@ -53,6 +53,7 @@ _DOUBLE = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?")
 _TIME = re.compile(r"([0-9]{1,2}):([0-9]{2}):([0-9]{2})")
 _DATE = re.compile(r"[0-9]{8}")
 _URL = re.compile(r"https?://(?:[^/?#@\s]*@)?([^/?#:\s]+)(?::[0-9]*)?(?:[/?#]\S*)?", re.I)
+_SCHEME = re.compile(r"https?://", re.I)
 _FREE = ("text", False, None, None)
 
 
@@ -166,19 +167,28 @@ def repair_columns(fields: list[str], columns: list[tuple]) -> tuple[int, list[s
     how: dict[tuple[int, int], int] = {}  # number of fields that make the column
     best[0][0] = (0, 0)
     empty = [value_error("", c) is not None for c in columns]
-    reach = n if n <= 60 else n - m + 1 if n > m else 1  # joins of long records are tried for all surplus fields at once
-    widths = range(1, reach + 1) if n <= 60 else {1, reach}
+    starts = [k for k, f in enumerate(fields) if _SCHEME.match(f.lstrip(BLANKS))]
     for j in range(1, m + 1):
+        column = columns[j - 1]
+        # A join of several fields has a delimiter in it, so it fits a text and no other kind; of addresses only what begins as one can fit.
+        unfit = int(column[0] != "text")
+        long, wide = inf, 0  # the best join of several fields that ends here, and its width
         for i in range(n + 1):
             c, u = best[i][j - 1]
-            best[i][j], how[i, j] = (c + 1, u + empty[j - 1]), 0
-            for k in widths:
-                if k > i or best[i - k][j - 1] == inf:
-                    continue
-                c, u = best[i - k][j - 1]
-                t = (c + k - 1, u + (value_error(",".join(fields[i - k : i]), columns[j - 1]) is not None))
-                if t < best[i][j]:
-                    best[i][j], how[i, j] = t, k
+            tries = [((c + 1, u + empty[j - 1]), 0)]
+            if i:
+                c, u = best[i - 1][j - 1]
+                tries.append(((c, u + (value_error(fields[i - 1], column) is not None)), 1))
+            if i > 1:
+                c, u = best[i - 2][j - 1]
+                long, wide = min(((c + 1, u + unfit), 2), ((long[0] + 1, long[1]), wide + 1))
+                tries.append((long, wide))
+            if column[0] == "url":
+                for k in starts:
+                    if k < i - 1 and value_error(",".join(fields[k:i]), column) is None:
+                        c, u = best[k][j - 1]
+                        tries.append(((c + i - k - 1, u), i - k))
+            best[i][j], how[i, j] = min(tries)
     i, values, edits = n, [""] * m, []
     for j in range(m, 0, -1):
         k = how[i, j]
