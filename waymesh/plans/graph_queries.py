@@ -173,6 +173,7 @@ _SPEED = "CASE WHEN road_class = 'LOW' THEN 50.0 WHEN road_env = 'F' THEN 80.0 E
 _RULED = f"ruled AS (SELECT edge, src, dst, CAST(floor(CAST(w AS DOUBLE) / CAST({_SPEED} AS DOUBLE) * CAST(3.6 AS DOUBLE) / CAST(CASE WHEN road_class = 'URGENT' THEN 0.5 ELSE 1.0 END AS DOUBLE) * 10) AS BIGINT) AS w FROM edges)"
 _TREE = "tree AS (SELECT e.dst AS node, min(e.edge) AS edge, arg_min(e.src, e.edge) AS prev FROM edges e JOIN sp a ON a.node = e.src JOIN sp b ON b.node = e.dst WHERE a.w + e.w = b.w AND e.dst <> 5 GROUP BY e.dst)"
 _LM = ", ".join(_sp(str(x), name=f"f{x}") + ", " + _sp(str(x), "dst", "src", name=f"t{x}") for x in (1, 40, 77))
+_PART = "part AS (SELECT src, dst FROM edges JOIN nodes a ON a.node = src JOIN nodes b ON b.node = dst)"
 _CLOSURE = "reach AS (SELECT src AS a, dst AS b FROM part UNION SELECT r.a, p.dst FROM reach r JOIN part p ON p.src = r.b)"
 
 SQL = {
@@ -193,9 +194,9 @@ SQL = {
  WHERE sp.edge <> e.edge AND (sp.edge * 31 + e.edge) % 17 <> 0 AND sp.w + e.w + (sp.edge + e.edge) % 3 * 1000 < coalesce(r.w, 9223372036854775807) GROUP BY e.edge, e.dst)""") + " SELECT node, min(w) AS w FROM sp GROUP BY node",
     "alternatives_via_node": _with(_sp("5"), _sp("99", "dst", "src", name="bk")) + " SELECT CAST(row_number() OVER (ORDER BY w) AS INTEGER) AS rank, w FROM (SELECT DISTINCT sp.w + bk.w AS w FROM sp JOIN bk USING (node)) WHERE w <= 1.5 * (SELECT w FROM sp WHERE node = 99) ORDER BY w LIMIT 3",
     "landmark_bounds": _with(_LM, "lm AS (" + " UNION ALL ".join(f"SELECT coalesce(f.node, t.node) AS node, {x} AS lm, f.w AS wf, t.w AS wt FROM f{x} f FULL JOIN t{x} t ON t.node = f.node" for x in (1, 40, 77)) + ")") + " SELECT b.node AS target, greatest(0, max(b.wf - a.wf), max(a.wt - b.wt)) AS bound FROM lm b JOIN lm a ON a.lm = b.lm AND a.node = 5 GROUP BY 1",
-    "weakly_connected_components": _with("part AS (SELECT src, dst FROM edges WHERE road_class = 'URGENT' AND road_env = 'F' UNION SELECT dst, src FROM edges WHERE road_class = 'URGENT' AND road_env = 'F')", "cc(node, c) USING KEY (node) AS (SELECT node, node FROM nodes UNION SELECT p.dst, min(cc.c) FROM cc JOIN part p ON p.src = cc.node LEFT JOIN recurring.cc r ON r.node = p.dst WHERE cc.c < r.c GROUP BY p.dst)") + " SELECT node, c AS component FROM cc",
+    "weakly_connected_components": _with(_PART, "both_ways AS (SELECT src, dst FROM part UNION SELECT dst, src FROM part)", "cc(node, c) USING KEY (node) AS (SELECT node, node FROM nodes UNION SELECT p.dst, min(cc.c) FROM cc JOIN both_ways p ON p.src = cc.node LEFT JOIN recurring.cc r ON r.node = p.dst WHERE cc.c < r.c GROUP BY p.dst)") + " SELECT node, c AS component FROM cc",
     "degree_stats": _with() + " SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node",
 } | {k: _with() + f" SELECT edge, CAST(floor(({v[1]}) * 1000) AS BIGINT) AS value FROM edges" for k, v in RULES.items()}
-_SCC = _with("part AS (SELECT src, dst FROM edges WHERE road_class = 'URGENT')", _CLOSURE, "comp AS (SELECT n.node, coalesce(min(least(r.b, n.node)), n.node) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) r ON r.a = n.node GROUP BY n.node)")
+_SCC = _with(_PART, _CLOSURE, "comp AS (SELECT n.node, coalesce(min(least(r.b, n.node)), n.node) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) r ON r.a = n.node GROUP BY n.node)")
 SQL["scc"] = _SCC + " SELECT node, component FROM comp"
 SQL["subnetwork_marking"] = _SCC + " SELECT node, component, count(*) OVER (PARTITION BY component) AS size, count(*) OVER (PARTITION BY component) < 200 AS subnetwork FROM comp"
