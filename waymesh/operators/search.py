@@ -1,123 +1,105 @@
-"""Shortest paths as rounds of relational relaxation.
+"""Shortest paths, trees and matrices, with and without turn costs, plain, goal-directed and from both ends.
 
-Labels are rows.  A round joins the labels that changed with the outgoing
-edges and keeps the least weight for each key in one aggregation over old and
-new labels, so map-side combining works before the shuffle.  Lineage is cut
-with a checkpoint each round; rounds end when nothing changes.
+All of them are label searches over fragments of the graph (``fragments``); a
+call answers a table of sources or requests at once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from waymesh.operators import fragments
 from waymesh.session import cut
 
-MAX_ROUNDS = 10_000
-
-
-def by_base(edges: DataFrame) -> DataFrame:
-    """Directed edges laid out by their base node, kept for all rounds of a search (spilling to disk)."""
-    return edges.repartition(F.col("base")).persist(StorageLevel.MEMORY_AND_DISK)
 
+def _arcs(edges: DataFrame, both: bool = False) -> DataFrame:
+    """Arcs of the first direction, and with ``both`` those against it."""
+    zero = edges.select(F.lit(0).alias("a"), "base", "adj", "w")
+    return zero.unionByName(edges.select(F.lit(1).alias("a"), F.col("adj").alias("base"), F.col("base").alias("adj"), "w")) if both else zero
 
-def relax(
-    seeds: DataFrame,
-    expand: Callable[[DataFrame], DataFrame],
-    key: list[str],
-    carry: list[str] | None = None,
-    within: Column | None = None,
-    rounds: int | None = None,
-) -> DataFrame:
-    """Least ``w`` for each ``key`` reachable from ``seeds``(key, w, carry).
 
-    ``expand`` maps changed labels to new ones with the same columns; weights
-    must not be negative.  A label is replaced only by a smaller weight; among
-    new ones of equal weight the smallest ``carry`` wins.  ``within`` drops
-    labels (a weight limit, a potential).  ``rounds`` bounds the number of
-    edges; without it the search runs to its fixpoint, and MAX_ROUNDS rounds
-    raise rather than cut the result short.
-    """
-    carry = carry or []
-    label = F.struct(F.col("w"), (~F.col("old")).alias("fresh"), *[F.col(c) for c in carry])
-    # a weight and its age in one long keep the aggregation in hash tables of fixed-width rows; a round's new labels have equal hops
-    rank = F.col("w") * 2 + (~F.col("old")).cast("bigint")
-
-    def settle(rows: DataFrame) -> DataFrame:
-        if set(carry) <= {"hops"}:
-            best = rows.withColumn("r", rank).groupBy(*key).agg(F.min("r").alias("r"), *[F.min_by(c, "r").alias(c) for c in carry])
-            return best.select(*key, F.shiftright("r", 1).alias("w"), *carry, (F.col("r") % 2 == 1).alias("fresh"))
-        best = rows.groupBy(*key).agg(F.min(label).alias("b"))
-        return best.select(*key, F.col("b.w").alias("w"), *[F.col(f"b.{c}").alias(c) for c in carry], F.col("b.fresh").alias("fresh"))
-
-    cols = [*key, "w", *carry]
-    def kept(rows: DataFrame) -> tuple[DataFrame, int]:
-        """The settled labels, and how many of them changed: counted while the checkpoint is written."""
-        seen = Observation()
-        out = cut(settle(rows).observe(seen, F.count(F.when(F.col("fresh"), 1)).alias("n")))
-        return out, seen.get["n"]
-
-    state, moved = kept(seeds.select(*cols, F.lit(False).alias("old")))
-    n = 0
-    while moved:
-        if rounds is not None and n >= rounds:
-            break
-        fresh = state.filter("fresh")
-        if n >= MAX_ROUNDS:
-            raise RuntimeError(f"no fixpoint after {MAX_ROUNDS} rounds")
-        new = expand(fresh.select(*cols)).select(*cols)
-        if within is not None:
-            new = new.filter(within)
-        state, moved = kept(state.select(*cols, F.lit(True).alias("old")).unionByName(new.withColumn("old", F.lit(False))))
-        n += 1
-    return state.select(*cols)
-
-
-def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, rounds: int | None = None) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, rounds: int | None = None, goals: DataFrame | None = None, fragment_arcs: int = fragments.FRAGMENT_ARCS) -> DataFrame:
     """(source, node, w, hops) from sources(source) over edges(base, adj, edge, w).
 
     All sources are searched at once.  ``limit`` keeps labels of at most that
-    weight; ``rounds`` bounds the hops.  Of equally short ways the one found in
-    fewer hops counts.  Sources that are null are left out; a source without
+    weight; ``rounds`` bounds the hops.  With goals(source, target) a source is
+    searched only as far as its farthest goal, and labels beyond it are left
+    out; if one of its goals cannot be reached, all it reaches is labelled.  Of
+    equally short ways the one with fewer hops counts.  Sources that are null
+    are left out, and so are edges with a null end or weight; a source without
     edges reaches itself.
     """
-    edges = by_base(edges)
-    seeds = sources.filter(F.col("source").isNotNull()).select("source", F.col("source").alias("node"), F.lit(0).cast("bigint").alias("w"), F.lit(0).alias("hops")).distinct()
+    seeds = sources.filter(F.col("source").isNotNull()).select("source", F.lit(0).alias("a"), F.col("source").alias("node"), F.lit(0).alias("w"), F.lit(0).alias("hops")).distinct()
+    labels, _ = fragments.search(_arcs(edges), seeds, limit=limit, rounds=rounds, goals=goals, fragment_arcs=fragment_arcs)
+    return labels.select("source", "node", "w", "hops")
 
-    def expand(fresh: DataFrame) -> DataFrame:
-        e = edges.withColumnRenamed("w", "ew")
-        return fresh.join(e, fresh["node"] == e["base"]).select("source", F.col("adj").alias("node"), (F.col("w") + F.col("ew")).alias("w"), (F.col("hops") + 1).alias("hops"))
 
-    out = relax(seeds, expand, ["source", "node"], ["hops"], F.col("w") <= limit if limit is not None else None, rounds)
-    edges.unpersist()
-    return out
-
-
-def turn_search(edges: DataFrame, sources: DataFrame, turns: DataFrame, u_turn_cost: int | None = None) -> DataFrame:
+def turn_search(edges: DataFrame, sources: DataFrame, turns: DataFrame, u_turn_cost: int | None = None, limit: int | None = None, fragment_arcs: int = fragments.FRAGMENT_ARCS) -> DataFrame:
     """(source, edge, node, w): least weight of arriving over each directed edge, with turn costs.
 
     turns(from_edge, to_edge, cost): a null cost forbids the turn, a missing
-    pair costs nothing.  Going back over the edge one came by is forbidden
-    unless ``u_turn_cost`` is given.  The first edge has no turn.
+    pair costs nothing; of several rows of one pair one that forbids holds,
+    else the cheapest.  Going back over the edge one came by is forbidden
+    unless ``u_turn_cost`` is given, whatever ``turns`` says.  The first edge
+    has no turn.
+    """
+    listed = turns.select("from_edge", "to_edge", F.coalesce("cost", F.lit(-1)).cast("bigint").alias("cost")).filter("from_edge <> to_edge")
+    if u_turn_cost is not None:
+        back = edges.select(F.col("edge").alias("from_edge"), F.col("edge").alias("to_edge"), F.lit(u_turn_cost).cast("bigint").alias("cost")).distinct()
+        listed = listed.unionByName(back)
+    seeds = sources.distinct().join(edges, F.col("source") == F.col("base")).select("source", F.col("edge").alias("a"), F.col("adj").alias("node"), "w", F.lit(1).alias("hops"))
+    labels, _ = fragments.search(edges.select(F.col("edge").alias("a"), "base", "adj", "w"), seeds, turns=listed, limit=limit, fragment_arcs=fragment_arcs, by_turns=True)
+    return labels.select("source", F.col("a").alias("edge"), "node", "w")
+
+
+def goal_search(edges: DataFrame, requests: DataFrame, features: DataFrame | None = None, both: bool = False, fragment_arcs: int = fragments.FRAGMENT_ARCS) -> tuple[DataFrame, DataFrame]:
+    """Answers (request, source, target, w) to requests(request, source, target), and the labels (request, a, node, w) they took.
+
+    Every request is a search of its own: from its source, or with ``both``
+    from both ends at once.  features(node, f) of ``beeline_features`` or
+    ``landmark_features`` direct it to its goal; without them it is the plain
+    search that stops at the goal.  Requests without way, or with a null in
+    them, have no answer; a request repeated under one id must be the same.
+    """
+    r = requests.select("request", "source", "target").filter("request is not null and source is not null and target is not null").distinct()
+    seed = lambda a, node: r.select(F.col("request").alias("source"), F.lit(a).alias("a"), F.col(node).alias("node"), F.lit(0).alias("w"), F.lit(0).alias("hops"))
+    seeds = seed(0, "source").unionByName(seed(1, "target")) if both else seed(0, "source")
+    goals = r.select(F.col("request").alias("source"), "target")
+    labels, best = fragments.search(_arcs(edges, both), seeds, goals=goals, features=features, both=both, fragment_arcs=fragment_arcs)
+    answers = r.join(best.withColumnRenamed("source", "request"), "request").select("request", "source", "target", "w")
+    return answers, labels.select(F.col("source").alias("request"), "a", "node", "w")
+
+
+def beeline_features(nodes: DataFrame, weight_per_metre: float) -> DataFrame:
+    """Features of nodes(node, lat, lon) for bounds by the great circle; no edge may weigh less a metre than said."""
+    return nodes.select("node", F.array(F.radians("lat"), F.radians("lon"), F.lit(float(weight_per_metre))).alias("f"))
+
+
+def landmark_features(table: DataFrame) -> DataFrame:
+    """Features of the nodes of a ``landmark_table`` for bounds by the triangle inequality.
+
+    The numbers of landmarks are few by nature; more than 256 raise.
     """
-    edges = by_base(edges)
-    turns = turns.select("from_edge", "to_edge", F.coalesce("cost", F.lit(-1)).cast("bigint").alias("cost")).repartition("from_edge", "to_edge").persist(StorageLevel.MEMORY_AND_DISK)
-    start = sources.join(edges, F.col("source") == F.col("base")).select("source", "edge", F.col("adj").alias("node"), "w")
+    marks = sorted(r["landmark"] for r in table.select("landmark").distinct().limit(257).collect())
+    if len(marks) > 256:
+        raise ValueError("more than 256 landmarks")
+    nan = F.lit(float("nan"))
+    pick = lambda c, x: F.coalesce(F.max(F.when(F.col("landmark") == x, F.col(c).cast("double"))), nan)
+    return table.groupBy("node").agg(F.array(*[pick(c, x) for x in marks for c in ("w_from", "w_to")]).alias("f"))
 
-    def expand(fresh: DataFrame) -> DataFrame:
-        e = edges.select("base", F.col("adj").alias("to"), F.col("edge").alias("next"), F.col("w").alias("ew"))
-        got = fresh.join(e, fresh["node"] == e["base"])
-        got = got.join(turns, (F.col("edge") == F.col("from_edge")) & (F.col("next") == F.col("to_edge")), "left")
-        turn = F.when(F.col("edge") == F.col("next"), F.lit(u_turn_cost).cast("bigint")).when(F.col("cost") < 0, None).otherwise(F.coalesce("cost", F.lit(0)))
-        return got.withColumn("t", turn).filter("t is not null").select("source", F.col("next").alias("edge"), F.col("to").alias("node"), (F.col("w") + F.col("ew") + F.col("t")).alias("w"))
 
-    out = relax(start, expand, ["source", "edge", "node"])
-    edges.unpersist()
-    turns.unpersist()
-    return out
+def active_landmarks(table: DataFrame, pairs: DataFrame, most: int) -> DataFrame:
+    """(source, target, landmark, bound): the ``most`` landmarks that bound each of pairs(source, target) best, ties by id."""
+    from pyspark.sql import Window
+
+    s = table.select(F.col("node").alias("source"), "landmark", F.col("w_from").alias("sf"), F.col("w_to").alias("st"))
+    t = table.select(F.col("node").alias("target"), "landmark", F.col("w_from").alias("tf"), F.col("w_to").alias("tt"))
+    bound = F.greatest(F.lit(0), F.col("tf") - F.col("sf"), F.col("st") - F.col("tt")).cast("bigint")
+    rows = pairs.distinct().join(s, "source").join(t, ["target", "landmark"]).withColumn("bound", bound)
+    n = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.desc("bound"), "landmark"))
+    return rows.withColumn("n", n).filter(F.col("n") <= most).select("source", "target", "landmark", "bound")
 
 
 def parents(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -185,7 +167,7 @@ def via_routes(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """
     legs = requests.select("request", F.expr("transform(sequence(0, greatest(size(points) - 2, 0)), i -> struct(i as leg, get(points, i) as source, get(points, i + 1) as target))").alias("l"))
     legs = legs.select("request", F.explode("l").alias("l")).select("request", "l.leg", "l.source", "l.target")
-    labels = shortest(edges, legs.select("source").distinct())
+    labels = shortest(edges, legs.select("source").distinct(), goals=legs.select("source", "target"))
     priced = legs.join(labels.select("source", F.col("node").alias("target"), "w"), ["source", "target"], "left")
     ok = F.count("w") == F.count(F.lit(1))
     return priced.groupBy("request").agg(F.count(F.lit(1)).alias("legs"), F.when(ok, F.sum("w")).alias("w"), ok.alias("found"))

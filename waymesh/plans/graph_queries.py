@@ -111,6 +111,61 @@ def landmark_bounds(spark, d):
     return search.landmark_bound(table, pairs).select("target", "bound")
 
 
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """A route for each supplier."""
+    k, n = F.col("s_suppkey"), derived.node_count(spark, d)
+    return derived.table(spark, d, "supplier").select(k.cast("bigint").alias("request"), (k * 7 % n + 1).cast("bigint").alias("source"), (k * 31 % n + 1).cast("bigint").alias("target"))
+
+
+def _routed(spark: SparkSession, d: str, features: DataFrame | None, both: bool) -> DataFrame:
+    return search.goal_search(_e(spark, d), _requests(spark, d), features, both)[0].select("request", "w")
+
+
+def dijkstra_to_target(spark, d):
+    return _routed(spark, d, None, False)
+
+
+def bidirectional_dijkstra(spark, d):
+    return _routed(spark, d, None, True)
+
+
+def _beeline(spark: SparkSession, d: str) -> DataFrame:
+    at = derived.nodes(spark, d).select("node", (F.col("lat_e7") / 1e7).alias("lat"), (F.col("lon_e7") / 1e7).alias("lon"))
+    from waymesh.functions.geo import haversine_m
+
+    side = lambda c, x: at.select(F.col("node").alias(c), F.col("lat").alias(f"la{x}"), F.col("lon").alias(f"lo{x}"))
+    e = _e(spark, d).join(side("base", "a"), "base").join(side("adj", "b"), "adj")
+    metres = haversine_m(F.col("laa"), F.col("loa"), F.col("lab"), F.col("lob"))
+    rate = e.select(F.min(F.col("w") / F.greatest(metres, F.lit(0.001))).alias("r")).head()["r"]
+    return search.beeline_features(at, rate or 0.0)
+
+
+def astar_beeline(spark, d):
+    return _routed(spark, d, _beeline(spark, d), False)
+
+
+def bidirectional_astar_beeline(spark, d):
+    return _routed(spark, d, _beeline(spark, d), True)
+
+
+def _marks(spark: SparkSession, d: str) -> DataFrame:
+    return search.landmark_features(search.landmark_table(_e(spark, d), spark.createDataFrame([(1,), (40,), (77,), (120,)], "landmark bigint")))
+
+
+def astar_landmarks(spark, d):
+    return _routed(spark, d, _marks(spark, d), False)
+
+
+def bidirectional_astar_landmarks(spark, d):
+    return _routed(spark, d, _marks(spark, d), True)
+
+
+def active_landmarks(spark, d):
+    table = search.landmark_table(_e(spark, d), spark.createDataFrame([(1,), (40,), (77,)], "landmark bigint"))
+    pairs = derived.nodes(spark, d).select(F.lit(5).cast("bigint").alias("source"), F.col("node").alias("target"))
+    return search.active_landmarks(table, pairs, 2).select("target", "landmark", "bound")
+
+
 def _links(spark: SparkSession, d: str) -> DataFrame:
     return derived.edges(spark, d).select(F.col("src").alias("a"), F.col("dst").alias("b"))
 
@@ -155,7 +210,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sssp_dijkstra, sssp_reverse_flow, sssp_multi_source_matrix, sssp_hop_bounded, sssp_rule_model, spt_limit, spt_tree, isochrone_buckets, isochrone_frontier_edges, path_extract, via_route_totals, bidir_meet,
-        edge_based_sssp_turns, alternatives_via_node, landmark_bounds, weakly_connected_components, scc, subnetwork_marking, degree_stats,
+        edge_based_sssp_turns, alternatives_via_node, landmark_bounds, dijkstra_to_target, bidirectional_dijkstra, astar_beeline, bidirectional_astar_beeline, astar_landmarks, bidirectional_astar_landmarks, active_landmarks, weakly_connected_components, scc, subnetwork_marking, degree_stats,
     )
 } | {k: v[0] for k, v in RULES.items()}
 
@@ -197,6 +252,14 @@ SQL = {
     "weakly_connected_components": _with(_PART, "both_ways AS (SELECT src, dst FROM part UNION SELECT dst, src FROM part)", "cc(node, c) USING KEY (node) AS (SELECT node, node FROM nodes UNION SELECT p.dst, min(cc.c) FROM cc JOIN both_ways p ON p.src = cc.node LEFT JOIN recurring.cc r ON r.node = p.dst WHERE cc.c < r.c GROUP BY p.dst)") + " SELECT node, c AS component FROM cc",
     "degree_stats": _with() + " SELECT node, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS node, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY node",
 } | {k: _with() + f" SELECT edge, CAST(floor(({v[1]}) * 1000) AS BIGINT) AS value FROM edges" for k, v in RULES.items()}
+_ROUTED = _with(
+    "requests AS (SELECT CAST(s_suppkey AS BIGINT) AS request, CAST(s_suppkey * 7 % (SELECT n FROM cnt) + 1 AS BIGINT) AS source, CAST(s_suppkey * 31 % (SELECT n FROM cnt) + 1 AS BIGINT) AS target FROM supplier)",
+    """sp(request, node, w) USING KEY (request, node) AS (SELECT request, source, CAST(0 AS BIGINT) FROM requests UNION
+ SELECT sp.request, e.dst, min(sp.w + e.w) FROM sp JOIN edges e ON e.src = sp.node LEFT JOIN recurring.sp r ON r.node = e.dst AND r.request = sp.request WHERE sp.w + e.w < coalesce(r.w, 9223372036854775807) GROUP BY sp.request, e.dst)""",
+) + " SELECT request, w FROM sp JOIN requests USING (request) WHERE node = target"
+SQL |= {k: _ROUTED for k in ("dijkstra_to_target", "bidirectional_dijkstra", "astar_beeline", "bidirectional_astar_beeline", "astar_landmarks", "bidirectional_astar_landmarks")}
+_MARK_TABLE = "lm AS (" + " UNION ALL ".join(f"SELECT coalesce(f.node, t.node) AS node, {x} AS lm, f.w AS wf, t.w AS wt FROM f{x} f FULL JOIN t{x} t ON t.node = f.node" for x in (1, 40, 77)) + ")"
+SQL["active_landmarks"] = _with(_LM, _MARK_TABLE) + " SELECT target, landmark, bound FROM (SELECT n.node AS target, CAST(b.lm AS BIGINT) AS landmark, CAST(greatest(0, b.wf - a.wf, a.wt - b.wt) AS BIGINT) AS bound, row_number() OVER (PARTITION BY n.node ORDER BY greatest(0, b.wf - a.wf, a.wt - b.wt) DESC, b.lm) AS k FROM nodes n JOIN lm b ON b.node = n.node JOIN lm a ON a.lm = b.lm AND a.node = 5) WHERE k <= 2"
 _SCC = _with(_PART, _CLOSURE, "comp AS (SELECT n.node, coalesce(min(least(r.b, n.node)), n.node) AS component FROM nodes n LEFT JOIN (SELECT x.a, x.b FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a) r ON r.a = n.node GROUP BY n.node)")
 SQL["scc"] = _SCC + " SELECT node, component FROM comp"
 SQL["subnetwork_marking"] = _SCC + " SELECT node, component, count(*) OVER (PARTITION BY component) AS size, count(*) OVER (PARTITION BY component) < 200 AS subnetwork FROM comp"
