@@ -66,6 +66,17 @@ def test_descendants_of(spark):
     t = h.hierarchy(spark.createDataFrame(rows, LINKS))
     got = h.descendants_of(t, spark.createDataFrame([(1, 1), (1, 2), (1, 2), (2, 1)], "group_id bigint, label_id bigint"))
     assert {tuple(r) for r in got.collect()} == {(1, 1, 2), (1, 1, 3), (1, 1, 4), (1, 2, 3), (2, 1, 3)}
+    got = h.ancestors_of(t, spark.createDataFrame([(1, 3), (2, 3), (2, 2)], "group_id bigint, label_id bigint"))
+    assert {tuple(r) for r in got.collect()} == {(1, 3, 1, 0), (1, 3, 2, 1), (1, 3, 3, 2), (2, 3, 1, 0), (2, 3, 3, 1), (2, 2, 2, 0)}
+
+
+def test_shapes_beyond_the_bound(spark):
+    n = 150
+    rows = [(1, i, i - 1) for i in range(n)] + [(2, i, 0 if i else None) for i in range(n)] + [(3, i, None) for i in range(n)]
+    rows += [(4, i, i) for i in range(n)] + [(5, i, (i + 1) % n) for i in range(n)] + [(5, n + i, i) for i in range(n)]
+    df = spark.createDataFrame(rows, LINKS)
+    near, far = ({tuple(map(str, r)) for r in h.hierarchy(df, True, bound).collect()} for bound in (10**6, 100))
+    assert near == far and len(near) == len(rows)
 
 
 def test_empty_and_deep_chain(spark):
@@ -81,7 +92,7 @@ def test_paths_of_deep_chain_come_in_bounded_batches():
     chain = pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int64)), pa.array(ids), pa.array(ids - 1)], names=["group_id", "label_id", "parent_id"])
     rows = 0
     for b in h._local(True)(iter([chain])):
-        paths = b.column(9)
+        paths = b.column(10)
         assert len(paths.flatten()) <= 4_000_000
         for k in (0, len(paths) - 1):
             assert np.array_equal(paths[k].values.to_numpy(), np.arange(b.column(1)[k].as_py() + 1))

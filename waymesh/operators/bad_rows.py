@@ -1,15 +1,14 @@
 """Delimited records that do not fit their file: kept apart with a reason, the rest loaded as typed rows.
 
-A record is parsed at minimum cost.  Quotes come first: dynamic programming
-over the characters inserts or deletes quotes until the text is a list of well
-formed fields.  Delimiters come second: over the fields, delimiters are
-inserted or deleted until they match the header, and values that do not fit
-their column cost less than a delimiter, so the repair keeps typed values in
-their columns.  A record of cost zero with valid values loads; for the others
-the edit operations state the reason.
-
-The well-formed majority is recognised by one compiled pattern for each
-distinct header, so the programs below run for suspects only.
+A record is parsed at minimum cost: one dynamic program over the position, the
+state of quoting and the column inserts and deletes quotes and delimiters until
+the text is a list of well formed fields, as many as the header has.  Of the
+repairs of least cost the one with fewest values that do not fit their column
+holds, so typed values stay in their columns.  A record of cost zero with valid
+values loads; for the others the edit operations state the reason.
+
+Records that need no edit are recognised by compiled patterns, so the program
+runs for the others only.  It is the same for records of any length.
 """
 
 from __future__ import annotations
@@ -87,127 +86,181 @@ def value_error(text: str, column: tuple[str, bool, float | None, float | None])
     return None
 
 
-def repair_quotes(raw: str) -> tuple[int, list[str], list[str]]:
-    """Fewest quote insertions and deletions that make ``raw`` a list of fields: (cost, fields, edits).
+_TOKEN = re.compile(r'"|,|[^",]+')
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_WELL_FORMED = re.compile(f"{_FIELD}(?:,{_FIELD})*")
+_ONE_FIELD = re.compile(f"({_FIELD})(?:,|$)")
+_S, _P, _Q, _E = range(4)
+_NEVER = 1 << 30
 
-    States between characters: S at the start of a field, P in a plain field,
-    Q inside quotes, E just behind a closing quote (which may also be the first
-    half of a doubled one).  Delimiters are left alone here.  Linear in the text.
-    """
+
+def split_fields(raw: str) -> list[str] | None:
+    """Fields of a record whose quotes are well formed, else None."""
     if '"' not in raw:
-        return 0, raw.split(","), []
-    S, P, Q, E = range(4)
-    inf = 1 << 30
-    cost = [0, inf, inf, inf]
-    back: list[list[tuple[int, str] | None]] = []
-    for ch in raw:
-        nxt, how = [inf] * 4, [None] * 4
-
-        def go(frm: int, to: int, c: int, edit: str) -> None:
-            if cost[frm] + c < nxt[to]:
-                nxt[to], how[to] = cost[frm] + c, (frm, edit)
-
-        if ch == '"':
-            go(S, Q, 0, "open")
-            go(Q, E, 0, "close")
-            go(E, Q, 0, "double")
-            for s in (S, P, Q, E):  # taken out
-                go(s, s, 1, "delete")
-            go(Q, Q, 1, "escape")  # doubled by an insertion
-        elif ch == ",":
-            for s in (S, P, E):
-                go(s, S, 0, "next")
-            go(Q, Q, 0, "keep")
-            go(Q, S, 1, "close before")
+        return raw.split(",")
+    if not _WELL_FORMED.fullmatch(raw):
+        return None
+    fields, at = [], 0
+    while at <= len(raw):
+        m = _ONE_FIELD.match(raw, at)
+        f = m[1]
+        fields.append(f[1:-1].replace('""', '"') if f.startswith('"') else f)
+        at += len(f) + 1
+    return fields
+
+
+def _costs(tokens: list[str], m: int) -> list[list[list[int]]]:
+    """Fewest edits from each token, state and column to the end.
+
+    States: S at the start of a field, P in a plain field, Q inside quotes, E
+    just behind a closing quote, which may be the first half of a doubled one.
+    """
+    done = [[_NEVER] * m for _ in range(4)]
+    for s in (_S, _P, _E):
+        done[s][m - 1] = 0
+    out = [done]
+    for token in [None, *reversed(tokens)]:
+        n = out[-1]
+        if token is None:
+            S, P, Q, E = n
+            out = []
+        elif token == '"':
+            S = [min(a, b + 1) for a, b in zip(n[_Q], n[_S])]
+            P = [a + 1 for a in n[_P]]
+            Q = [min(a, b + 1) for a, b in zip(n[_E], n[_Q])]
+            E = [min(a, b + 1) for a, b in zip(n[_Q], n[_E])]
+        elif token == ",":
+            nxt = [*n[_S][1:], _NEVER]
+            S, P, E = ([min(a, b + 1) for a, b in zip(nxt, n[s])] for s in (_S, _P, _E))
+            Q = n[_Q][:]
         else:
-            go(S, P, 0, "keep")
-            go(P, P, 0, "keep")
-            go(Q, Q, 0, "keep")
-            go(S, Q, 1, "open before")
-        cost = nxt
-        back.append(how)
-    ends = [(cost[s] + (s == Q), s) for s in (S, P, E, Q)]
-    total, s = min(ends)
-    edits = [f"insert quote at {len(raw)}"] if s == Q else []
-    steps = []
-    for i in range(len(raw) - 1, -1, -1):
-        frm, edit = back[i][s]
-        steps.append(edit)
-        s = frm
-    steps.reverse()
-    fields, now = [], []
-    for i, (ch, edit) in enumerate(zip(raw, steps)):
-        if edit == "delete":
-            edits.append(f"delete quote at {i}")
-        elif edit in ("close before", "open before"):
-            edits.append(f"insert quote at {i}")
-        elif edit == "escape":
-            edits.append(f"insert quote at {i}")
-        if edit in ("next", "close before"):
-            fields.append("".join(now))
-            now = []
-        elif edit in ("keep", "open before", "escape", "double"):
-            now.append(ch)
-    fields.append("".join(now))
-    return total, fields, edits
-
-
-def repair_columns(fields: list[str], columns: list[tuple]) -> tuple[int, list[str], list[str]]:
-    """Fewest delimiter insertions and deletions that fit ``fields`` to ``columns``: (edits' number, values, edits).
-
-    An inserted delimiter leaves a column empty, a deleted one joins a field
-    to the one before.  Among repairs of equal number the one with fewest
-    unfit values holds.  A header without columns takes no repair.
+            S, P, Q, E = n[_P][:], n[_P], n[_Q][:], [_NEVER] * m
+            P = P[:]
+        up = _NEVER
+        for j in range(m - 1, -1, -1):
+            P[j] = min(P[j], up)
+            e = min(E[j], up)
+            Q[j] = min(Q[j], e + 1)
+            E[j] = min(e, Q[j] + 1)
+            S[j] = min(S[j], up, Q[j] + 1)
+            up = S[j] + 1
+        out.append([S, P, Q, E])
+    return out[::-1]
+
+
+def repair(raw: str, columns: list[tuple]) -> tuple[int, list[str], list[str]]:
+    """Fewest insertions and deletions of quotes and delimiters that make ``raw`` a list of fields as long as ``columns``: (cost, values, edits).
+
+    A delimiter taken out stays in its value as text.  Of repairs of equal cost
+    the one with fewest unfit values holds; within a field the edits first
+    found do.  The time grows with the length of the record times its columns:
+    a value with a delimiter in it fits a text and no other kind, so where such
+    a value began need not be remembered; only addresses may hold delimiters.
     """
-    n, m = len(fields), len(columns)
-    if n == m:
-        return 0, fields, []
-    inf = (1 << 30, 0)
-    best = [[inf] * (m + 1) for _ in range(n + 1)]
-    how: dict[tuple[int, int], int] = {}  # number of fields that make the column
-    best[0][0] = (0, 0)
-    empty = [value_error("", c) is not None for c in columns]
-    starts = [k for k, f in enumerate(fields) if _SCHEME.match(f.lstrip(BLANKS))]
-    for j in range(1, m + 1):
-        column = columns[j - 1]
-        # A join of several fields has a delimiter in it, so it fits a text and no other kind; of addresses only what begins as one can fit.
-        unfit = int(column[0] != "text")
-        long, wide = inf, 0  # the best join of several fields that ends here, and its width
-        for i in range(n + 1):
-            c, u = best[i][j - 1]
-            tries = [((c + 1, u + empty[j - 1]), 0)]
-            if i:
-                c, u = best[i - 1][j - 1]
-                tries.append(((c, u + (value_error(fields[i - 1], column) is not None)), 1))
-            if i > 1:
-                c, u = best[i - 2][j - 1]
-                long, wide = min(((c + 1, u + unfit), 2), ((long[0] + 1, long[1]), wide + 1))
-                tries.append((long, wide))
-            if column[0] == "url":
-                for k in starts:
-                    if k < i - 1 and value_error(",".join(fields[k:i]), column) is None:
-                        c, u = best[k][j - 1]
-                        tries.append(((c + i - k - 1, u), i - k))
-            best[i][j], how[i, j] = min(tries)
-    i, values, edits = n, [""] * m, []
-    for j in range(m, 0, -1):
-        k = how[i, j]
-        values[j - 1] = ",".join(fields[i - k : i])
-        edits += [f"insert delimiter for column {j - 1}"] if not k else [f"delete delimiter before field {x}" for x in range(i - 1, i - k, -1)]
-        i -= k
-    return best[n][m][0], values, edits[::-1]
+    m = len(columns)
+    tokens = _TOKEN.findall(raw)
+    place = [0]
+    for x in tokens:
+        place.append(place[-1] + len(x))
+    end = len(tokens)
+    left = _costs(tokens, m)
+    # nodes: (token, state, column, start of the value or -1 where it holds a delimiter)
+    start = (0, _S, 0, 0)
+    links: dict[tuple, tuple] = {start: (0, None, None, "", False)}
+    best: dict[tuple, int] = {start: 0}
+    finish: tuple | None = None
+    least = _NEVER
+
+    def value(node: tuple) -> str:
+        parts = []
+        while True:
+            _, back, _, piece, opens = links[node]
+            if opens or back is None:
+                return "".join(reversed(parts))
+            parts.append(piece)
+            node = back
+
+    def unfit(node: tuple) -> int:
+        return 0 if node[3] < 0 else int(value_error(value(node), columns[node[2]]) is not None)
+
+    levels: list[list[tuple]] = [[] for _ in range(end + 1)]
+    levels[0].append(start)
+    for t in range(end + 1):
+        queue = levels[t]
+        token = tokens[t] if t < end else None
+        i = 0
+        while i < len(queue):
+            node = queue[i]
+            i += 1
+            _, s, j, began = node
+            have, cost = best[node], left[t][s][j]
+
+            def go(t2: int, s2: int, price: int, edit: str | None, piece: str = "", nxt: bool = False, comma: bool = False) -> None:
+                j2 = j + nxt
+                if j2 == m or left[t2][s2][j2] + price != cost:
+                    return
+                ways = [(t2 if nxt else began, have + unfit(node) if nxt else have)]
+                if comma and began >= 0:
+                    ways = [(-1, have + (columns[j][0] != "text"))]
+                    if columns[j][0] == "url" and _SCHEME.match(value(node).lstrip(BLANKS)):
+                        ways.append((began, have))
+                for b2, u2 in ways:
+                    to = (t2, s2, j2, b2)
+                    if u2 < best.get(to, _NEVER):
+                        if to not in best or t2 == t:
+                            levels[t2].append(to)
+                        best[to] = u2
+                        links[to] = (u2, node, edit, piece, nxt)
+
+            at = place[t]
+            if token == '"':
+                if s == _S:
+                    go(t + 1, _Q, 0, None)
+                elif s == _Q:
+                    go(t + 1, _E, 0, None)
+                    go(t + 1, _Q, 1, f"insert quote at {at}", '"')
+                elif s == _E:
+                    go(t + 1, _Q, 0, None, '"')
+                go(t + 1, s, 1, f"delete quote at {at}")
+            elif token == ",":
+                if s == _Q:
+                    go(t + 1, _Q, 0, None, ",", comma=True)
+                else:
+                    go(t + 1, _S, 0, None, nxt=True)
+                    go(t + 1, s, 1, f"delete delimiter at {at}", ",", comma=True)
+            elif token is not None and s != _E:
+                go(t + 1, _P if s == _S else s, 0, None, token)
+            if s == _S:
+                go(t, _Q, 1, f"insert quote at {at}")
+            if s == _Q:
+                go(t, _E, 1, f"insert quote at {at}")
+            else:
+                go(t, _S, 1, f"insert delimiter at {at}", nxt=True)
+            if s == _E:
+                go(t, _Q, 1, f"insert quote at {at}", '"')
+            if t == end and s != _Q and j == m - 1 and cost == 0 and have + unfit(node) < least:
+                finish, least = node, have + unfit(node)
+    values, edits, parts, node = [], [], [], finish
+    while node is not None:
+        _, back, edit, piece, opens = links[node]
+        parts.append(piece)
+        if edit:
+            edits.append(edit)
+        if opens or back is None:
+            values.append("".join(reversed(parts)))
+            parts = []
+        node = back
+    return left[0][_S][0], values[::-1], edits[::-1]
 
 
 def parse_record(raw: str, names: list[str], columns: list[tuple]) -> tuple[list[str], str, str | None, int, list[str]]:
     """(values, field, error type, cost, edits) of one record; the error type is None for a valid one."""
     text = raw.removeprefix(BOM)
     text = text.removesuffix("\r")
-    cost, fields, edits = repair_quotes(text)
-    more, values, moved = repair_columns(fields, columns)
-    if cost:
-        return values, "", "QuotingError", cost + more, edits + moved
-    if more or len(fields) != len(columns):
-        return values, "", "ColumnCountError", more, moved
+    fields = split_fields(text)
+    if fields is None or len(fields) != len(columns):
+        cost, values, edits = repair(text, columns)
+        return values, "", "QuotingError" if fields is None else "ColumnCountError", cost, edits
     for name, value, column in zip(names, fields, columns):
         if why := value_error(value, column):
             return fields, name, why, 1, [f"replace value of {name}"]
@@ -221,7 +274,7 @@ _SURE = {"time": r"(?:[0-6]?[0-9]:[0-5][0-9]:[0-5][0-9])", "date": r"(?:20[0-9][
 def _sure(column: tuple) -> str:
     kind, required, low, high = column
     if kind == "text":
-        return r'[^",\s][^",\r\n]*' if required else r'[^",\r\n]*'
+        return r'(?:[^",\s][^",\r\n]*|"[^",\s][^"]*")' if required else r'(?:[^",\r\n]*|"[^"]*")'
     if kind == "int":
         top = int(high)
         body = rf"[1-{top}]" if low == 1 and top < 10 else rf"[0-{min(9, top)}]" if top < 10 else rf"[1-9][0-9]{{0,{len(str(top)) - 2}}}"
@@ -234,7 +287,8 @@ def _sure(column: tuple) -> str:
 
 @lru_cache(maxsize=2048)
 def _plan(file: str, header: str) -> tuple[list[str], list[tuple], re.Pattern]:
-    names = [x.strip(BLANKS) for x in repair_quotes(header.removeprefix(BOM).removesuffix("\r"))[1]]
+    text = header.removeprefix(BOM).removesuffix("\r")
+    names = [x.strip(BLANKS) for x in split_fields(text) or text.replace('"', "").split(",")]
     columns = [FILES.get(file, {}).get(x, _FREE) for x in names]
     return names, columns, re.compile(",".join(map(_sure, columns)) + "\r?")
 
@@ -252,7 +306,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 names, columns, sure = _plan(file or "", header)
                 if sure.fullmatch(raw):
-                    row = (raw.removesuffix("\r").split(","), names, "", None, 0, [])
+                    row = (split_fields(raw.removesuffix("\r")), names, "", None, 0, [])
                 else:
                     values, field, why, cost, edits = parse_record(raw, names, columns)
                     row = (values, names, field, why, cost, edits)
@@ -297,14 +351,15 @@ def rejects(judged: DataFrame) -> DataFrame:
 def typed_rows(judged: DataFrame, file: str) -> DataFrame:
     """Valid records of ``file`` as typed columns; empty and absent optional values are null, times are seconds.
 
-    A record delivered again under the same feed and line counts once.
+    A record delivered again under the same feed and line counts once; of a
+    column name that a header repeats the first column holds.
     """
     rows = judged.filter((F.col("file") == file) & F.col("error_type").isNull()).dropDuplicates(["feed_id", "file", "line", "raw"])
-    cells = F.map_from_arrays("columns", "values")
-    rows = rows.select("feed_id", "line", cells.alias("cells"))
+    rows = rows.select("feed_id", "line", "columns", "values")
     out = []
     for name, (kind, *_) in FILES[file].items():
-        v = F.trim(F.translate(F.col("cells")[name], BLANKS, " " * len(BLANKS)))
+        cell = F.get("values", F.array_position("columns", name) - 1)
+        v = F.trim(F.translate(cell, BLANKS, " " * len(BLANKS)))
         v = F.when(v != "", v)
         if kind == "int":
             v = v.cast("bigint")

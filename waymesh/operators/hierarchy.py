@@ -5,10 +5,13 @@ making its members roots, and an Euler tour of the resulting forest is ranked
 by pointer jumping.  The entry and exit ranks of a label enclose exactly its
 descendants, and the signed ranks give its depth.
 
-Groups (trees) of up to ``local_rows`` labels are worked off many at a time in
-Arrow batches, all of them together in a few vectorised rounds.  Larger groups
-take the same steps as DataFrame rounds, so no group is ever gathered in one
-task beyond that bound.
+A task works off whole groups (trees) in Arrow batches, many at a time.  A
+group of more than ``local_rows`` labels is first contracted across tasks:
+rounds that peel all leaves and splice chains, each an aggregation and a join
+over what is left, until the rest fits a task, where the same peeling and
+ranking is done with weights; the rounds are then undone in reverse order.
+Sizes shrink by a constant share a round, so all of them together cost a few
+passes over the group, whatever its shape.
 """
 
 from __future__ import annotations
@@ -20,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymesh.operators.windows import lag_in_chunks
 from waymesh.session import cut, map_arrow, spread
 
 #: Labels of one group that a task may hold: about 200 bytes each without their paths, so some 600 MB, and a few seconds of work.
@@ -28,7 +30,7 @@ LOCAL_ROWS = 3_000_000
 _BUFFER = 150_000
 #: Path elements of one batch (32 MB); a single longer path is a batch of its own.
 PATH_ELEMENTS = 4_000_000
-_SCHEMA = "group_id bigint, label_id bigint, parent_id bigint, root_id bigint, cycle_id bigint, depth bigint, entry bigint, exit bigint, descendants bigint, path array<bigint>"
+_SCHEMA = "group_id bigint, label_id bigint, parent_id bigint, root_id bigint, top_id bigint, cycle_id bigint, depth bigint, entry bigint, exit bigint, descendants bigint, path array<bigint>"
 
 
 # --------------------------------------------------------------------------- in one task
@@ -97,11 +99,8 @@ def rank_tour(parent: np.ndarray, order: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
-def resolve(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent: np.ndarray, paths: bool) -> Iterator[pa.RecordBatch]:
-    """Hierarchy columns of whole groups; (group, label) must be unique.
-
-    Paths are made batch by batch and never all held: a chain of n labels has n * n / 2 elements.
-    """
+def _places(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent: np.ndarray) -> np.ndarray:
+    """Where each label's parent stands, or -1."""
     n = len(label)
     g = np.unique(group, return_inverse=True)[1].astype(np.int64)
     codes = np.unique(np.concatenate([label, parent[has_parent]]))
@@ -112,7 +111,16 @@ def resolve(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent
     at = np.searchsorted(own[by], wanted)
     hit = has_parent & (at < n)
     hit[hit] = own[by][at[hit]] == wanted[hit]
-    up = np.where(hit, by[np.minimum(at, n - 1)], -1)
+    return np.where(hit, by[np.minimum(at, n - 1)], -1)
+
+
+def resolve(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent: np.ndarray, paths: bool) -> Iterator[pa.RecordBatch]:
+    """Hierarchy columns of whole groups; (group, label) must be unique.
+
+    Paths are made batch by batch and never all held: a chain of n labels has n * n / 2 elements.
+    """
+    n = len(label)
+    up = _places(group, label, parent, has_parent)
     cyclic = peel(up)
     forest = np.where(cyclic, -1, up)
     tour = rank_tour(forest, label)
@@ -126,7 +134,7 @@ def resolve(group: np.ndarray, label: np.ndarray, parent: np.ndarray, has_parent
     cycle[bad] = low[tour["root"]][bad]
     depth = tour["depth"]
     arrays = [
-        pa.array(group), pa.array(label), pa.array(parent, mask=~has_parent), pa.array(label[tour["root"]], mask=bad), pa.array(cycle, mask=~bad),
+        pa.array(group), pa.array(label), pa.array(parent, mask=~has_parent), pa.array(label[tour["root"]], mask=bad), pa.array(label[tour["root"]]), pa.array(cycle, mask=~bad),
         pa.array(depth), pa.array(tour["entry"]), pa.array(tour["exit"]), pa.array((tour["exit"] - tour["entry"] - 1) // 2),
     ]
     names = [x.split()[0] for x in _SCHEMA.split(", ")]
@@ -186,83 +194,193 @@ def _local(paths: bool):
 # --------------------------------------------------------------------------- across tasks
 
 
-def _jump(state: DataFrame, extra: dict[str, tuple]) -> DataFrame:
-    """Pointer jumping: state(group_id, x, to, ...) until every ``to`` is null or fixed.
+_STEP = "g bigint, v bigint, up bigint, acc bigint, plus bigint, wt bigint, low bigint, via array<bigint>"
+_DONE = "g bigint, v bigint, size bigint, d bigint, top bigint, cycle bigint, path array<bigint>"
+
 
-    ``extra`` names what is carried: (identity, combine(own, next)).  Items
-    whose ``to`` is null have arrived, and only the others are joined again.
+def solve(g: np.ndarray, v: np.ndarray, up: np.ndarray, has_up: np.ndarray, acc: np.ndarray, plus: np.ndarray, wt: np.ndarray, low: np.ndarray, via: list | None) -> Iterator[pa.RecordBatch]:
+    """What is left of contracted groups: size, weighted depth, top, cycle and path of each label.
+
+    ``acc`` is the size of what was peeled into a label, itself included; the
+    link to its parent stands for spliced labels: their size ``plus``, weight
+    ``wt``, least label ``low`` and names ``via``.
     """
-    while True:
-        state = cut(state)
-        if not state.filter(F.col("to").isNotNull()).head(1):
-            return state
-        nxt = state.select(F.col("group_id").alias("g2"), F.col("x").alias("x2"), F.col("to").alias("to2"), F.col("end").alias("end2"), *[F.col(c).alias(f"{c}2") for c in extra])
-        open_ = state.filter(F.col("to").isNotNull()).join(nxt, (F.col("group_id") == F.col("g2")) & (F.col("to") == F.col("x2")))
-        moved = open_.select("group_id", "x", F.col("to2").alias("to"), F.col("end2").alias("end"), *[f(F.col(c), F.col(f"{c}2")).alias(c) for c, f in extra.items()])
-        state = state.filter(F.col("to").isNull()).unionByName(moved)
-
-
-def _large(labels: DataFrame, paths: bool) -> DataFrame:
-    """The same steps over DataFrames, for groups beyond the local bound."""
-    links = labels.select("group_id", "label_id", "parent_id")
+    n = len(v)
+    parent = _places(g, v, up, has_up)
+    cyclic = peel(parent)
+    forest = np.where(cyclic, -1, parent)
+    tour = rank_tour(forest, v)
+    ring, jump = np.minimum(v, low), parent.copy()
+    on = np.flatnonzero(cyclic)
+    for _ in range(int(len(on)).bit_length()):
+        ring[on] = np.minimum(ring[on], ring[jump[on]])
+        jump[on] = jump[jump[on]]
+    # labels of a subtree follow each other on the tour
+    by = np.lexsort((tour["entry"], tour["root"]))
+    place = np.empty(n, np.int64)
+    place[by] = np.arange(n)
+    below = (tour["exit"] - tour["entry"] - 1) // 2
+    sums = np.concatenate([[0], np.cumsum((acc + np.where(forest >= 0, plus, 0))[by])])
+    size = sums[place + below + 1] - sums[place] - np.where(forest >= 0, plus, 0)
+    # a label's weight counts for all below it: entered on the way down, left on the way up
+    steps = np.zeros(2 * n, np.int64)
+    first = np.zeros(n, np.int64)
+    roots, counts = np.unique(tour["root"], return_counts=True)
+    first[roots] = np.concatenate([[0], np.cumsum(2 * counts)[:-1]])
+    w = np.where(forest >= 0, wt, 0)
+    steps[first[tour["root"]] + tour["entry"]] = w
+    steps[first[tour["root"]] + tour["exit"]] = -w
+    d = np.cumsum(steps)[first[tour["root"]] + tour["entry"]]
+    bad = cyclic[tour["root"]]
+    arrays = [pa.array(g), pa.array(v), pa.array(size), pa.array(d), pa.array(v[tour["root"]]), pa.array(ring[tour["root"]], mask=~bad)]
+    names = [x.split()[0] for x in _DONE.split(", ")]
+    done = pa.RecordBatch.from_arrays(arrays, names=names[:-1]).take(pa.array(by))
+    deep = tour["depth"][by]
+    stack: list[list[int]] = []
+    k = 0
+    while k < n:
+        if via is None:
+            to = min(n, k + 10_000)
+            path = pa.nulls(to - k, pa.list_(pa.int64()))
+        else:
+            rows, held, to = [], 0, k
+            while to < n and (not rows or held < PATH_ELEMENTS) and len(rows) < 10_000:
+                x = int(by[to])
+                own = [int(v[x])] if forest[x] < 0 else [*stack[int(deep[to]) - 1], *via[x], int(v[x])]
+                del stack[int(deep[to]) :]
+                stack.append(own)
+                rows.append(own)
+                held += len(own)
+                to += 1
+            path = pa.array(rows, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*done.slice(k, to - k).columns, path], names=names)
+        k = to
+
+
+def _solve(paths: bool):
+    def answer(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        num = lambda c: t.column(c).fill_null(0).to_numpy()
+        low = t.column("low").fill_null(np.iinfo(np.int64).max).to_numpy()
+        yield from solve(num("g"), num("v"), num("up"), t.column("up").is_valid().to_numpy(), num("acc"), num("plus"), num("wt"), low, t.column("via").to_pylist() if paths else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) < _BUFFER:
+                continue
+            t = pa.Table.from_batches(held)
+            g = t.column("g").to_numpy()
+            whole = int(np.searchsorted(g, g[-1]))  # the last group may go on
+            if whole:
+                yield from answer(t.slice(0, whole).combine_chunks())
+                held = t.slice(whole).to_batches()
+        if held:
+            yield from answer(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _contract(nodes: DataFrame, local_rows: int, paths: bool) -> DataFrame:
+    """(g, v, size, d, top, cycle, path) of nodes(g, v, up, wt): subtree size, weight to the top, the top label or least label of the cycle met."""
+    cols = [x.split()[0] for x in _STEP.split(", ")]
+    empty = F.array().cast("array<bigint>")
+    none = F.lit(None).cast("bigint")
+    left = cut(nodes.select("g", "v", "up", F.lit(1).cast("bigint").alias("acc"), F.lit(0).cast("bigint").alias("plus"), "wt", none.alias("low"), (empty if paths else F.lit(None).cast("array<bigint>")).alias("via")))
+    undo: list[tuple[str, DataFrame]] = []
+    n = 0
+
+    def most() -> int:
+        return left.groupBy("g").count().agg(F.max("count")).head()[0] or 0
+
+    while most() > local_rows:
+        n += 1
+        # peel: every leaf goes into its parent
+        kids = left.filter("up is not null").groupBy(F.col("g").alias("g2"), F.col("up").alias("v2")).agg(F.count(F.lit(1)).alias("k"))
+        marked = cut(left.join(kids, (F.col("g") == F.col("g2")) & (F.col("v") == F.col("v2")), "left").drop("g2", "v2"))
+        leaf = F.col("k").isNull() & F.col("up").isNotNull()
+        leaves = marked.filter(leaf).drop("k")
+        into = leaves.groupBy(F.col("g").alias("g2"), F.col("up").alias("v2")).agg(F.sum(F.col("acc") + F.col("plus")).alias("more"), F.count(F.lit(1)).alias("gone"))
+        rest = marked.filter(~leaf).join(into, (F.col("g") == F.col("g2")) & (F.col("v") == F.col("v2")), "left")
+        rest = rest.withColumn("acc", F.col("acc") + F.coalesce("more", F.lit(0))).withColumn("k", F.coalesce("k", F.lit(0)) - F.coalesce("gone", F.lit(0)))
+        undo.append(("peel", leaves))
+        # a root, or a loop of one, with nothing else on it is done
+        alone = (F.col("up").isNull() & (F.col("k") == 0)) | ((F.col("up") == F.col("v")) & (F.col("k") == 1))
+        rest = cut(rest.withColumn("alone", F.coalesce(alone, F.lit(False))))
+        undo.append(("alone", rest.filter("alone").select(*cols)))
+        rest = rest.filter(~F.col("alone"))
+        # splice: a label with one child hands it to its parent; neither of the two is spliced in the same round, by hashes of their names
+        coin = lambda c: F.xxhash64("g", c, F.lit(n)) % 2 == 0
+        rest = cut(rest.select(*cols, (F.col("up").isNotNull() & (F.col("k") == 1) & (F.col("up") != F.col("v")) & coin("v") & ~coin("up")).alias("out")))
+        taken = rest.filter("out").select(F.col("g").alias("g2"), F.col("v").alias("m"), F.col("up").alias("m_up"), F.col("acc").alias("m_acc"), F.col("plus").alias("m_plus"), F.col("wt").alias("m_wt"), F.col("low").alias("m_low"), F.col("via").alias("m_via"))
+        stay = rest.filter(~F.col("out"))
+        pairs = cut(stay.join(taken, (F.col("g") == F.col("g2")) & (F.col("up") == F.col("m")), "left"))
+        hit = F.col("m").isNotNull()
+        undo.append(("splice", pairs.filter(hit).select("g", F.col("m").alias("v"), F.col("m_up").alias("up"), F.col("v").alias("child"), F.col("plus").alias("child_plus"), F.col("m_acc").alias("acc"), F.col("m_wt").alias("wt"), F.col("m_via").alias("via"))))
+        left = cut(
+            pairs.select(
+                "g", "v", F.when(hit, F.col("m_up")).otherwise(F.col("up")).alias("up"), "acc", F.when(hit, F.col("plus") + F.col("m_acc") + F.col("m_plus")).otherwise(F.col("plus")).alias("plus"),
+                F.when(hit, F.col("wt") + F.col("m_wt")).otherwise(F.col("wt")).alias("wt"), F.when(hit, F.least("low", "m", "m_low")).otherwise(F.col("low")).alias("low"),
+                (F.when(hit, F.concat("m_via", F.array("m"), "via")).otherwise(F.col("via")) if paths else F.col("via")).alias("via"),
+            )
+        )
+    known = cut(map_arrow(spread(left.select(*cols), "g").sortWithinPartitions("g"), _solve(paths), _DONE))
+    for kind, rows in reversed(undo):
+        if kind == "alone":
+            ring = F.when(F.col("up").isNotNull(), F.least("v", "low"))
+            known = known.unionByName(rows.select("g", "v", F.col("acc").alias("size"), F.lit(0).cast("bigint").alias("d"), F.col("v").alias("top"), ring.alias("cycle"), (F.array("v") if paths else F.lit(None).cast("array<bigint>")).alias("path")))
+            continue
+        p = known.select(F.col("g").alias("g2"), F.col("v").alias("p"), F.col("d").alias("p_d"), F.col("top").alias("p_top"), F.col("cycle").alias("p_cycle"), F.col("path").alias("p_path"))
+        j = rows.join(p, (F.col("g") == F.col("g2")) & (F.col("up") == F.col("p")))
+        path = F.concat("p_path", "via", F.array("v")) if paths else F.lit(None).cast("array<bigint>")
+        if kind == "peel":
+            new = j.select("g", "v", F.col("acc").alias("size"), (F.col("p_d") + F.col("wt")).alias("d"), F.col("p_top").alias("top"), F.col("p_cycle").alias("cycle"), path.alias("path"))
+        else:
+            c = known.select(F.col("g").alias("g3"), F.col("v").alias("c"), F.col("size").alias("c_size"), F.col("top").alias("c_top"), F.col("cycle").alias("c_cycle"))
+            j = j.join(c, (F.col("g") == F.col("g3")) & (F.col("child") == F.col("c")))
+            ring = F.col("c_cycle").isNotNull() & (F.col("c_top") == F.col("c"))  # its child is on the cycle, so it is, too
+            pick = lambda a, b: F.when(ring, a).otherwise(b)
+            new = j.select(
+                "g", "v", pick(F.col("acc"), F.col("acc") + F.col("c_size") + F.col("child_plus")).alias("size"), pick(F.lit(0).cast("bigint"), F.col("p_d") + F.col("wt")).alias("d"),
+                pick(F.col("v"), F.col("p_top")).alias("top"), pick(F.col("c_cycle"), F.col("p_cycle")).alias("cycle"), (pick(F.array("v"), path) if paths else path).alias("path"),
+            )
+        known = cut(known.unionByName(new))
+    return known
+
+
+def _large(labels: DataFrame, paths: bool, local_rows: int) -> DataFrame:
+    """Groups beyond the local bound: contracted once for sizes and depths, and once, with what lies before each label, for entries."""
     known = labels.select(F.col("group_id").alias("g2"), F.col("label_id").alias("p2"))
-    up = cut(links.join(known, (F.col("group_id") == F.col("g2")) & (F.col("parent_id") == F.col("p2")), "left").select("group_id", "label_id", "parent_id", F.col("p2").alias("up")))
-    # Expose cycles: after at least as many steps as there are labels, whoever is not at a root stands on a cycle,
-    # and every member of a cycle is stood upon by another member.
-    most = up.groupBy("group_id").count().agg(F.max("count")).head()[0] or 0
-    walk = up.select("group_id", F.col("label_id").alias("x"), F.col("up").alias("to"))
-    for _ in range(int(most).bit_length()):
-        walk = cut(walk.filter(F.col("to").isNotNull()))
-        nxt = walk.select(F.col("group_id").alias("g2"), F.col("x").alias("x2"), F.col("to").alias("to2"))
-        walk = walk.join(nxt, (F.col("group_id") == F.col("g2")) & (F.col("to") == F.col("x2"))).select("group_id", "x", F.col("to2").alias("to"))
-    ring = cut(walk.select("group_id", F.col("to").alias("ring")).distinct())
-    loop = ring.join(up.withColumnRenamed("group_id", "g2"), (F.col("group_id") == F.col("g2")) & (F.col("ring") == F.col("label_id"))).select("group_id", F.col("ring").alias("x"), F.col("up").alias("to"), F.col("ring").alias("low"))
-    for _ in range(int(ring.groupBy("group_id").count().agg(F.max("count")).head()[0] or 0).bit_length()):
-        loop = cut(loop)
-        nxt = loop.select(F.col("group_id").alias("g2"), F.col("x").alias("x2"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        loop = loop.join(nxt, (F.col("group_id") == F.col("g2")) & (F.col("to") == F.col("x2"))).select("group_id", "x", F.col("to2").alias("to"), F.least("low", "low2").alias("low"))
-    loop = cut(loop.select(F.col("group_id").alias("g3"), F.col("x").alias("x3"), "low"))
-    forest = cut(up.join(loop, (F.col("group_id") == F.col("g3")) & (F.col("label_id") == F.col("x3")), "left").select("group_id", "label_id", "parent_id", F.when(F.col("x3").isNull(), F.col("up")).alias("up"), "low"))
-    # Euler tour: enter (2 * code) and leave (2 * code + 1), coded as (label, side) pairs.
-    e = lambda label, side: F.struct(F.col(label).alias("v"), F.lit(side).alias("s"))
-    kids = forest.filter(F.col("up").isNotNull()).select("group_id", "up", "label_id")
-    first = kids.groupBy("group_id", "up").agg(F.min("label_id").alias("kid")).select("group_id", F.col("up").alias("label_id"), "kid")
-    mates = lag_in_chunks(kids, ["group_id", "up"], ["label_id"], F.floor(F.col("label_id") / 65536), ["label_id"], "mate", step=-1)
-    enter = forest.select("group_id", "label_id").join(first, ["group_id", "label_id"], "left").select("group_id", e("label_id", 0).alias("x"), F.when(F.col("kid").isNull(), e("label_id", 1)).otherwise(e("kid", 0)).alias("to"), F.lit(1).alias("level"))
-    leave = mates.select("group_id", e("label_id", 1).alias("x"), F.when(F.col("mate").isNull(), e("up", 1)).otherwise(F.struct(F.col("mate.label_id").alias("v"), F.lit(0).alias("s"))).alias("to"), F.lit(-1).alias("level"))
-    stop = forest.filter(F.col("up").isNull()).select("group_id", e("label_id", 1).alias("x"), F.lit(None).cast("struct<v:bigint,s:int>").alias("to"), F.lit(0).alias("level"))
-    tour = enter.unionByName(leave).unionByName(stop)
-    tour = tour.select("group_id", "x", "to", F.when(F.col("to").isNull(), F.col("x.v")).alias("end"), F.when(F.col("to").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), F.col("level").cast("bigint").alias("level"))
-    add = lambda a, b: a + b
-    tour = _jump(tour, {"steps": add, "level": add})
-    sides = tour.groupBy("group_id", F.col("x.v").alias("label_id"), F.col("end").alias("root")).agg(
-        F.max(F.when(F.col("x.s") == 0, F.col("steps"))).alias("en"), F.max(F.when(F.col("x.s") == 1, F.col("steps"))).alias("ex"), F.max(F.when(F.col("x.s") == 0, 1 - F.col("level"))).alias("depth")
-    )
-    tops = sides.filter(F.col("label_id") == F.col("root")).select(F.col("group_id").alias("g4"), F.col("root").alias("r4"), F.col("en").alias("length"))
-    sides = sides.join(tops, (F.col("group_id") == F.col("g4")) & (F.col("root") == F.col("r4"))).drop("g4", "r4")
-    rings = loop.withColumnRenamed("low", "cycle_id")
-    out = sides.join(rings, (F.col("group_id") == F.col("g3")) & (F.col("root") == F.col("x3")), "left").join(forest.select("group_id", "label_id", "parent_id", "up"), ["group_id", "label_id"])
-    if paths:
-        grow = forest.select("group_id", F.col("label_id").alias("x"), F.col("up").alias("to"), F.lit(None).cast("bigint").alias("end"), F.array("label_id").alias("path"))
-        grow = _jump(grow, {"path": lambda a, b: F.concat(b, a)}).select("group_id", F.col("x").alias("label_id"), "path")
-        out = out.join(grow, ["group_id", "label_id"])
-    else:
-        out = out.withColumn("path", F.lit(None).cast("array<bigint>"))
+    up = cut(labels.join(known, (F.col("group_id") == F.col("g2")) & (F.col("parent_id") == F.col("p2")), "left").select(F.col("group_id").alias("g"), F.col("label_id").alias("v"), "parent_id", F.col("p2").alias("up")))
+    tree = _contract(up.select("g", "v", "up", F.lit(1).cast("bigint").alias("wt")), local_rows, paths)
+    all_ = cut(up.join(tree, ["g", "v"]).withColumn("up", F.when(~(F.col("cycle").isNotNull() & (F.col("top") == F.col("v"))), F.col("up"))))
+    # what siblings before a label take up: sums of chunks of 65,536 names, then within each chunk
+    chunk = F.floor(F.col("v") / 65536)
+    kids = all_.filter("up is not null").select("g", "up", "v", "size", chunk.alias("chunk"))
+    sums = kids.groupBy("g", "up", "chunk").agg(F.sum("size").alias("s"))
+    before = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("g", "up").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
+    inner = F.coalesce(F.sum("size").over(Window.partitionBy("g", "up", "chunk").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = kids.withColumn("inner", inner).join(before, ["g", "up", "chunk"]).select("g", "v", (1 + 2 * (F.col("base") + F.col("inner"))).alias("wt"))
+    entry = _contract(all_.select("g", "v", "up").join(place, ["g", "v"], "left").select("g", "v", "up", F.coalesce("wt", F.lit(0)).cast("bigint").alias("wt")), local_rows, False)
+    out = all_.join(entry.select("g", "v", F.col("d").alias("entry")), ["g", "v"])
     return out.select(
-        "group_id", "label_id", "parent_id", F.when(F.col("cycle_id").isNull(), F.col("root")).alias("root_id"), "cycle_id", "depth",
-        (F.col("length") - F.col("en")).alias("entry"), (F.col("length") - F.col("ex")).alias("exit"), F.expr("(en - ex - 1) div 2").alias("descendants"), "path",
+        F.col("g").alias("group_id"), F.col("v").alias("label_id"), "parent_id", F.when(F.col("cycle").isNull(), F.col("top")).alias("root_id"), F.col("top").alias("top_id"), F.col("cycle").alias("cycle_id"), F.col("d").alias("depth"),
+        "entry", (F.col("entry") + 2 * F.col("size") - 1).alias("exit"), (F.col("size") - 1).alias("descendants"), "path",
     )
 
 
 def hierarchy(links: DataFrame, paths: bool = True, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """links(group_id bigint, label_id bigint, parent_id bigint) -> one row per label.
 
-    root_id is null and cycle_id set for labels that never reach a root; their
-    ``depth`` is the number of links to the first label on the cycle and their
+    root_id is null and cycle_id set for labels that never reach a root; top_id
+    is the root, or the label on the cycle that is met first; their ``depth`` is the number of links to the first label on the cycle and their
     ``path`` begins there.  All descendants of label d are the labels x of its
     group and root with d.entry < x.entry and x.exit < d.exit (the same holds
     within what hangs off one cycle label); ``descendants`` counts them.
-    ``path`` runs from the root to the label; ``paths=False`` leaves it null.
+    ``path`` runs from the root to the label; ``paths=False`` leaves it null, and
+    ``ancestors_of`` gives the paths of chosen labels from their intervals.
 
     * A parent that is null or no label of the group makes the label a root; a
       label that is its own parent is a cycle of one.
@@ -279,7 +397,7 @@ def hierarchy(links: DataFrame, paths: bool = True, local_rows: int = LOCAL_ROWS
         return map_arrow(spread(labels, "group_id").sortWithinPartitions("group_id"), _local(paths), _SCHEMA)
     small = labels.join(large, "group_id", "left_anti")
     near = map_arrow(spread(small, "group_id").sortWithinPartitions("group_id"), _local(paths), _SCHEMA)
-    return near.unionByName(_large(labels.join(large, "group_id", "left_semi"), paths))
+    return near.unionByName(_large(labels.join(large, "group_id", "left_semi"), paths, local_rows))
 
 
 def tree_links(labels: DataFrame) -> DataFrame:
@@ -297,10 +415,23 @@ def tree_links(labels: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("tree_id").alias("group_id"), "label_id").agg(first.alias("f")).select("group_id", "label_id", F.col("f.parent_id").alias("parent_id"))
 
 
+def ancestors_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(group_id, label_id, ancestor_id, depth) of the ``wanted``(group_id, label_id) labels, by interval containment.
+
+    Full paths of chosen labels where arrays of all paths would be quadratic:
+    the ancestors by ``depth``, the label itself at the end.
+    """
+    asked = tree.join(wanted.select("group_id", "label_id").distinct(), ["group_id", "label_id"])
+    a = asked.select(F.col("group_id").alias("g"), "label_id", F.col("top_id").alias("r"), F.col("entry").alias("en"), F.col("exit").alias("ex"))
+    b = tree.select("group_id", F.col("label_id").alias("ancestor_id"), F.col("top_id").alias("root"), "entry", "exit", "depth")
+    inside = (F.col("g") == F.col("group_id")) & (F.col("r") == F.col("root")) & (F.col("entry") <= F.col("en")) & (F.col("ex") <= F.col("exit"))
+    return a.join(b, inside).select("group_id", "label_id", "ancestor_id", "depth")
+
+
 def descendants_of(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """(group_id, label_id, descendant_id) of the ``wanted``(group_id, label_id) labels, by interval containment."""
     tops = tree.join(wanted.select("group_id", "label_id").distinct(), ["group_id", "label_id"])
-    top = F.coalesce(F.col("root_id"), F.element_at("path", 1))
+    top = F.col("top_id")
     a = tops.select(F.col("group_id").alias("g"), F.col("label_id").alias("top"), top.alias("r"), F.col("entry").alias("en"), F.col("exit").alias("ex"))
     b = tree.select("group_id", F.col("label_id").alias("descendant_id"), top.alias("root"), "entry", "exit")
     inside = (F.col("g") == F.col("group_id")) & (F.col("r") == F.col("root")) & (F.col("en") < F.col("entry")) & (F.col("exit") < F.col("ex"))

@@ -36,7 +36,7 @@ def p2_rejects(spark: SparkSession, d: str) -> DataFrame:
 
 def _typed(file: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return bad_rows.typed_rows(_judged(spark, d), file)
+        return bad_rows.typed_rows(bad_rows.judge_lines(table(spark, d, "gtfs_lines").filter(F.col("file") == file)), file)
 
     return run
 
