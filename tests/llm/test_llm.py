@@ -168,6 +168,71 @@ def test_pseudonyms_keep_format_and_link():
     assert pii.redact(None, b"k") is None
 
 
+def tags(text):
+    return pii.redact(text, b"k")
+
+
+def test_one_value_has_one_pseudonym_however_it_is_written():
+    digits = lambda t: "".join(ch for ch in t if ch.isdigit())
+    us = [pii.phone_pseudonym(x, b"k") for x in ("+1 212 555 0123", "(212) 555-0123", "1-212-555-0123", "001 212 555 0123")]
+    assert len({digits(x)[-10:] for x in us}) == 1 and digits(us[0])[0] == "1"
+    de = [pii.phone_pseudonym(x, b"k") for x in ("+49 (0)30 2312 5329", "+49 30 23125329", "030 23125329", "0049 30 23125 329")]
+    assert len({digits(x)[-10:] for x in de}) == 1 and all(x.startswith(p) for x, p in zip(de, ("+49 (0)", "+49 ", "0", "0049 ")))
+    assert pii.phone_pseudonym("+351 21 234 5678", b"k").startswith("+351 ")
+    a, b = pii.phone_pseudonym("(617) 555-0149 ext. 93", b"k"), pii.phone_pseudonym("617-555-0149", b"k")
+    assert digits(a)[:10] == digits(b) and digits(a)[10:] != "93"
+    assert all(pii.phone_pseudonym(pii.phone_pseudonym(x, b"k"), b"k", back=True) == x for x in ("+49 (0)30 2312 5329", "(617) 555-0149 ext. 93"))
+    names = [tags(f"My name is {n}.") for n in ("Anna Müller", "Müller, Anna", "A. Müller")]
+    parts = [pii.placeholder("name", n, b"k")[6:-1].split("-") for n in ("Anna Müller", "Müller, Anna", "A. Müller", "ANNA MÜLLER", "Andrea Müller", "Anna Meier")]
+    assert parts[0] == parts[1] == parts[3] and parts[2] == parts[0][:2] and parts[4][:2] == parts[0][:2] and parts[4] != parts[0] and parts[5][0] != parts[0][0]
+    assert names[0].startswith("My name is [NAME ")
+
+
+def test_check_digits_are_made_anew():
+    for good in ("12345678Z", "X1234567L", "12.345.678-Z"):
+        new = pii.identity_pseudonym(good, b"k")
+        assert pii.check_kind(good) == "dni" and pii.check_kind(new) == "dni" and new != good
+        assert pii.identity_pseudonym(new, b"k", back=True) == good
+    assert pii.check_kind("12345678A") is None and pii.identity_pseudonym("12345678A", b"k") != "12345678A"
+    nir = "2 55 08 14 168 025 38"
+    assert pii.check_kind(nir) == "nir" and pii.check_kind(pii.identity_pseudonym(nir, b"k")) == "nir"
+
+
+def test_dates_of_birth_are_permuted_in_their_format():
+    for text in ("1987-03-12", "12.03.1987", "12/03/1987", "29.02.2000"):
+        new = pii.date_pseudonym(text, b"k")
+        assert new != text and len(new) == len(text) and pii.date_pseudonym(new, b"k", back=True) == text or "/" in text
+    assert pii.date_pseudonym("1987-03-12", b"k").split("-") == pii.date_pseudonym("12.03.1987", b"k").split(".")[::-1]
+    assert pii.date_pseudonym("31.02.1987", b"k") is None and pii.date_pseudonym("1500-01-01", b"k") is None
+    out = pii.redact("I was born on 12.03.1987, the bus left on 13.03.2024. DOB: 1990-01-31", b"k")
+    assert "12.03.1987" not in out and "1990-01-31" not in out and "13.03.2024" in out and out.count("[DATE ") == 2
+
+
+HELD_OUT = ["Oliver Smith", "Sophie Marchand", "Hans Gruber", "Chiamaka Obi", "Zbigniew Kowalski", "Ravi Patel", "Ayşe Demir", "Björn Lindqvist", "Siobhán O'Neill", "Pieter van der Meer", "Lucía Fernández-Soto", "Tariq Haddad"]
+CONTEXTS = [
+    "It belongs to {}.", "My colleague {} lost it there.", "name: {}", "Thanks to {} for the hint.", "{} called me about the detour.", "We met Mr {} at the depot.", "Signed by {}.", "Mi vecina {} lo vio.",
+    "Meine Kollegin {} wartet noch.", "Our driver, {}, stopped twice.", "Please write to Dr. {}, she knows.", "Das Fahrrad gehört {}.", "Notre voisin {} attend.", "My name is {}.",
+]
+
+
+def test_names_that_no_list_holds():
+    assert not {n.split()[0].lower() for n in HELD_OUT} & {x.lower() for x in pii.GIVEN_NAMES}
+    cases = [(c.format(n), n) for n in HELD_OUT for c in CONTEXTS]
+    hit = sum(("name", n) in found(t) for t, n in cases)
+    assert hit / len(cases) >= 0.9, [t for t, n in cases if ("name", n) not in found(t)]
+    for text in ("My friend Victoria Station is no person.", "The bus to Baker Street called twice.", "name: Main Street", "They wrote down my question.", "Thanks to all of you."):
+        assert [k for k, _ in found(text) if k == "name"] == [], text
+    assert found("I live at 12 Elm Grove, Leeds LS1 4AB now") == [("address", "12 Elm Grove, Leeds LS1 4AB")]
+
+
+def test_several_targets_of_one_source(spark):
+    _, df = counts(spark, 300)
+    T = "mix_id string, source string, target_share double, max_repeats int"
+    one = {tuple(r) for r in mixing.draw(df, spark.createDataFrame([("m", "big", 1.0, 1)], T), 2000.0)[0].collect()}
+    two = {tuple(r) for r in mixing.draw(df, spark.createDataFrame([("m", "big", 0.25, 1), ("m", "big", 0.75, 3), ("m", "big", 0.75, 3)], T), 2000.0)[0].collect()}
+    assert one == two
+
+
 def test_tables(spark):
     df = spark.createDataFrame([(1, "mail a@b.example", "s", "1"), (1, "mail a@b.example", "s", "1"), (2, None, None, None), (3, "", "s", "1")], DOCS).selectExpr("*", "'x' as kind")
     assert [tuple(r) for r in pii.personal_items(df).collect()] == [(1, "email", 5, 16)]

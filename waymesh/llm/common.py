@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.session import widen
+from waymesh.session import join_small, widen
 
 __all__ = ["once", "widen"]
 
@@ -20,7 +20,7 @@ def once(df: DataFrame, key: str, first: str) -> DataFrame:
     twice = twice.withColumn("__twice", F.lit(True))
     if not twice.head(1):
         return df
-    marked = df.join(twice, key, "left")
+    marked = join_small(df, twice, key)
     single = marked.filter(F.col("__twice").isNull()).select(*df.columns)
     row = F.struct(*[F.col(c) for c in df.columns])
     rest = marked.filter(F.col("__twice")).groupBy(key).agg(F.min_by(row, F.struct(first, *[c for c in df.columns if c not in (key, first)])).alias("r"))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymesh.session import cut
@@ -66,26 +66,23 @@ def thresholds(counts: DataFrame, wanted: list[dict]) -> list[dict]:
         high, low = BITS * (LEVELS - level), BITS * (LEVELS - level - 1)
         spots = F.broadcast(spark.createDataFrame(live, "source string, prefix bigint"))  # at most one row a budget
         rows = counts.join(spots, "source") if level == 0 else counts.join(spots, (counts["source"] == spots["source"]) & (F.shiftright("h", high) == spots["prefix"])).drop(spots["source"])
-        sums = rows.groupBy("source", "prefix", F.shiftright("h", low).bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
-        hist = defaultdict(list)
-        for r in sums:
-            hist[r["source"], r["prefix"]].append((r["b"], r["n"], r["docs"]))
-        for w in wanted:
-            if not w["open"]:
-                continue
-            edge = 1 << BITS
-            for b, n, docs in sorted(hist[w["source"], w["prefix"]]):
-                if w["done"] + n > w["rest"]:
-                    edge, over, one = b, n, docs == 1 or level == LEVELS - 1
-                    break
-                w["done"] += n
-            if edge == 1 << BITS:
+        sums = rows.groupBy("source", "prefix", F.shiftright("h", low).bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint")).alias("b")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+        upto = sums.withColumn("upto", F.sum("n").over(Window.partitionBy("source", "prefix").orderBy("b")))  # at most 1024 rows a window
+        asked = spark.createDataFrame([(i, w["source"], w["prefix"], float(w["rest"] - w["done"])) for i, w in enumerate(wanted) if w["open"]], "i int, source string, prefix bigint, room double")
+        over = F.min(F.when(F.col("upto") > F.col("room"), F.struct("b", "upto", "n", "docs"))).alias("edge")
+        # the bucket in which each budget is reached: one row a budget comes to the driver
+        for r in upto.join(F.broadcast(asked), ["source", "prefix"]).groupBy("i").agg(over, F.sum("n").alias("all")).collect():
+            w, edge = wanted[r["i"]], r["edge"]
+            if edge is None:
+                w["done"] += r["all"]
                 w["below"], w["open"] = (w["prefix"] + 1) << high, False
-            elif one:
-                take = w["done"] + over - w["rest"] < w["rest"] - w["done"]
-                w["below"], w["open"] = ((w["prefix"] << BITS) + edge + take) << low, False
+                continue
+            w["done"] += edge["upto"] - edge["n"]
+            if edge["docs"] == 1 or level == LEVELS - 1:
+                take = w["done"] + edge["n"] - w["rest"] < w["rest"] - w["done"]
+                w["below"], w["open"] = ((w["prefix"] << BITS) + edge["b"] + take) << low, False
             else:
-                w["prefix"] = (w["prefix"] << BITS) + edge
+                w["prefix"] = (w["prefix"] << BITS) + edge["b"]
     return wanted
 
 
@@ -101,13 +98,17 @@ def draw(counts: DataFrame, targets: DataFrame, total: float | None = None) -> t
     * Sources are compared as written.  Documents with a null source or no
       token are never drawn.  Targets that are null, zero or capped at zero
       draw nothing.
+    * Repeated rows count once; several targets of one mix and source are one
+      of their summed share and least cap.
     * Shares are met to within half of one document, as far as the caps allow.
     * Empty tables give empty mixes.
     More than MAX_TARGETS targets raise ValueError: they are planned on the
     driver, and what is broadcast has at most that many rows.
     """
     spark = counts.sparkSession
-    plan = targets.select("mix_id", "source", "target_share", "max_repeats").distinct().limit(MAX_TARGETS + 1).collect()
+    each = targets.select("mix_id", "source", "target_share", "max_repeats").distinct()
+    each = each.groupBy("mix_id", "source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
+    plan = each.limit(MAX_TARGETS + 1).collect()
     if len(plan) > MAX_TARGETS:
         raise ValueError(f"more than {MAX_TARGETS} targets")
     names = spark.createDataFrame(sorted({(r["source"],) for r in plan if r["source"] is not None}), "source string")
