@@ -210,6 +210,7 @@ def _compiled():
         "address": [c(p) for p in _ADDRESSES],
         "context": [(cues, c(p, regex.M)) for cues, p in _NAME_CONTEXTS],
         "given": low,
+        "digit": c(r"\d"),
         "birth": c(r"(?i:\bborn(?: on)?|\bd\.?o\.?b\.?|\bdate of birth|\bgeb(?:oren|\.)?(?: am)?|\bgeburtsdatum|\bnée? le|\bdate de naissance|\bnacid[oa] el|\bfecha de nacimiento)[ \t:]{1,3}(?P<n>\d{1,4}([-./])\d{1,2}\2\d{1,4})(?![\w])"),
         "id_word": c(r"(?<![\w])(?:ID|id|NI)(?![\w])"),
         "id_shape": c(r"[A-Z][ -]?\d{2}|\d{2}[./-]\d|\d-?[A-Z](?![\w])|[12] \d\d \d"),
@@ -260,7 +261,8 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     rx = _compiled()
-    text = text.translate(_SAME_LENGTH)
+    if not text.isascii():
+        text = text.translate(_SAME_LENGTH)
     taken: list[tuple[int, int, str]] = []
 
     def add(kind: str, a: int, b: int) -> None:
@@ -288,8 +290,7 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
                 for m in p.finditer(text):
                     if local := rx["local"].search(text, _word_start(text, m.start()), m.start()):
                         add("email", local.start(), m.end())
-    digits = any(ch.isdigit() for ch in text)
-    if digits:
+    if rx["digit"].search(text):
         for p in rx["labelled"] if labels or rx["id_word"].search(text) else ():
             for m in p.finditer(text):
                 if sum(ch.isdigit() for ch in m["n"]) >= 4:
@@ -560,7 +561,7 @@ def placeholder(kind: str, text: str, key: bytes) -> str:
 
 def find_dates(text: str | None) -> list[tuple[str, int, int]]:
     """("date", start, end) of dates of birth: dates in a known format behind words that say so.  Other dates are no person's."""
-    if not text or not any(ch.isdigit() for ch in text):
+    if not text or not _compiled()["digit"].search(text):
         return []
     rx = _compiled()["birth"]
     return [("date", *m.span("n")) for m in rx.finditer(text) if date_pseudonym(m["n"], b"0") is not None]
