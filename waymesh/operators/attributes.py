@@ -25,13 +25,30 @@ TRACK_TYPES = ("grade1", "grade2", "grade3", "grade4", "grade5")
 ACCESS_VALUES = ("yes", "destination", "customers", "delivery", "private", "agricultural", "forestry", "no")
 ACCESS_KEYS = {"car": ("motorcar", "motor_vehicle", "vehicle", "access"), "bike": ("bicycle", "vehicle", "access"), "foot": ("foot", "access"), "bus": ("bus", "psv", "motor_vehicle", "vehicle", "access"), "hgv": ("hgv", "motor_vehicle", "vehicle", "access")}
 CLOSED = ("no", "restricted", "military", "emergency", "private", "permit", "service")
-CAR_ROADS = {"motorway": 100, "motorway_link": 70, "trunk": 70, "trunk_link": 65, "primary": 65, "primary_link": 60, "secondary": 60, "secondary_link": 50, "tertiary": 50, "tertiary_link": 40, "unclassified": 30, "residential": 30, "living_street": 6, "service": 20, "road": 20, "track": 15}
+CAR_ROADS = {"motorway": 100, "motorway_link": 70, "trunk": 70, "trunk_link": 65, "primary": 65, "primary_link": 60, "secondary": 60, "secondary_link": 50, "tertiary": 50, "tertiary_link": 40, "unclassified": 30, "residential": 30, "living_street": 6, "pedestrian": 6, "service": 20, "road": 20, "track": 15}
 BIKE_SPEEDS = {"cycleway": 18, "path": 12, "residential": 18, "service": 14, "unclassified": 16, "track": 12, "tertiary": 18, "secondary": 18, "primary": 18, "living_street": 6, "pedestrian": 6, "footway": 6, "steps": 2}
-BAD_SURFACES = ("cobblestone", "grass", "gravel", "sand", "paving_stones", "dirt", "ground", "unpaved", "compacted")
+TRACK_SPEEDS = {"grade1": 20.0, "grade2": 15.0, "grade3": 10.0}
+BAD_SURFACES = ("cobblestone", "unhewn_cobblestone", "sett", "grass_paver", "gravel", "fine_gravel", "pebblestone", "sand", "paving_stones", "dirt", "earth", "ground", "wood", "grass", "unpaved", "compacted")
 FOOT_ROADS = ("footway", "path", "steps", "pedestrian", "living_street", "track", "residential", "service", "platform", "unclassified", "tertiary", "secondary", "primary", "cycleway", "road", "bridleway")
 MAX_SPEED_CAP, MAX_SPEED_FLOOR, WALK_SPEED, MPH, KNOT = 150.0, 4.8, 6.0, 1.609344, 1.852
 NETWORK_RANK = {"icn": 1, "ncn": 2, "rcn": 3, "lcn": 4}
-NO_VALUE = ("none", "default", "no_sign", "unsigned", "unknown", "below_default", "no_indications")
+NO_VALUE = ("none", "unknown", "unsigned", "fixme", "small")
+BAD_PARTS = ("unrestricted", "narrow", ";", ":", "(", ">", "<", "-", ",")
+UNLIMITED_ROADS = ("motorway", "motorway_link", "trunk", "trunk_link", "primary")
+TUNNEL_CATEGORIES = ("A", "B", "C", "D", "E")
+CROSSINGS = ("railway_barrier", "railway", "traffic_signals", "uncontrolled", "marked", "unmarked", "no")
+FOOTWAYS = ("sidewalk", "crossing", "access_aisle", "link", "traffic_island", "alley")
+HORSE_SCALE = ("common", "demanding", "difficult", "critical", "dangerous", "impossible")
+# Countries whose roads bear a toll without a tag: toll of motorways, trunk roads, primary roads and all others.
+COUNTRY_TOLLS = {
+    ("ROU", "SVK", "SVN"): ("all", "all", "no", "no"),
+    ("CHE",): ("all", "all", "hgv", "hgv"),
+    ("LIE",): ("hgv", "hgv", "hgv", "hgv"),
+    ("HUN",): ("all", "hgv", "hgv", "no"),
+    ("DEU", "DNK", "EST", "LTU", "LVA"): ("hgv", "hgv", "hgv", "no"),
+    ("BEL", "BLR", "LUX", "POL", "SWE"): ("hgv", "no", "no", "no"),
+    ("BGR", "CZE", "FRA", "GRC", "HRV", "ITA", "PRT", "SRB", "ESP"): ("all", "no", "no", "no"),
+}
 
 
 def tag(key: str) -> Column:
@@ -52,32 +69,110 @@ def one_of(value: Column, allowed: tuple[str, ...], other: str, synonyms: dict[s
 
 
 def number(text: Column) -> Column:
-    """Leading decimal number of a text, a comma read as a point."""
-    return F.regexp_extract(F.translate(text, ",", "."), "^\\s*([0-9]+(?:\\.[0-9]+)?)", 1).try_cast("double")
+    """A text that is a number and nothing else, blanks around it ignored."""
+    return F.when(F.trim(text).rlike("^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$"), F.trim(text)).try_cast("double")
+
+
+def speed_kmh(text: Column, unlimited: Column | None = None) -> Column:
+    """Speed limit in km/h: plain, km/h, mph, knots, walk; below 4.8 missing, at most 150; 'none' is 150 where ``unlimited`` holds, else missing."""
+    t = F.trim(text)
+    unit = lambda sign, factor: F.when(F.instr(text, sign) > 1, number(F.substring_index(text, sign, 1)) * factor)
+    kmh = F.when(t == "walk", WALK_SPEED).when(F.instr(text, "mp") > 1, unit("mp", MPH)).when(F.instr(text, "knots") > 1, unit("knots", KNOT)).when(F.instr(text, "km") > 1, unit("km", 1.0)).when(F.instr(text, "kph") > 1, unit("kph", 1.0)).otherwise(number(text))
+    kmh = F.when(kmh >= MAX_SPEED_FLOOR, F.least(kmh, F.lit(MAX_SPEED_CAP)))
+    return kmh if unlimited is None else F.when((t == "none") & F.coalesce(unlimited, F.lit(False)), MAX_SPEED_CAP).otherwise(kmh)
+
+
+def max_speed(forward: bool) -> Column:
+    """The limit of the direction if it can be read, else the general one."""
+    free = tag("highway").isin(*UNLIMITED_ROADS)
+    return F.coalesce(speed_kmh(tag("maxspeed:forward" if forward else "maxspeed:backward"), free), speed_kmh(tag("maxspeed"), free))
 
 
-def speed_kmh(text: Column) -> Column:
-    """Speed limit in km/h: plain, mph, knots, walk; below 4.8 missing, at most 150; 'none' is 150."""
-    t = F.lower(F.trim(text))
-    n = number(t)
-    kmh = F.when(t == "walk", WALK_SPEED).when(t == "none", MAX_SPEED_CAP).when(t.rlike("mph\\s*$"), n * MPH).when(t.rlike("knots?\\s*$"), n * KNOT).when(t.rlike("^[0-9.,]+\\s*(km/h|kmh|kph)?$"), n)
-    return F.when(kmh >= MAX_SPEED_FLOOR, F.least(kmh, F.lit(MAX_SPEED_CAP)))
+def unusable(v: Column) -> Column:
+    """Whether a measure (in small letters) says nothing or something other than one value; a comma is no decimal point."""
+    hit = (v == "") | v.isin(*NO_VALUE) | v.startswith("default") | v.startswith("〜")
+    for part in BAD_PARTS:
+        hit = hit | v.contains(part)
+    return hit
 
 
 def metres(text: Column) -> Column:
-    """Length in metres: plain or m, ft, in, cm, and feet with inches (12'6\")."""
-    t = F.lower(F.trim(text))
-    n = number(t)
-    feet = "^([0-9]+)\\s*'\\s*(?:([0-9]+)\\s*\"?)?$"
-    f = F.regexp_extract(t, feet, 1).try_cast("double") * 0.3048 + F.coalesce(F.regexp_extract(t, feet, 2).try_cast("double"), F.lit(0.0)) * 0.0254
-    return F.when(t.isin(*NO_VALUE), None).when(t.rlike(feet), f).when(t.rlike("(ft|feet)\\s*$"), n * 0.3048).when(t.rlike("(in|inch|inches|\")\\s*$"), n * 0.0254).when(t.rlike("cm\\s*$"), n / 100).when(t.rlike("^[0-9.,]+\\s*(m|meters?)?$"), n)
+    """Length in metres: plain or m, ft, in, cm, feet with inches (12'6\"); about (~) is taken as 80 %."""
+    v = F.regexp_replace(F.lower(text), "\\s", "")
+    for pattern, unit in (("meters?|mtrs?|mt|m\\.", "m"), ("\"|''", "in"), ("'|feet", "ft")):
+        v = F.regexp_replace(v, pattern, unit)
+    about = v.startswith("~") | v.contains("approx")
+    x = F.when(about, F.regexp_replace(v, "~|approx", "")).otherwise(v)
+    inches = x.endswith("in")
+    cutted = lambda k: F.regexp_extract(x, "^(.*?ft)?(.*)in$", k)
+    offset = F.when(inches, number(cutted(2)) * 0.0254).otherwise(0.0)
+    body = F.when(inches, cutted(1)).otherwise(x)
+    factor = F.when(about, 0.8).otherwise(1.0)
+    unit = F.regexp_extract(body, "(ft|cm|m)?$", 1)
+    plain = F.regexp_replace(body, "(ft|cm|m)$", "")
+    value = number(plain) * factor * F.when(unit == "ft", 0.3048).when(unit == "cm", 0.01).otherwise(1.0)
+    return F.when(unusable(v), None).when(body == "", offset).otherwise(value + offset)
 
 
 def tons(text: Column) -> Column:
-    """Weight in metric tons: plain or t, kg, lbs, cwt (short)."""
-    t = F.lower(F.trim(text))
-    n = number(t)
-    return F.when(t.isin(*NO_VALUE), None).when(t.rlike("kgs?\\s*$"), n / 1000).when(t.rlike("lbs?\\s*$"), n * 0.00045359237).when(t.rlike("cwt\\s*$"), n * 0.045359237).when(t.rlike("^[0-9.,]+\\s*(t|tons?|tonnes?|mt)?$"), n)
+    """Weight in metric tons: plain or t, kg, lbs, st (short tons)."""
+    v = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), "tons?|tonnes?", "t"), "mgw", ""))
+    unit = F.regexp_extract(v, "(st|t|lbs|kg)$", 1)
+    factor = F.when(unit == "st", 0.907194048807).when(unit == "lbs", 0.00045359237).when(unit == "kg", 0.001).otherwise(1.0)
+    return F.when(unusable(v), None).otherwise(number(F.regexp_replace(v, "(st|t|lbs|kg)$", "")) * factor)
+
+
+def conditional_tons(text: Column) -> Column:
+    """The weight of a condition like ``no @ (weight > 7.5)``."""
+    return tons(F.regexp_extract(text, "weight ?>([^)]+)", 1))
+
+
+def max_weight() -> Column:
+    """Weight limit: of the conditional bans of heavy vehicles the one of the most general key, else the plain tags."""
+    bans = [F.when(tag(f"{k}:conditional").rlike("^no[^@]{0,3}@"), conditional_tons(tag(f"{k}:conditional"))) for k in ACCESS_KEYS["hgv"][::-1]]
+    return F.coalesce(*bans, tons(first_tag("maxweight", "maxweightrating", "maxweightrating:hgv", "maxgcweight")))
+
+
+def max_weight_except() -> Column:
+    """Who may pass a weight limit: delivery, destination, forestry or missing."""
+    named = lambda c: F.when(F.lower(c).isin("permit", "private"), "delivery").when(F.lower(c).isin("delivery", "destination", "forestry"), F.lower(c)).otherwise("missing")
+    cond = F.split(tag("maxweight:conditional"), "@")
+    who = F.regexp_replace(F.trim(F.get(cond, 1)), "^\\((.*)\\)$", "$1")
+    found = F.when((F.size(cond) == 2) & F.trim(F.get(cond, 0)).isin("no", "none"), named(who))
+    same = lambda c: F.coalesce(*[F.when(tons(tag(k)) == c, True) for k in ("maxweight", "maxweightrating:hgv", "maxgcweight")])
+    for key in ACCESS_KEYS["hgv"]:
+        v = tag(f"{key}:conditional")
+        found = F.coalesce(found, F.when((F.instr(v, "@") > 1) & same(conditional_tons(v)), named(F.trim(F.substring_index(v, "@", 1)))))
+    return F.coalesce(found, F.lit("missing"))
+
+
+def hazmat_tunnel() -> Column:
+    """Tunnel category A to E by its tag, else in tunnels the strictest that is barred; A if none is."""
+    of = [F.when(tag(k).isin(*TUNNEL_CATEGORIES), tag(k)) for k in ("hazmat:adr_tunnel_cat", "hazmat:tunnel_cat")]
+    barred = [F.when((tag("tunnel") == "yes") & (tag(f"hazmat:{c}") == "no"), c) for c in TUNNEL_CATEGORIES[::-1]]
+    return F.coalesce(*of, *barred, F.lit(TUNNEL_CATEGORIES[0]))
+
+
+def crossing(node_tags: Column) -> Column:
+    """Crossing of an edge by the tags of its nodes (array of maps) in order: railways, signals and markings decide at once, later values replace earlier ones."""
+
+    def step(now: Column, t: Column) -> Column:
+        is_ = lambda k, v: F.coalesce(t[k] == v, F.lit(False))
+        gate = F.coalesce(t["crossing:barrier"], F.lit("no"))
+        value = F.coalesce(F.lower(t["crossing"]), F.lit(""))
+        bare = (value == "") & (is_("crossing:signals", "no") | is_("crossing:markings", "no") | is_("highway", "crossing") | is_("footway", "crossing") | is_("cycleway", "crossing"))
+        new = (
+            F.when(is_("railway", "crossing") | is_("railway", "level_crossing"), F.struct(F.lit(True).alias("done"), F.when(gate.isin("no", ""), "railway").otherwise("railway_barrier").alias("v")))
+            .when(is_("crossing:signals", "yes"), F.struct(F.lit(True).alias("done"), F.lit("traffic_signals").alias("v")))
+            .when(is_("crossing:markings", "yes"), F.struct(F.lit(True).alias("done"), F.lit("marked").alias("v")))
+            .when(bare, F.struct(F.lit(False).alias("done"), F.lit("unmarked").alias("v")))
+            .when(value.isin(*CROSSINGS), F.struct(F.lit(False).alias("done"), value.alias("v")))
+            .otherwise(now)
+        )
+        return F.when(now["done"], now).otherwise(new)
+
+    start = F.struct(F.lit(False).alias("done"), F.lit("missing").alias("v"))
+    return F.aggregate(F.coalesce(node_tags, F.array().cast("array<map<string,string>>")), start, step)["v"]
 
 
 def lanes() -> Column:
@@ -99,7 +194,7 @@ def oneway(forward: bool) -> Column:
 
 
 def car_access(forward: bool) -> Column:
-    road = tag("highway").isin(*CAR_ROADS) | ((tag("route") == "ferry") & F.coalesce(first_tag("motorcar", "motor_vehicle"), F.lit("yes")).isin("yes", "designated"))
+    road = tag("highway").isin(*[k for k in CAR_ROADS if k != "pedestrian"]) | ((tag("route") == "ferry") & F.coalesce(first_tag("motorcar", "motor_vehicle"), F.lit("yes")).isin("yes", "designated"))
     rough = (tag("highway") == "track") & tag("tracktype").isin("grade4", "grade5")
     closed = first_tag(*ACCESS_KEYS["car"]).isin(*CLOSED, "agricultural", "forestry", "delivery")
     ford = (tag("ford").isNotNull() | (tag("highway") == "ford")) & ~F.coalesce(first_tag("motorcar", "motor_vehicle").isin("yes"), F.lit(False))
@@ -107,15 +202,25 @@ def car_access(forward: bool) -> Column:
     return F.coalesce(road, no) & ~F.coalesce(rough, no) & ~F.coalesce(closed, no) & ~F.coalesce(ford, no) & oneway(forward)
 
 
-def car_speed() -> Column:
-    """Usual speed by road, at most 30 on bad surfaces, and 90 % of a speed limit where one is given."""
-    base = F.lit(None).cast("double")
+def is_ferry() -> Column:
+    return F.coalesce(tag("route").isin("ferry", "shuttle_train"), F.lit(False))
+
+
+def car_speed(forward: bool = True, distance_m: Column | None = None) -> Column:
+    """Usual speed by road, at most 30 on bad surfaces, and 90 % of the limit of the direction where one is given.
+
+    Unknown roads have 10.  Ferries go by their own speed where the length of
+    the edge is at hand.
+    """
+    base = F.lit(10.0)
     for k, v in CAR_ROADS.items():
         base = F.when(tag("highway") == k, float(v)).otherwise(base)
-    base = F.when((tag("highway") == "track") & (tag("tracktype") == "grade1"), 20.0).otherwise(base)
-    limit = speed_kmh(tag("maxspeed"))
-    surface = one_of(tag("surface"), SURFACES, "missing", SURFACE_SYNONYMS)
-    return F.round(F.when(limit.isNotNull(), limit * 0.9).when(surface.isin(*BAD_SURFACES), F.least(base, F.lit(30.0))).otherwise(base), 1)
+    for grade, v in TRACK_SPEEDS.items():
+        base = F.when((tag("highway") == "track") & (tag("tracktype") == grade), v).otherwise(base)
+    limit = max_speed(forward)
+    bad = F.coalesce(F.substring_index(tag("surface"), ":", 1).isin(*BAD_SURFACES), F.lit(False))
+    road = F.round(F.when(limit.isNotNull(), F.greatest(F.lit(1.0), limit * 0.9)).when(bad, F.least(base, F.lit(30.0))).otherwise(base), 1)
+    return road if distance_m is None else F.when(is_ferry(), ferry_speed(distance_m)).otherwise(road)
 
 
 def bike_speed() -> Column:
@@ -136,17 +241,21 @@ def bike_priority() -> Column:
 
 
 def ferry_speed(distance_m: Column) -> Column:
-    """From the duration where it is plausible, else by length: 6 km/h below 1 km, 14 below 30 km, 20 beyond."""
+    """Whole km/h from the duration, lengthened by 40 % for waiting; without a usable one 1 below 500 m, else 6."""
     kmh = distance_m / seconds_of_duration(tag("duration")) * 3.6
-    usual = F.when(distance_m < 1_000, 6.0).when(distance_m < 30_000, 14.0).otherwise(20.0)
-    return F.round(F.when((kmh >= 3) & (kmh <= 60), kmh).otherwise(usual), 1)
+    return F.when(kmh >= 0.1, F.floor(kmh / 1.4 + 0.5).cast("double")).when(distance_m < 500, 1.0).otherwise(6.0)
 
 
 def toll(country: Column) -> Column:
-    """Toll tags, else the habit of the country."""
-    t = F.when(tag("toll:hgv") == "yes", "hgv").when(tag("toll") == "yes", "all").when(tag("toll:N3") == "yes", "hgv").when(tag("toll") == "no", "no")
-    motorway = tag("highway").isin("motorway", "motorway_link")
-    return t.when(country.isin("DEU", "AUT") & motorway, "hgv").when(country.isin("FRA", "ITA", "ESP") & motorway, "all").otherwise("missing")
+    """Toll tags, else the habit of the country for the class of road."""
+    heavy = F.coalesce(*[F.when(tag(k) == "yes", True) for k in ("toll:hgv", "toll:N2", "toll:N3")], F.lit(False))
+    t = F.when(tag("toll") == "yes", "all").when(heavy, "hgv").when(tag("toll") == "no", "no")
+    for countries, kinds in COUNTRY_TOLLS.items():
+        usual = F.lit(kinds[3])
+        for road, kind in zip(("motorway", "trunk", "primary"), kinds):
+            usual = F.when(tag("highway") == road, kind).otherwise(usual)
+        t = t.when(country.isin(*countries), usual)
+    return t.otherwise("no")
 
 
 def environment() -> Column:
@@ -168,19 +277,24 @@ ATTRIBUTES: dict[str, Attribute] = {
     "smoothness": Attribute(lambda: one_of(tag("smoothness"), SMOOTHNESS, "missing")),
     "track_type": Attribute(lambda: one_of(tag("tracktype"), TRACK_TYPES, "missing")),
     "lanes": Attribute(lanes),
-    "max_speed_fwd": Attribute(lambda: speed_kmh(first_tag("maxspeed:forward", "maxspeed"))),
-    "max_speed_bwd": Attribute(lambda: speed_kmh(first_tag("maxspeed:backward", "maxspeed"))),
-    "max_weight": Attribute(lambda: tons(first_tag("maxweight", "maxgcweight"))),
+    "max_speed_fwd": Attribute(lambda: max_speed(True)),
+    "max_speed_bwd": Attribute(lambda: max_speed(False)),
+    "max_weight": Attribute(max_weight),
+    "max_weight_except": Attribute(max_weight_except),
     "max_height": Attribute(lambda: metres(first_tag("maxheight", "maxheight:physical"))),
     "max_width": Attribute(lambda: metres(first_tag("maxwidth", "maxwidth:physical", "width"))),
     "max_length": Attribute(lambda: metres(tag("maxlength"))),
     "max_axle_load": Attribute(lambda: tons(tag("maxaxleload"))),
     "hgv": Attribute(lambda: one_of(tag("hgv"), ACCESS_VALUES, "missing", {"designated": "yes"})),
     "hazmat": Attribute(lambda: F.when(tag("hazmat") == "no", "no").otherwise("yes")),
+    "hazmat_tunnel": Attribute(hazmat_tunnel),
+    "hazmat_water": Attribute(lambda: F.when(tag("hazmat:water").isin("no", "permissive"), tag("hazmat:water")).otherwise("yes")),
+    "footway": Attribute(lambda: one_of(F.lower(tag("footway")), FOOTWAYS, "missing")),
+    "horse_rating": Attribute(lambda: F.when(tag("horse_scale").isNull(), 0).otherwise(F.array_position(F.array(*map(F.lit, HORSE_SCALE)), tag("horse_scale")).cast("int"))),
     "roundabout": Attribute(lambda: F.coalesce(tag("junction").isin("roundabout", "circular"), F.lit(False))),
     "get_off_bike": Attribute(lambda: F.coalesce((tag("bicycle") == "dismount") | (tag("highway").isin("steps", "footway", "pedestrian") & ~F.coalesce(tag("bicycle").isin("yes", "designated"), F.lit(False))), F.lit(False))),
     "hike_rating": Attribute(lambda: F.when(tag("sac_scale").isNull(), 0).otherwise(F.array_position(F.array(*map(F.lit, ("hiking", "mountain_hiking", "demanding_mountain_hiking", "alpine_hiking", "demanding_alpine_hiking", "difficult_alpine_hiking"))), tag("sac_scale")).cast("int"))),
-    "mtb_rating": Attribute(lambda: F.coalesce(F.regexp_extract(tag("mtb:scale"), "^([0-6])", 1).try_cast("int") + 1, F.lit(0))),
+    "mtb_rating": Attribute(lambda: F.coalesce(F.regexp_extract(tag("mtb:scale"), "^([0-6])[+-]?$", 1).try_cast("int") + 1, F.lit(0))),
     "name": Attribute(lambda: clean_name(first_tag("name:en", "name"))),
     "ref": Attribute(lambda: clean_name(tag("ref"))),
     "road_access": Attribute(lambda: access("car")),
@@ -193,6 +307,7 @@ ATTRIBUTES: dict[str, Attribute] = {
     "bike_access_bwd": Attribute(lambda: ~access("bike").isin("no", "private") & F.coalesce(tag("highway") != "motorway", F.lit(True)) & (oneway(False) | F.coalesce(tag("oneway:bicycle") == "no", F.lit(False)))),
     "foot_access": Attribute(lambda: F.coalesce(tag("highway").isin(*FOOT_ROADS) | first_tag("foot", "sidewalk").isin("yes", "both", "left", "right", "designated"), F.lit(False)) & ~access("foot").isin("no", "private")),
     "car_average_speed": Attribute(car_speed),
+    "car_average_speed_bwd": Attribute(lambda: car_speed(False)),
     "bike_average_speed": Attribute(bike_speed),
     "bike_priority": Attribute(bike_priority),
     "foot_average_speed": Attribute(lambda: F.when(F.col("hike_rating") > 1, 2.0).otherwise(5.0), ("hike_rating",)),

@@ -35,6 +35,37 @@ def attr_json_tags(spark, d):
     return e.select("event_id", F.get_json_object("props", "$.k").alias("k"), F.size(F.json_object_keys("props")).alias("n"))
 
 
+_WEIGHTS = ("7.5", "7.5 t", "7500kg", "3,5", "none", "2 st", "16000 lbs", "5t;7t")
+_MEASURES = ("4.2", "4.2 m", "14'", "14 ft", "13'6\"", "380cm", "~4.0", "3,8", "none", "below_default", "3.5-4.0", "4 metres")
+_TOLLS = ("yes", "no", "")
+_COUNTRIES = ("ROU", "CHE", "LIE", "HUN", "DEU", "POL", "FRA", "AUT")
+_ROADS = ("motorway", "trunk", "primary", "residential")
+
+
+def _pick(values: tuple[str, ...], by):
+    return F.element_at(F.array(*map(F.lit, values)), (by % len(values) + 1).cast("int"))
+
+
+def _tagged(spark, d, **tags):
+    k = F.col("p_partkey")
+    pairs = [x for name, (values, step) in tags.items() for x in (F.lit(name.replace("__", ":")), _pick(values, F.floor(k / step)))]
+    return table(spark, d, "part").select(k.alias("id"), F.create_map(*pairs).alias("tags"))
+
+
+def attr_weights(spark, d):
+    return attributes.derive(_tagged(spark, d, maxweight=(_WEIGHTS, 1), maxheight=(_MEASURES, 1)), ["max_weight", "max_height"]).select("id", F.round("max_weight", 6).alias("max_weight"), F.round("max_height", 6).alias("max_height"))
+
+
+def attr_toll(spark, d):
+    ways = _tagged(spark, d, toll=(_TOLLS, 1), highway=(_ROADS, 3))
+    return ways.select("id", attributes.toll(_pick(_COUNTRIES, F.floor(F.col("id") / 12))).alias("toll"))
+
+
+def attr_ferry_speed(spark, d):
+    ways = _tagged(spark, d, duration=(("00:20", "01:30", "x"), 1))
+    return ways.select("id", attributes.ferry_speed((F.col("id") * 37 % 40_000).cast("double")).alias("speed"))
+
+
 def path_detail_islands(spark, d):
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
     return sequences.runs(e, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "run", "event_type", "first", "last", "rows")
@@ -189,7 +220,7 @@ QUERIES = {
 } | {
     f.__name__: f
     for f in (
-        attr_json_tags, path_detail_islands, trace_gaps, ascend_descend, cumulative_distance, moving_average_range, stop_time_interpolation, turn_sign_lag, trace_thinning, service_days, frequency_expand, next_departure_asof, pattern_grouping,
+        attr_json_tags, attr_weights, attr_toll, attr_ferry_speed, path_detail_islands, trace_gaps, ascend_descend, cumulative_distance, moving_average_range, stop_time_interpolation, turn_sign_lag, trace_thinning, service_days, frequency_expand, next_departure_asof, pattern_grouping,
         trip_based_rounds, pareto_front, transfer_most_specific, cheapest_fare_sum, time_expanded_network, realtime_overlay, candidate_rank, emission_logprob, viterbi_layers, time_text, name_cleanup,
     )
 }
@@ -201,7 +232,7 @@ def _list(xs: tuple[str, ...]) -> str:
 
 _WAYS = f"""ways AS (SELECT p_partkey AS id, ({_list(_HIGHWAYS)})[p_partkey % 5 + 1] AS highway, ({_list(_SPEEDS)})[p_partkey % 7 + 1] AS maxspeed, p_partkey % 9 AS lanes, (['no', 'yes', '-1', 'maybe'])[p_partkey % 4 + 1] AS oneway,
  (['asphalt', 'sett', 'gravel', '?'])[p_partkey % 4 + 1] AS surface, p_partkey % 4 AS h, (['no', 'use_sidepath', 'yes', 'dismount', 'x', 'y'])[p_partkey % 6 + 1] AS bicycle FROM part)"""
-_KMH = "CASE maxspeed WHEN '50' THEN 50.0 WHEN '30 mph' THEN 30 * CAST(1.609344 AS DOUBLE) WHEN 'walk' THEN 6.0 WHEN 'none' THEN 150.0 WHEN '20 knots' THEN 20 * CAST(1.852 AS DOUBLE) END"
+_KMH = "CASE maxspeed WHEN '50' THEN 50.0 WHEN '30 mph' THEN 30 * CAST(1.609344 AS DOUBLE) WHEN 'walk' THEN 6.0 WHEN 'none' THEN CASE WHEN highway = 'motorway' THEN 150.0 END WHEN '20 knots' THEN 20 * CAST(1.852 AS DOUBLE) END"
 _RUNS = "(SELECT *, row_number() OVER w - 1 AS pos, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 1 ELSE 0 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))"
 _W = f"WITH {_WAYS} "
 _B = f"WITH {BASE_SQL} "
@@ -213,8 +244,14 @@ SQL = {
     "attr_lanes_clamp": _W + "SELECT id, CAST(greatest(1, least(6, lanes)) AS INTEGER) AS lanes FROM ways",
     "attr_dimensions": _W + "SELECT id, CASE h WHEN 0 THEN CAST(4.2 AS DOUBLE) WHEN 1 THEN 12 * CAST(0.3048 AS DOUBLE) + 6 * CAST(0.0254 AS DOUBLE) WHEN 2 THEN 13 * CAST(0.3048 AS DOUBLE) END AS max_height FROM ways",
     "attr_access_oneway": _W + "SELECT id, highway <> 'nonsense' AND oneway <> '-1' AS car_access_fwd, highway <> 'nonsense' AND NOT (oneway = 'yes' OR (highway = 'motorway' AND oneway NOT IN ('no', '-1'))) AS car_access_bwd FROM ways",
-    "attr_average_speed": _W + f"SELECT id, round(CAST(CASE WHEN {_KMH} IS NOT NULL THEN {_KMH} * 0.9 WHEN surface IN ('sett', 'gravel') THEN least(30, b) ELSE b END AS DOUBLE), 1) AS car_average_speed FROM (SELECT *, CASE highway WHEN 'motorway' THEN 100 WHEN 'primary_link' THEN 60 WHEN 'residential' THEN 30 WHEN 'track' THEN 15 END AS b FROM ways)",
+    "attr_average_speed": _W + f"SELECT id, round(CAST(CASE WHEN {_KMH} IS NOT NULL THEN {_KMH} * 0.9 WHEN surface IN ('sett', 'gravel') THEN least(30, b) ELSE b END AS DOUBLE), 1) AS car_average_speed FROM (SELECT *, CASE highway WHEN 'motorway' THEN 100 WHEN 'primary_link' THEN 60 WHEN 'residential' THEN 30 WHEN 'track' THEN 15 ELSE 10 END AS b FROM ways)",
     "attr_priority_order_wins": _W + "SELECT id, CAST(CASE WHEN bicycle = 'no' THEN 0.1 WHEN bicycle = 'use_sidepath' THEN 0.5 ELSE 1.0 END AS DOUBLE) AS bike_priority FROM ways",
+    # values written by hand from the rules of the tagging scheme
+    "attr_weights": "SELECT p_partkey AS id, round(CAST(([7.5, 7.5, 7.5, NULL, NULL, 1.814388097614, 7.25747792, NULL])[p_partkey % 8 + 1] AS DOUBLE), 6) AS max_weight, round(CAST(([4.2, 4.2, 4.2672, 4.2672, 4.1148, 3.8, 3.2, NULL, NULL, NULL, NULL, NULL])[p_partkey % 12 + 1] AS DOUBLE), 6) AS max_height FROM part",
+    "attr_toll": """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'all' WHEN p_partkey % 3 = 1 THEN 'no'
+ ELSE (CASE p_partkey // 12 % 8 WHEN 0 THEN ['all', 'all', 'no', 'no'] WHEN 1 THEN ['all', 'all', 'hgv', 'hgv'] WHEN 2 THEN ['hgv', 'hgv', 'hgv', 'hgv'] WHEN 3 THEN ['all', 'hgv', 'hgv', 'no']
+ WHEN 4 THEN ['hgv', 'hgv', 'hgv', 'no'] WHEN 5 THEN ['hgv', 'no', 'no', 'no'] WHEN 6 THEN ['all', 'no', 'no', 'no'] ELSE ['no', 'no', 'no', 'no'] END)[p_partkey // 3 % 4 + 1] END AS toll FROM part""",
+    "attr_ferry_speed": "SELECT id, CAST(CASE WHEN s IS NOT NULL AND m / s * 3.6 >= 0.1 THEN floor(m / s * 3.6 / 1.4 + 0.5) WHEN m < 500 THEN 1 ELSE 6 END AS DOUBLE) AS speed FROM (SELECT p_partkey AS id, CAST(p_partkey * 37 % 40000 AS DOUBLE) AS m, CASE p_partkey % 3 WHEN 0 THEN CAST(1200 AS DOUBLE) WHEN 1 THEN 5400 END AS s FROM part)",
     "attr_json_tags": "SELECT event_id, props->>'$.k' AS k, CAST(len(json_keys(props)) AS INTEGER) AS n FROM events",
     "path_detail_islands": f"SELECT user_id, CAST(run AS BIGINT) AS run, event_type, CAST(min(pos) AS INTEGER) AS first, CAST(max(pos) AS INTEGER) AS last, count(*) AS rows FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY pos) AS run FROM {_RUNS}) GROUP BY user_id, run, event_type",
     "trace_gaps": "SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(event_id) AS least FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 21600000000 THEN 1 ELSE 0 END AS c FROM events)) GROUP BY user_id, session",
