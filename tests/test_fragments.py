@@ -68,6 +68,8 @@ def test_goals(spark, size):
     for s, t in pairs:
         assert got.get((s, t)) == (want[s][t][0] if t in want[s] else None)
     assert all(w == want[s][n][0] for (s, n), w in got.items())
+    near = {(r["source"], r["node"]): r["w"] for r in search.shortest(df, src, shared=spark.createDataFrame([(9,), (31,), (None,)], "target bigint"), fragment_arcs=size).collect()}
+    assert all(near.get((s, t)) == (want[s][t][0] if t in want[s] else None) for s in (0, 4, 8, 3) for t in (9, 31))
     req = [(i, i % 60, (i * 7) % 60) for i in range(40)]
     requests = spark.createDataFrame([*req, (77, None, 1), (78, 0, 999)], "request bigint, source bigint, target bigint")
     table = search.landmark_table(df, spark.createDataFrame([(1,), (30,)], "landmark bigint"))

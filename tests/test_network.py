@@ -215,7 +215,7 @@ def test_sequences_of_candidates(spark):
         return len(layers), min(layers[-1].values())
 
     cs, ms = spark.createDataFrame(c, "trace bigint, step int, candidate bigint, cost double" .replace("double", "bigint")), spark.createDataFrame(m, "trace bigint, step int, a bigint, b bigint, cost bigint")
-    for bound in (1000, 10):
+    for bound in (1000, 3, 2, 1):
         got = matching.viterbi(cs, ms, bound).collect()
         for t in range(4):
             mine = sorted((x["step"], x["candidate"], x["cost"]) for x in got if x["trace"] == t)
@@ -223,3 +223,22 @@ def test_sequences_of_candidates(spark):
             for (s, a, w), (_, b, v) in zip(mine, mine[1:]):
                 assert v == w + move[t, s + 1, a, b] + cost[t, s + 1, b]
     assert matching.viterbi(cs.limit(0), ms).count() == 0
+
+
+def test_far_points_have_a_nearest_edge(spark):
+    from waymesh.functions import geo
+    from waymesh.operators import snapping
+
+    r = random.Random(8)
+    lines = [(i, 48 + r.random() * 0.2, 9 + r.random() * 0.2, 48 + r.random() * 0.2, 9 + r.random() * 0.2) for i in range(30)] + [(99, 52.0, 13.0, 52.1, 13.1)]
+    points = [(1, 48.1, 9.1), (2, 48.0, 9.9), (3, 50.5, 11.5), (4, -33.0, 151.0), (5, None, 9.0), (6, 89.0, 9.0)]
+    e = spark.createDataFrame(lines, "edge bigint, lat_a double, lon_a double, lat_b double, lon_b double")
+    p = spark.createDataFrame(points, "id bigint, lat double, lon double")
+    got = {x["id"]: (x["edge"], x["distance_m"]) for x in snapping.nearest_edges(p, e, 0.01).collect()}
+    t = geo.project_fraction(*[F.col(c) for c in ("lat", "lon", "lat_a", "lon_a", "lat_b", "lon_b")])
+    every = p.filter("lat is not null").join(e, F.lit(True)).withColumn("t", t)
+    d = geo.plane_distance_m(F.col("lat"), F.col("lon"), F.col("lat_a") + (F.col("lat_b") - F.col("lat_a")) * F.col("t"), F.col("lon_a") + (F.col("lon_b") - F.col("lon_a")) * F.col("t"))
+    want = {x["id"]: (x["m"]["edge"], x["m"]["d"]) for x in every.groupBy("id").agg(F.min(F.struct(d.alias("d"), "edge")).alias("m")).collect()}
+    assert set(got) == {1, 2, 3, 4, 6}
+    assert all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1]) for k in (1, 2, 3)) and got[4][1] > 1e6
+    assert snapping.nearest_edges(p, e.limit(0), 0.01).count() == 0

@@ -35,7 +35,7 @@ COMPACT = 8
 MAX_ROUNDS = 100_000
 INF = np.iinfo(np.int64).max // 4
 
-ARC, TURN, GOAL, FEATURE = 0, 1, 2, 3
+ARC, TURN, GOAL, FEATURE, SHARED = 0, 1, 2, 3, 4
 LABEL, MESSAGE, BOUND = 0, 1, 2
 _STATE = "frag int, block int, kind int, source bigint, a bigint, node bigint, w bigint, hops int"
 _FIELD = ["frag", "block", "kind", "a", "base", "adj", "w", "home", "f", "g"]
@@ -80,8 +80,8 @@ class _Field:
         la, ln, lk = (left.column(c).to_numpy() for c in ("a", "node", "kind"))
         la, ln = la[lk != BOUND], ln[lk != BOUND]
         goals = kind == GOAL
-        gs, gt = num("base", goals), num("adj", goals)
-        self.nodes = np.unique(np.concatenate([base, adj, ln, gt]))
+        gs, gt, shared = num("base", goals), num("adj", goals), num("adj", kind == SHARED)
+        self.nodes = np.unique(np.concatenate([base, adj, ln, gt, shared]))
         self.n = len(self.nodes)
         code = lambda x: np.searchsorted(self.nodes, x)
         self.turns, self.alone = turns, alone
@@ -113,6 +113,7 @@ class _Field:
         hub[head[home < 0]] = True
         self.hub = hub[self.slot_node]
         self.width = max(1, int(w.mean())) if len(w) else 1
+        self.shared = code(shared).tolist()
         self.goals: dict[int, list[int]] = {}
         self.request: dict[int, int] = {}
         rows = np.flatnonzero(goals)
@@ -319,7 +320,7 @@ def _group(key: tuple, left: pa.Table, right: pa.Table, turns: bool, both: bool,
             touched = _walk_turns(g, dist, hops, a2, limit)
         else:
             pot = g.potentials(s, both)
-            goals = g.goals.get(s, [])
+            goals = g.goals.get(s, []) + g.shared
             if both and len(a2):
                 bound = min(bound, int((dist[a2] + dist[np.where(a2 < g.n, a2 + g.n, a2 - g.n)]).min()))
             touched, bound = _walk(g, dist, hops, a2, limit, rounds, bound, goals, pot, both)
@@ -358,6 +359,7 @@ def search(
     seeds: DataFrame,
     turns: DataFrame | None = None,
     goals: DataFrame | None = None,
+    shared: DataFrame | None = None,
     features: DataFrame | None = None,
     both: bool = False,
     limit: int | None = None,
@@ -371,10 +373,12 @@ def search(
     or the edge (``by_turns``).  seeds(source, a, node, w, hops).
     turns(from_edge, to_edge, cost) lists the turns that are barred (-1) or
     cost something.  goals(source, target): a search ends when the rest cannot
-    shorten the way to any of its goals.  features(node, f) give lower bounds,
+    shorten the way to any of its goals; shared(target) are goals of every
+    source.  features(node, f) give lower bounds,
     see ``lower_bound``.  Weights must not be negative.
     """
     spark = arcs.sparkSession
+    aimed = goals is not None or shared is not None  # one of the two
     ship(spark)
     clean = arcs.filter("base is not null and adj is not null and w is not null").select(F.col("a").cast("bigint").alias("a"), *[F.col(c).cast("bigint").alias(c) for c in ("base", "adj", "w")]).persist(StorageLevel.MEMORY_AND_DISK)
     seeds = seeds.select(*[F.col(c).cast("bigint").alias(c) for c in ("source", "a", "node", "w")], F.col("hops").cast("int").alias("hops"))
@@ -424,6 +428,10 @@ def search(
             g = goals.join(start, "source", "left").join(f.select(F.col("node").alias("target"), F.col("f").alias("tf")), "target", "left").select("source", "target", F.col("sf").alias("f"), F.col("tf").alias("g"))
         g = g.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))) if p > 1 else g.withColumn("frag", F.lit(0))
         field = field.unionByName(g.select("frag", F.lit(GOAL).alias("kind"), none.alias("a"), F.col("source").alias("base"), F.col("target").alias("adj"), none.alias("w"), F.lit(0).alias("home"), "f", "g", block.alias("block")))
+    if shared is not None:
+        shared = shared.select(F.col("target").cast("bigint").alias("target")).filter("target is not null").distinct()
+        every = shared.withColumn("frag", F.explode(F.sequence(F.lit(0), F.lit(p - 1)))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        field = field.unionByName(every.select("frag", F.lit(SHARED).alias("kind"), none.alias("a"), F.lit(0).cast("bigint").alias("base"), F.col("target").alias("adj"), none.alias("w"), F.lit(0).alias("home"), no_f.alias("f"), no_f.alias("g"), "block"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * p * blocks, 20_000))
     spread = (lambda rows: rows.repartition(parts, "frag", "block")) if p * blocks > 1 else lambda rows: rows
     field = spread(field.select(*(_FIELD if features is not None else _FIELD[:-2])))
@@ -443,7 +451,7 @@ def search(
         got = round_(mail)
         clean.unpersist()
         labels = got.filter(F.col("kind") == LABEL).select("source", "a", "node", "w", "hops")
-        return labels, got.filter(F.col("kind") == BOUND).select("source", "w") if goals is not None else None
+        return labels, got.filter(F.col("kind") == BOUND).select("source", "w") if aimed else None
     key = ["source", "a", "node"]
     least = lambda rows, *more: rows.groupBy(*more, *key).agg(F.min(F.struct("w", "hops")).alias("m")).select(*more, *key, "m.w", "m.hops")
     deltas: list[DataFrame] = []
@@ -465,7 +473,7 @@ def search(
             for d in deltas[1:]:
                 rows = rows.unionByName(d)
             deltas = [cut(least(rows, "frag", "block").withColumn("kind", F.lit(LABEL)).select(*[x.split()[0] for x in _STATE.split(", ")]))]
-        if goals is not None:
+        if aimed:
             if both:
                 now = new.filter(F.col("kind") == BOUND).select("source", "w")
             else:
@@ -473,7 +481,11 @@ def search(
                 for d in deltas[1:]:
                     every = every.unionByName(d)
                 at = every.groupBy("source", F.col("node").alias("target")).agg(F.min("w").alias("w"))
-                now = goals.join(at, ["source", "target"], "left").groupBy("source").agg(F.max("w").alias("w"), F.count("w").alias("n"), F.count(F.lit(1)).alias("of")).filter("n = of").select("source", "w")
+                if shared is not None:
+                    of = shared.agg(F.count(F.lit(1)).alias("n")).scalar()
+                    now = at.join(shared, "target").groupBy("source").agg(F.max("w").alias("w"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == of).select("source", "w")
+                else:
+                    now = goals.join(at, ["source", "target"], "left").groupBy("source").agg(F.max("w").alias("w"), F.count("w").alias("n"), F.count(F.lit(1)).alias("of")).filter("n = of").select("source", "w")
             bounds = cut((now if bounds is None else bounds.unionByName(now)).groupBy("source").agg(F.min("w").alias("w")))
         out = least(new.filter(F.col("kind") == MESSAGE))
         if bounds is not None:
@@ -486,7 +498,7 @@ def search(
     labels = cut(least(labels))
     field.unpersist()
     clean.unpersist()
-    if goals is None:
+    if not aimed:
         return labels, None
     bounds = bounds if bounds is not None else labels.select("source", "w").limit(0)
     if not both:

@@ -7,6 +7,7 @@ an exponential one of the difference between route and beeline.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -28,95 +29,167 @@ def transition(route: Column, beeline: Column, beta: float = BETA) -> Column:
     return F.lit(math.log(beta)) + F.abs(route - beeline) / beta
 
 
-LOCAL_ROWS = 500_000
-
-
-def _best_sequence(steps: np.ndarray, names: np.ndarray, costs: np.ndarray, moves: dict[int, list[tuple[int, int, float]]]) -> list[tuple[int, int, float]]:
-    """(step, candidate, cost) of the cheapest sequence of one trace."""
-    order = np.lexsort((names, steps))
-    layers: list[dict[int, tuple[float, int | None]]] = []
-    at: dict[int, dict[int, float]] = {}
-    for i in order:
-        at.setdefault(int(steps[i]), {}).setdefault(int(names[i]), float(costs[i]))
-    n = 0
-    while n in at:
-        if n == 0:
-            layer = {c: (e, None) for c, e in at[0].items()}
-        else:
-            layer = {}
-            for a, b, t in moves.get(n, ()):
-                if a in layers[-1] and b in at[n]:
-                    new = (layers[-1][a][0] + t + at[n][b], a)
-                    if b not in layer or new < layer[b]:
-                        layer[b] = new
-        if not layer:
+#: Steps of one piece of a trace.
+PIECE = 2_048
+_WAYS = "trace bigint, piece int, entry bigint, last int, exit bigint, cost double"
+_MARKS = "trace bigint, piece int, entry bigint, last int, exit bigint, base double"
+_OUT = "trace bigint, step int, candidate bigint, cost double"
+
+
+def _frame(rows: list[tuple], schema: str):  # noqa: ANN202
+    import pandas as pd
+
+    names, kinds = zip(*(x.split() for x in schema.split(", ")))
+    kinds = {n: {"bigint": "int64", "int": "int32", "double": "float64"}[k] for n, k in zip(names, kinds)}
+    return pd.DataFrame(rows, columns=list(names)).astype(kinds)
+
+
+def _layers(steps: np.ndarray, names: np.ndarray, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
+    """Candidates by step and name, the cheapest of equal ones, and where each step lies."""
+    order = np.lexsort((costs, names, steps))
+    steps, names, costs = steps[order], names[order], costs[order]
+    one = np.ones(len(steps), bool)
+    one[1:] = (steps[1:] != steps[:-1]) | (names[1:] != names[:-1])
+    steps, names, costs = steps[one], names[one], costs[one]
+    values, first = np.unique(steps, return_index=True)
+    ends = [*first[1:].tolist(), len(steps)]
+    return steps, names, costs, {int(v): (int(f), int(e)) for v, f, e in zip(values, first, ends)}
+
+
+def _piece(left, right, begin: int, entry: list[int] | None, base: list[float] | None):  # noqa: ANN001, ANN202
+    """Least costs through a piece from each of its entries: names and costs of every layer (entries x candidates) and what came before."""
+    _, names, costs, at = _layers(left["step"].to_numpy(), left["candidate"].to_numpy(), left["cost"].to_numpy())
+    move_step, move_a, move_b, move_w = (right[c].to_numpy() for c in ("step", "a", "b", "cost"))
+    order = np.argsort(move_step, kind="stable")
+    move_step, move_a, move_b, move_w = move_step[order], move_a[order], move_b[order], move_w[order]
+    step, layers = begin, []
+    if begin == 0:
+        lo, hi = at.get(0, (0, 0))
+        if lo == hi:
+            return []
+        own, total, prev = names[lo:hi], costs[lo:hi][None, :], np.full((1, hi - lo), -1)
+        layers.append((0, own, total, prev))
+        step = 1
+    else:
+        lo, hi = np.searchsorted(move_step, [begin, begin + 1])
+        own = np.unique(move_a[lo:hi]) if entry is None else np.array(entry)
+        total = np.where(np.eye(len(own), dtype=bool), 0.0, np.inf) if base is None else np.where(np.eye(len(own), dtype=bool), np.array(base)[:, None], np.inf)
+        layers.append((begin - 1, own, total, None))
+    while step in at and len(own):
+        lo, hi = at[step]
+        new, emit = names[lo:hi], costs[lo:hi]
+        x, y = np.searchsorted(move_step, [step, step + 1])
+        a, b, w = move_a[x:y], move_b[x:y], move_w[x:y]
+        i, j = np.searchsorted(own, a), np.searchsorted(new, b)
+        ok = (i < len(own)) & (j < len(new))
+        ok[ok] = (own[i[ok]] == a[ok]) & (new[j[ok]] == b[ok])
+        way = np.full((len(own), len(new)), np.inf)
+        np.minimum.at(way, (i[ok], j[ok]), w[ok])
+        through = total[:, :, None] + way[None, :, :]
+        prev = through.argmin(axis=1)  # the smallest of equal ones
+        nxt = np.take_along_axis(through, prev[:, None, :], 1)[:, 0, :] + emit[None, :]
+        keep = np.isfinite(nxt).any(axis=0)
+        if not keep.any():
             break
-        layers.append(layer)
-        n += 1
-    out = []
-    here = min(layers[-1], key=lambda c: (layers[-1][c][0], c)) if layers else None
-    for k in range(len(layers) - 1, -1, -1):
-        cost, prev = layers[k][here]
-        out.append((k, here, cost))
-        here = prev
-    return out[::-1]
-
-
-def viterbi(candidates: DataFrame, transitions: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
+        own, total, prev = new[keep], nxt[:, keep], prev[:, keep]
+        layers.append((step, own, total, prev))
+        step += 1
+    return layers
+
+
+def viterbi(candidates: DataFrame, transitions: DataFrame, piece: int = PIECE) -> DataFrame:
     """(trace, step, candidate, cost): the cheapest sequence of each trace, its cost up to each step.
 
     candidates(trace bigint, step, candidate bigint, cost), steps from 0;
     transitions(trace, step, a, b, cost) lead from candidate a at step - 1 to b
     at step.  A trace ends where no candidate can be reached.  Ties go to the
-    smaller candidate.  Traces of up to ``local_rows`` candidates and
-    transitions are worked off one at a time in Arrow batches; for longer ones
-    all advance together, one step a round.
+    smaller candidate, within a piece and where pieces meet.
+
+    Traces are cut into pieces of ``piece`` steps.  A piece is reduced to the
+    least costs from its entries to its exits; these small tables are joined
+    along each trace, and then every piece is walked back by itself.  A task
+    holds one piece, however long the trace.
     """
-    c = candidates.select(F.col("trace").cast("bigint").alias("trace"), F.col("step").cast("int").alias("step"), F.col("candidate").cast("bigint").alias("candidate"), F.col("cost").cast("double").alias("cost"))
-    t = transitions.select(F.col("trace").cast("bigint").alias("trace"), F.col("step").cast("int").alias("step"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("cost").cast("double").alias("cost"))
-    sizes = c.groupBy("trace").agg(F.count(F.lit(1)).alias("n")).unionByName(t.groupBy("trace").agg(F.count(F.lit(1)).alias("n"))).groupBy("trace").agg(F.sum("n").alias("n"))
-    long = cut(sizes.filter(F.col("n") > local_rows).select("trace"))
+    c = candidates.select(F.col("trace").cast("bigint").alias("trace"), F.col("step").cast("int").alias("step"), F.col("candidate").cast("bigint").alias("candidate"), F.col("cost").cast("double").alias("cost")).filter("trace is not null and step is not null and candidate is not null and cost is not null")
+    t = transitions.select(F.col("trace").cast("bigint").alias("trace"), F.col("step").cast("int").alias("step"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("cost").cast("double").alias("cost")).filter("cost is not null")
+    c, t = (x.withColumn("piece", F.floor(F.col("step") / piece).cast("int")) for x in (c, t))
     ship(c.sparkSession)
-
-    def run(key, left, right):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        moves: dict[int, list[tuple[int, int, float]]] = {}
-        for s, a, b, w in zip(right["step"].tolist(), right["a"].tolist(), right["b"].tolist(), right["cost"].tolist()):
-            moves.setdefault(s, []).append((a, b, w))
-        rows = _best_sequence(left["step"].to_numpy(), left["candidate"].to_numpy(), left["cost"].to_numpy(), moves)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["trace", "step", "candidate", "cost"])
-
-    out_schema = "trace bigint, step int, candidate bigint, cost double"
-    some = bool(long.head(1))
-    near_c, near_t = (c.join(long, "trace", "left_anti"), t.join(long, "trace", "left_anti")) if some else (c, t)
-    near = near_c.groupBy("trace").cogroup(near_t.groupBy("trace")).applyInPandas(run, out_schema)
-    if not some:
-        return near
-    far_c, far_t = cut(c.join(long, "trace", "left_semi")), cut(t.join(long, "trace", "left_semi"))
-    return near.unionByName(_viterbi_rounds(far_c, far_t))
-
-
-def _viterbi_rounds(candidates: DataFrame, transitions: DataFrame) -> DataFrame:
-    """The same for long traces: one step of all traces a round."""
-    steps = (candidates.agg(F.max("step")).head()[0] or 0) + 1
-    layer = cut(candidates.filter("step = 0").groupBy("trace", "step", "candidate").agg(F.min("cost").alias("cost")).withColumn("prev", F.lit(None).cast("bigint")))
-    layers = layer
-    for n in range(1, steps):
-        t = transitions.filter(F.col("step") == n).select("trace", "a", "b", F.col("cost").alias("tc"))
-        c = candidates.filter(F.col("step") == n).groupBy("trace", F.col("candidate").alias("b")).agg(F.min("cost").alias("ec"))
-        go = layer.select("trace", F.col("candidate").alias("a"), "cost").join(t, ["trace", "a"]).join(c, ["trace", "b"])
-        best = go.groupBy("trace", "b").agg(F.min(F.struct((F.col("cost") + F.col("tc") + F.col("ec")).alias("cost"), "a")).alias("m"))
-        layer = cut(best.select("trace", F.lit(n).alias("step"), F.col("b").alias("candidate"), F.col("m.cost").alias("cost"), F.col("m.a").alias("prev")))
-        layers = layers.unionByName(layer)
-    layers = cut(layers)
-    ends = layers.groupBy("trace").agg(F.max("step").alias("step"))
-    at = layers.join(ends, ["trace", "step"]).groupBy("trace", "step").agg(F.min(F.struct("cost", "candidate", "prev")).alias("m")).select("trace", "step", "m.candidate", "m.cost", "m.prev")
-    out = at = cut(at)
-    for _ in range(steps - 1):
-        at = cut(at.filter("prev is not null").select("trace", (F.col("step") - 1).alias("step"), F.col("prev").alias("candidate")).join(layers, ["trace", "step", "candidate"]).select("trace", "step", "candidate", "cost", "prev"))
-        out = out.unionByName(at)
-    return out.select("trace", "step", "candidate", "cost")
+    ways = cut(c.groupBy("trace", "piece").cogroup(t.groupBy("trace", "piece")).applyInPandas(partial(_ways, piece=piece), _WAYS))
+    marks = cut(ways.groupBy("trace").applyInPandas(partial(_chain, piece=piece), _MARKS))
+    chosen = c.join(marks.withColumnRenamed("exit", "out"), ["trace", "piece"])
+    return chosen.groupBy("trace", "piece").cogroup(t.groupBy("trace", "piece")).applyInPandas(partial(_walk_back, piece=piece), _OUT)
+
+
+def _ways(key, left, right, piece: int):  # noqa: ANN001, ANN202
+    """From each entry to each exit of the furthest layer that it reaches: (entry, last step, exit, cost)."""
+    begin = int(key[1]) * piece
+    rows = []
+    layers = _piece(left, right, begin, None, None)
+    if layers and not (begin and len(layers) == 1):
+        entries = [-1] if begin == 0 else layers[0][1].tolist()
+        full = layers[-1][0]
+        for e, name in enumerate(entries):
+            for step, own, total, _ in reversed(layers):
+                hit = np.flatnonzero(np.isfinite(total[e]))
+                if step < begin:
+                    break
+                if len(hit):
+                    rows += [(key[0], key[1], name, step, int(own[k]), float(total[e][k])) for k in (hit if step == full else hit[np.lexsort((own[hit], total[e][hit]))[:1]])]
+                    break
+    return _frame(rows, _WAYS)
+
+
+def _chain(ways, piece: int):  # noqa: ANN001, ANN202
+    """The best exits of all pieces of a trace, from their tables: (piece, entry, last step, exit, cost before the piece)."""
+    rows, trace = [], ways["trace"].iloc[0]
+    now: dict[int, float] = {-1: 0.0}
+    came: list[dict[int, tuple[int, int, float]]] = []
+    parts = dict(tuple(ways.groupby("piece")))
+    k = 0
+    while k in parts:
+        got: dict[int, tuple] = {}
+        p = parts[k]
+        best_last = -1
+        found = []
+        for e, last, x, cost in zip(p["entry"].tolist(), p["last"].tolist(), p["exit"].tolist(), p["cost"].tolist()):
+            if e in now:
+                found.append((last, now[e] + cost, e, x))
+                best_last = max(best_last, last)
+        for last, cost, e, x in found:
+            if last == best_last and (x not in got or (cost, e) < got[x][:2]):
+                got[x] = (cost, e, last)
+        if not got:
+            break
+        came.append({x: (e, last, now[e]) for x, (_, e, last) in got.items()})
+        now = {x: v[0] for x, v in got.items()}
+        k += 1
+        if best_last < k * piece - 1:  # it ends within the piece
+            break
+    if came:
+        x = min(now, key=lambda c: (now[c], c))
+        for n in range(len(came) - 1, -1, -1):
+            e, last, base = came[n][x]
+            rows.append((trace, n, e, last, x, base))
+            x = e
+    return _frame(rows, _MARKS)
+
+
+def _walk_back(key, left, right, piece: int):  # noqa: ANN001, ANN202
+    """The sequence of one piece between its chosen entry and exit."""
+    if not len(left):
+        return _frame([], _OUT)
+    begin = int(key[1]) * piece
+    entry, last, out, base = int(left["entry"].iloc[0]), int(left["last"].iloc[0]), int(left["out"].iloc[0]), float(left["base"].iloc[0])
+    layers = _piece(left, right, begin, [entry], [base])
+    rows = []
+    at = [k for k, x in enumerate(layers) if x[0] == last][0]
+    j = int(np.searchsorted(layers[at][1], out))
+    while at >= 0 and layers[at][0] >= begin:
+        step, own, total, prev = layers[at]
+        rows.append((key[0], step, int(own[j]), float(total[0][j])))
+        j = int(prev[0][j])
+        at -= 1
+    return _frame(rows[::-1], _OUT)
 
 
 def rank_candidates(snaps: DataFrame, most: int) -> DataFrame:

@@ -20,19 +20,20 @@ def _arcs(edges: DataFrame, both: bool = False) -> DataFrame:
     return zero.unionByName(edges.select(F.lit(1).alias("a"), F.col("adj").alias("base"), F.col("base").alias("adj"), "w")) if both else zero
 
 
-def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, rounds: int | None = None, goals: DataFrame | None = None, fragment_arcs: int = fragments.FRAGMENT_ARCS) -> DataFrame:
+def shortest(edges: DataFrame, sources: DataFrame, limit: int | None = None, rounds: int | None = None, goals: DataFrame | None = None, shared: DataFrame | None = None, fragment_arcs: int = fragments.FRAGMENT_ARCS) -> DataFrame:
     """(source, node, w, hops) from sources(source) over edges(base, adj, edge, w).
 
     All sources are searched at once.  ``limit`` keeps labels of at most that
-    weight; ``rounds`` bounds the hops.  With goals(source, target) a source is
-    searched only as far as its farthest goal, and labels beyond it are left
-    out; if one of its goals cannot be reached, all it reaches is labelled.  Of
+    weight; ``rounds`` bounds the hops.  With goals(source, target), or
+    shared(target) for all sources, a source is searched only as far as its
+    farthest goal, and labels beyond it are left out; if one of its goals
+    cannot be reached, all it reaches is labelled.  Of
     equally short ways the one with fewer hops counts.  Sources that are null
     are left out, and so are edges with a null end or weight; a source without
     edges reaches itself.
     """
     seeds = sources.filter(F.col("source").isNotNull()).select("source", F.lit(0).alias("a"), F.col("source").alias("node"), F.lit(0).alias("w"), F.lit(0).alias("hops")).distinct()
-    labels, _ = fragments.search(_arcs(edges), seeds, limit=limit, rounds=rounds, goals=goals, fragment_arcs=fragment_arcs)
+    labels, _ = fragments.search(_arcs(edges), seeds, limit=limit, rounds=rounds, goals=goals, shared=shared, fragment_arcs=fragment_arcs)
     return labels.select("source", "node", "w", "hops")
 
 

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymesh.functions.geo import plane_distance_m, project_fraction
-
-MAX_TILES = 4_096
-
+from waymesh.session import cut
 
 def edge_tiles(edges: DataFrame, tile_deg: float) -> DataFrame:
     """(tx, ty, ...edge columns): an edge(edge, lat_a, lon_a, lat_b, lon_b) in every tile its segment passes.
@@ -32,15 +30,30 @@ def edge_tiles(edges: DataFrame, tile_deg: float) -> DataFrame:
 def nearest_edges(points: DataFrame, edges: DataFrame, tile_deg: float, rings: int = 4) -> DataFrame:
     """(id, edge, distance_m, fraction): the nearest edge of points(id, lat, lon), ties by edge.
 
-    Rings of tiles around the point are opened one after the other, as many as
-    ``rings``; points without an edge there have no row.  A point is settled
-    when its best edge is nearer than any tile not yet opened can be.
+    Rings of tiles around a point are opened one after the other; a point is
+    settled when its best edge is nearer than any tile not yet opened can be.
+    Points that ``rings`` rings do not settle go on with tiles eight times as
+    wide, until one tile holds the earth: every point with a position has a row
+    unless there is no edge at all.  Points without position have none.
     """
+    open_ = cut(points.select("id", "lat", "lon").filter("lat is not null and lon is not null"))
+    done = None
+    while True:
+        last = tile_deg >= 360
+        got, open_ = _rings(open_, edges, tile_deg, rings, last)
+        done = got if done is None else done.unionByName(got)
+        if last or not open_.head(1):
+            return done
+        tile_deg *= 8
+
+
+def _rings(points: DataFrame, edges: DataFrame, tile_deg: float, rings: int, last: bool) -> tuple[DataFrame, DataFrame]:
+    """Settled points with their edge, and the points that are left; in the ``last`` size all with any edge are settled."""
     tiles = edge_tiles(edges, tile_deg)
-    open_ = points.select("id", "lat", "lon", F.floor(F.col("lon") / tile_deg).cast("bigint").alias("px"), F.floor(F.col("lat") / tile_deg).cast("bigint").alias("py"))
-    best = None
+    open_ = points.withColumns({"px": F.floor(F.col("lon") / tile_deg).cast("bigint"), "py": F.floor(F.col("lat") / tile_deg).cast("bigint")})
+    best, done = None, None
     metre = 111_000.0
-    for ring in range(rings):
+    for ring in range(2 if last else rings):
         around = [(dx, dy) for dx in range(-ring, ring + 1) for dy in range(-ring, ring + 1) if max(abs(dx), abs(dy)) == ring]
         look = open_.withColumn("__d", F.explode(F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in around])))
         look = look.select("id", "lat", "lon", (F.col("px") + F.col("__d.dx")).alias("tx"), (F.col("py") + F.col("__d.dy")).alias("ty"))
@@ -49,19 +62,18 @@ def nearest_edges(points: DataFrame, edges: DataFrame, tile_deg: float, rings: i
         d = plane_distance_m(F.col("lat"), F.col("lon"), F.col("lat_a") + (F.col("lat_b") - F.col("lat_a")) * F.col("fraction"), F.col("lon_a") + (F.col("lon_b") - F.col("lon_a")) * F.col("fraction"))
         got = hit.withColumn("d", d).groupBy("id").agg(F.min(F.struct("d", "edge", "fraction")).alias("m"))
         best = got if best is None else best.unionByName(got).groupBy("id").agg(F.min("m").alias("m"))
-        if ring < rings - 1:
-            # the nearest unopened tile is at least this far; a degree of longitude shrinks with latitude
-            shrink = F.cos(F.radians(F.greatest(F.abs(F.col("lat")) + tile_deg * (ring + 1), F.lit(0.0))))
-            edge_x = F.least(F.col("lon") - (F.col("px") - ring) * tile_deg, (F.col("px") + ring + 1) * tile_deg - F.col("lon")) * shrink
-            edge_y = F.least(F.col("lat") - (F.col("py") - ring) * tile_deg, (F.col("py") + ring + 1) * tile_deg - F.col("lat"))
-            free = F.least(edge_x, edge_y) * metre
-            from waymesh.session import cut
-
-            best = cut(best)
-            open_ = cut(open_.join(best.select("id", F.col("m.d").alias("d")), "id", "left").filter(F.col("d").isNull() | (F.col("d") > free)).drop("d"))
-            if not open_.head(1):
-                break
-    return best.select("id", F.col("m.edge").alias("edge"), F.col("m.d").alias("distance_m"), F.col("m.fraction").alias("fraction"))
+        # the nearest unopened tile is at least this far; a degree of longitude shrinks with latitude
+        shrink = F.greatest(F.lit(0.0), F.cos(F.radians(F.least(F.lit(90.0), F.abs(F.col("lat")) + tile_deg * (ring + 1)))))
+        edge_x = F.least(F.col("lon") - (F.col("px") - ring) * tile_deg, (F.col("px") + ring + 1) * tile_deg - F.col("lon")) * shrink
+        edge_y = F.least(F.col("lat") - (F.col("py") - ring) * tile_deg, (F.col("py") + ring + 1) * tile_deg - F.col("lat"))
+        free = F.lit(float("inf")) if last and ring else F.least(edge_x, edge_y) * metre
+        marked = cut(open_.join(best, "id", "left").withColumn("ok", F.coalesce(F.col("m.d") <= free, F.lit(False))))
+        new = marked.filter("ok").select("id", F.col("m.edge").alias("edge"), F.col("m.d").alias("distance_m"), F.col("m.fraction").alias("fraction"))
+        done = new if done is None else done.unionByName(new)
+        open_, best = marked.filter("not ok").drop("m", "ok"), marked.filter("not ok and m is not null").select("id", "m")
+        if not open_.head(1):
+            break
+    return done, open_.select("id", "lat", "lon")
 
 
 def in_box(edges: DataFrame, boxes: DataFrame, tile_deg: float) -> DataFrame:

@@ -271,7 +271,7 @@ SQL = {
     ) + " " + " UNION ALL ".join(f"SELECT source, stop, CAST(arrival AS BIGINT) AS arrival, {n} AS trips FROM r{n}" for n in range(4)),
     "pareto_front": "WITH p AS (SELECT DISTINCT l_suppkey AS g, CAST(l_quantity AS BIGINT) AS a, CAST(floor(l_extendedprice) AS BIGINT) AS b FROM lineitem) SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.g = p.g AND q.a <= p.a AND q.b <= p.b AND (q.a < p.a OR q.b < p.b))",
     "transfer_most_specific": "WITH r AS (SELECT s_suppkey % 5 AS f, s_suppkey % 3 AS t, CASE WHEN s_suppkey % 8 = 0 THEN s_suppkey % 2 END AS fr, CASE WHEN s_suppkey % 12 = 0 THEN s_suppkey % 2 END AS tr, s_suppkey AS m FROM supplier), w AS (SELECT DISTINCT CAST(n_nationkey % 5 AS BIGINT) AS from_stop, CAST(n_nationkey % 3 AS BIGINT) AS to_stop, CAST(n_nationkey % 2 AS BIGINT) AS from_route, CAST(n_nationkey % 4 % 2 AS BIGINT) AS to_route FROM nation) SELECT from_stop, to_stop, from_route, to_route, arg_max(m, ((CASE WHEN fr IS NULL THEN 0 ELSE 2 END) + (CASE WHEN tr IS NULL THEN 0 ELSE 1 END), -m)) AS min_transfer_time FROM w JOIN r ON f = from_stop AND t = to_stop AND (fr IS NULL OR fr = from_route) AND (tr IS NULL OR tr = to_route) GROUP BY ALL",
-    "cheapest_fare_sum": "WITH s AS (SELECT DISTINCT l_orderkey AS journey, l_linenumber AS segment, l_suppkey % 10 AS r FROM lineitem), f AS (SELECT s_suppkey % 10 AS r, CAST(floor(abs(s_acctbal)) AS BIGINT) AS price, CASE WHEN s_suppkey % 2 = 0 THEN 'EUR' ELSE 'CHF' END AS currency FROM supplier), c AS (SELECT journey, segment, min((price, currency)) AS m FROM s JOIN f USING (r) GROUP BY 1, 2) SELECT journey, m[2] AS currency, CAST(sum(m[1]) AS BIGINT) AS price FROM c GROUP BY 1, 2",
+    "cheapest_fare_sum": "WITH s AS (SELECT DISTINCT l_orderkey AS journey, l_linenumber AS segment, l_suppkey % 10 AS r FROM lineitem), f AS (SELECT s_suppkey % 10 AS r, CAST(floor(abs(s_acctbal)) AS BIGINT) AS price, CASE WHEN s_suppkey % 2 = 0 THEN 'EUR' ELSE 'CHF' END AS currency FROM supplier), c AS (SELECT journey, segment, currency, min(price) AS m FROM s JOIN f USING (r) GROUP BY 1, 2, 3), n AS (SELECT journey, count(DISTINCT segment) AS legs FROM s GROUP BY 1) SELECT journey, currency, CAST(sum(m) AS BIGINT) AS price FROM c JOIN n USING (journey) GROUP BY journey, currency, legs HAVING count(*) = legs",
     "time_expanded_network": _B + ", c AS (SELECT * FROM calls), t AS (SELECT DISTINCT stop, dep_s % 86400 AS t FROM c), e AS (SELECT 'hop' AS kind, lead(arrival_s) OVER (PARTITION BY trip ORDER BY seq) - dep_s AS s FROM c UNION ALL SELECT 'dwell', dep_s - arrival_s FROM c UNION ALL SELECT 'board', 0 FROM c UNION ALL SELECT 'alight', 0 FROM c UNION ALL SELECT CASE WHEN n IS NULL THEN 'overnight' ELSE 'wait' END, coalesce(n, f + 86400) - t FROM (SELECT t, lead(t) OVER (PARTITION BY stop ORDER BY t) AS n, min(t) OVER (PARTITION BY stop) AS f FROM t)) SELECT kind, count(*) AS edges, CAST(sum(s) AS BIGINT) AS seconds FROM e WHERE s IS NOT NULL GROUP BY 1",
     "realtime_overlay": _B + ", j AS (SELECT *, (trip + seq) % 3 = 0 AS u, last_value(CASE WHEN (trip + seq) % 3 = 0 THEN seq * 30 + 5 END IGNORE NULLS) OVER (PARTITION BY trip ORDER BY seq) AS d FROM calls) SELECT trip, CAST(seq AS INTEGER) AS seq, stop, arrival_s + CASE WHEN u THEN seq * 30 ELSE coalesce(d, 0) END AS arrival_s, dep_s + coalesce(d, 0) AS dep_s FROM j WHERE NOT (u AND seq % 4 = 3)",
     "candidate_rank": f"WITH {_STEPS} SELECT * FROM (SELECT trace, CAST(step AS INTEGER) AS step, CAST(candidate AS BIGINT) AS candidate, cost AS distance, CAST(row_number() OVER (PARTITION BY trace, step ORDER BY cost, candidate) AS INTEGER) AS rank FROM cand) WHERE rank <= 2",

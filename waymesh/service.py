@@ -72,7 +72,8 @@ class Network:
 
     def matrix(self, profile: str, sources: DataFrame, targets: DataFrame) -> DataFrame:
         """(source, target, w) between all sources(source) and targets(target); null where there is no way."""
-        labels = self.spt(profile, sources).select("source", F.col("node").alias("target"), "w")
+        e = self.directed(profile).select("base", "adj", "edge", "w")
+        labels = search.shortest(e, sources, shared=targets.select("target")).select("source", F.col("node").alias("target"), "w")
         return labels.join(targets.select("target").distinct(), "target", "left_semi")
 
     def isochrone(self, profile: str, sources: DataFrame, limits: list[float], cell_deg: float = 0.002) -> DataFrame:
@@ -83,13 +84,16 @@ class Network:
     def route(self, profile: str, requests: DataFrame, language: str = "en") -> DataFrame:
         """(path, body): JSON answers to requests(path, source, target) between nodes."""
         e = self.directed(profile)
-        labels = search.shortest(e.select("base", "adj", "edge", "w"), requests.select("source").distinct())
+        labels = search.shortest(e.select("base", "adj", "edge", "w"), requests.select("source").distinct(), goals=requests.select("source", "target"))
         tree = search.parents(labels, e.select("base", "adj", "edge", "w"))
         steps = search.extract_paths(tree, requests.select("source", "target")).join(requests, ["source", "target"])
         best = e.groupBy("edge", "adj").agg(F.min(F.struct("w", "ms", "dist_m", "way")).alias("m")).select("edge", F.col("adj").alias("node"), "m.*")
         steps = steps.join(best, ["edge", "node"]).join(self.edges.select("edge", "points", F.col("tags")["name"].alias("name"), F.coalesce(F.col("tags")["junction"] == "roundabout", F.lit(False)).alias("roundabout")), "edge")
+        # roads that leave a node other than the roundabout itself are its exits
+        ring = F.coalesce(F.col("tags")["junction"] == "roundabout", F.lit(False))
+        exits = e.join(self.edges.select("edge", ring.alias("ring")), "edge").filter("not ring").groupBy(F.col("base").alias("node")).agg(F.count_distinct("edge").cast("int").alias("out_edges"))
         steps = steps.withColumn("points", F.when(F.col("way") == 1, F.reverse("points")).otherwise(F.col("points")))
-        steps = routes.bearings(steps).withColumn("out_edges", F.lit(1)).withColumnsRenamed({"dist_m": "distance_m", "ms": "time_ms"})
+        steps = routes.bearings(steps).join(exits, "node", "left").withColumnsRenamed({"dist_m": "distance_m", "ms": "time_ms"})
         totals = requests.select("path").join(steps.groupBy("path").agg(F.sum("distance_m").alias("distance_m"), F.sum("time_ms").alias("time_ms"), (F.sum("w") / 1000).alias("weight")), "path", "left")
         line = steps.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("seq", "points"))).alias("p"))
         # the joint of two edges is named once
@@ -113,7 +117,9 @@ class Network:
         a = c.select("trace", (F.col("step") + 1).alias("step"), F.col("candidate").alias("a"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
         pair = a.join(c.select("trace", "step", F.col("candidate").alias("b"), "lat", "lon"), ["trace", "step"])
         e = self.directed(profile).select("base", "adj", "edge", F.round(F.col("dist_m") * 1000).cast("bigint").alias("w"))
-        ways = search.shortest(e, a.select(F.col("a").alias("source")).distinct()).select(F.col("source").alias("a"), F.col("node").alias("b"), (F.col("w") / 1000).alias("route"))
+        # each candidate is searched only as far as the candidates that follow it
+        goals = pair.select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()
+        ways = search.shortest(e, goals.select("source").distinct(), goals=goals).select(F.col("source").alias("a"), F.col("node").alias("b"), (F.col("w") / 1000).alias("route"))
         t = pair.join(ways, ["a", "b"]).withColumn("cost", matching.transition(F.col("route"), haversine_m(F.col("la"), F.col("lo"), F.col("lat"), F.col("lon"))))
         return matching.viterbi(c.select("trace", "step", "candidate", "cost"), t.select("trace", "step", "a", "b", "cost"))
 

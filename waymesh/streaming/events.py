@@ -70,17 +70,29 @@ def overlay_table(spark: SparkSession, path: str, key: str, order: list[str]) ->
     return latest(spark.read.parquet(path).drop("batch"), key, order)
 
 
-def running_counts(events: DataFrame) -> DataFrame:
-    """(user_id, n, last_value): state kept for each user by a stateful operator; streams only."""
+def running_counts(events: DataFrame, idle: str = "30 days") -> DataFrame:
+    """(user_id, n, last_value): events and the value of the latest one by (ts, event_id), kept for each user; streams only.
+
+    Rows of one batch may come in any order and late ones never replace a later
+    value.  A user who sends nothing for ``idle`` of processing time is
+    forgotten, so state stays bounded by the users of that time.
+    """
+    amount, unit = idle.split()
+    pause = int(amount) * {"second": 1, "minute": 60, "hour": 3600, "day": 86_400}[unit.rstrip("s")] * 1000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, at, value = state.get if state.exists else (0, 0, 0.0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, at, number, value = state.get if state.exists else (0, -(2**62), -(2**62), 0.0)
         for f in frames:
             n += len(f)
             last = f.sort_values(["ts", "event_id"]).iloc[-1]
-            if int(last["event_id"]) >= at:
-                at, value = int(last["event_id"]), float(last["value"])
-        state.update((n, at, value))
+            here = (int(pd.Timestamp(last["ts"]).value // 1000), int(last["event_id"]))
+            if here >= (at, number):
+                (at, number), value = here, float(last["value"])
+        state.update((n, at, number, value))
+        state.setTimeoutDuration(pause)
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_value": [value]})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_value double", "n bigint, at bigint, value double", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_value double", "n bigint, at bigint, number bigint, value double", "update", GroupStateTimeout.ProcessingTimeTimeout)
