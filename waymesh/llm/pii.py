@@ -161,6 +161,7 @@ _ADDRESSES = [
 
 # Texts of which one must occur (in small letters) before the patterns of a kind are tried.
 _STREET_CUES = (
+    (0, "street road lane avenue crescent drive close court terrace boulevard blvd st rd ave ln grove way gardens hill mews row walk parade rise"),
     (1, "straße strasse str. weg gasse allee platz ring damm ufer"),
     (2, "rue avenue av. bd boulevard chemin place allée impasse quai route cours"),
     (3, "calle c/ avda avenida av. plaza pza paseo p.º camino ronda carrer"),
@@ -181,6 +182,9 @@ def _anchors():
             found.setdefault(x, []).append(("street", kind))
     for x in _ID_CUES.split("|"):
         found.setdefault(x, []).append(("id", 0))
+    for k, (cues, _) in enumerate(_NAME_CONTEXTS + _GENERAL):
+        for x in cues:
+            found.setdefault(x.lower(), []).append(("cue", k))
     a = ahocorasick.Automaton()
     for x, what in found.items():
         a.add_word(x, tuple(what))
@@ -208,20 +212,20 @@ def _compiled():
         "phone": [c(p, regex.I) for p in _PHONES],
         "not_phone": c(_NOT_PHONE),
         "address": [c(p) for p in _ADDRESSES],
-        "context": [(cues, c(p, regex.M)) for cues, p in _NAME_CONTEXTS],
+        "context": [c(p, regex.M) for _, p in _NAME_CONTEXTS],
         "given": low,
         "digit": c(r"\d"),
         "birth": c(r"(?i:\bborn(?: on)?|\bd\.?o\.?b\.?|\bdate of birth|\bgeb(?:oren|\.)?(?: am)?|\bgeburtsdatum|\bnée? le|\bdate de naissance|\bnacid[oa] el|\bfecha de nacimiento)[ \t:]{1,3}(?P<n>\d{1,4}([-./])\d{1,2}\2\d{1,4})(?![\w])"),
         "id_word": c(r"(?<![\w])(?:ID|id|NI)(?![\w])"),
         "id_shape": c(r"[A-Z][ -]?\d{2}|\d{2}[./-]\d|\d-?[A-Z](?![\w])|[12] \d\d \d"),
-        "general": [(cues, c(p, regex.M)) for cues, p in _GENERAL],
+        "general": [c(p, regex.M) for _, p in _GENERAL],
         "rest": c(rf"{more}(?i:{_PART}){_FAMILY}(?![\w]){_PLACE_AFTER}"),
         "rest_low": c(rf"(?:{_SP}[^\W\d_]\.)?{_SP}{_PART}[^\W\d_]{{4,}}(?:-[^\W\d_]{{3,}})?(?![\w@.+-]*@)(?!{_SP}?[@(\[](?!\w))(?![\w])"),
         "family_before": c(rf"(?<![\w.-])(?P<f>{_FAMILY},{_SP})$"),
         "after_given": c(rf"(?:{_SP}{_INIT})?(?=[;,.)\n]|$)"),
         "initial": c(rf"(?<![\w.-]){_INIT}(?:{_SP}{_INIT})?{_SP}{_PART}{_FAMILY}(?![\w]){_PLACE_AFTER}(?=[.,;:!)<\"]|[ \t]?<|\s*\n|\s*$| hat | también | l['’]a | here| from | at | and | fue | war | was )"),
         "place_before": c(_PLACE_BEFORE),
-        "street": c(r"\b(?:Street|Road|Lane|Avenue|Crescent|Drive|Close|Court|Terrace|Boulevard|Blvd|St|Rd|Ave|Ln|Grove|Way|Gardens|Hill|Mews|Row|Walk|Parade|Rise)\b", regex.I),
+        "odd": c("[" + "".join(map(chr, _SAME_LENGTH)) + "]"),
         "initial_title": c(rf"^(?:M|Dr|Mr|Ms|Sr)\.{_SP}"),
     }
 
@@ -261,7 +265,7 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
     if not text:
         return []
     rx = _compiled()
-    if not text.isascii():
+    if not text.isascii() and rx["odd"].search(text):
         text = text.translate(_SAME_LENGTH)
     taken: list[tuple[int, int, str]] = []
 
@@ -273,29 +277,38 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
     if len(low) != len(text):
         low = "".join(x if len(x) == 1 else ch for ch in text for x in (ch.lower(),))
     given: list[tuple[int, int]] = []
-    streets, labels = set(), False
+    streets, contexts, labels = set(), set(), False
     for last, what in _anchors().iter(low):
         for kind, x in what:
             if kind == "given":
                 a, b = last + 1 - x, last + 1
                 if not (b < len(text) and text[b].isalpha()) and not (a and (text[a - 1].isalnum() or text[a - 1] in "_.@+-")):
                     given.append((a, b))
+            elif kind == "cue":
+                contexts.add(x)
             elif kind == "street":
                 streets.add(x)
             else:
                 labels = True
     if any(c in low for c in _CUES):
-        for quick, p in zip((rx["at"].search(text), " at " in low or "\tat" in low or "at\t" in low), rx["domain"]):
-            if quick:
-                for m in p.finditer(text):
-                    if local := rx["local"].search(text, _word_start(text, m.start()), m.start()):
-                        add("email", local.start(), m.end())
+        end = 0
+        for sign in rx["at"].finditer(text):  # read from the sign on, with a blank before it
+            a = sign.start()
+            m = rx["domain"][0].match(text, a - (a > end and text[a - 1] in " \t")) if a >= end else None
+            if m:
+                end = m.end()
+                if local := rx["local"].search(text, _word_start(text, m.start()), m.start()):
+                    add("email", local.start(), end)
+        if " at " in low or "\tat" in low or "at\t" in low:
+            for m in rx["domain"][1].finditer(text):
+                if local := rx["local"].search(text, _word_start(text, m.start()), m.start()):
+                    add("email", local.start(), m.end())
     if rx["digit"].search(text):
         for p in rx["labelled"] if labels or rx["id_word"].search(text) else ():
             for m in p.finditer(text):
                 if sum(ch.isdigit() for ch in m["n"]) >= 4:
                     add("identity", *m.span("n"))
-        for p in rx["address"][:2] if rx["street"].search(text) else ():
+        for p in rx["address"][:2] if 0 in streets else ():
             for m in p.finditer(text):
                 a = m.start()
                 if unit := rx["unit"].search(text, max(0, a - 24), a):
@@ -321,10 +334,8 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
             for m in p.finditer(text):
                 if not rx["not_phone"].search(text[max(0, m.start() - 16) : m.start()]):
                     add("identity", *m.span())
-    for cues, p in rx["context"]:
-        if not any(c in text for c in cues):
-            continue
-        for m in p.finditer(text):
+    for k, p in enumerate(rx["context"]):
+        for m in p.finditer(text) if k in contexts else ():
             a, b = m.span("n")
             name = m["n"]
             if title := rx["initial_title"].match(name):
@@ -342,8 +353,8 @@ def find_items(text: str | None) -> list[tuple[str, int, int]]:
             add("name", a, m.end())
         elif word[0].isupper() and (f := rx["family_before"].search(text, _word_start(text, a, 4), a)) and (m := rx["after_given"].match(text, b)):
             add("name", f.start("f"), m.end())
-    for cues, p in rx["general"]:
-        if any(c in text for c in cues):
+    for k, p in enumerate(rx["general"], len(rx["context"])):
+        if k in contexts:
             for m in p.finditer(text):
                 if not (set(m["n"].split()) & _NO_PERSON) and not before(m.start("n")):
                     add("name", *m.span("n"))
