@@ -114,6 +114,10 @@ def viterbi(candidates: DataFrame, transitions: DataFrame, piece: int = PIECE) -
     t = transitions.select(F.col("trace").cast("bigint").alias("trace"), F.col("step").cast("int").alias("step"), F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b"), F.col("cost").cast("double").alias("cost")).filter("cost is not null")
     c, t = (x.withColumn("piece", F.floor(F.col("step") / piece).cast("int")) for x in (c, t))
     ship(c.sparkSession)
+    c = cut(c)
+    if not c.filter("piece > 0").head(1):  # all traces are of one piece: nothing to join
+        return c.groupBy("trace").cogroup(t.groupBy("trace")).applyInPandas(_one_piece, _OUT)
+    t = cut(t)
     ways = cut(c.groupBy("trace", "piece").cogroup(t.groupBy("trace", "piece")).applyInPandas(partial(_ways, piece=piece), _WAYS))
     marks = cut(ways.groupBy("trace").applyInPandas(partial(_chain, piece=piece), _MARKS))
     chosen = c.join(marks.withColumnRenamed("exit", "out"), ["trace", "piece"])
@@ -181,15 +185,28 @@ def _walk_back(key, left, right, piece: int):  # noqa: ANN001, ANN202
     begin = int(key[1]) * piece
     entry, last, out, base = int(left["entry"].iloc[0]), int(left["last"].iloc[0]), int(left["out"].iloc[0]), float(left["base"].iloc[0])
     layers = _piece(left, right, begin, [entry], [base])
-    rows = []
     at = [k for k, x in enumerate(layers) if x[0] == last][0]
-    j = int(np.searchsorted(layers[at][1], out))
+    return _frame([(key[0], *r) for r in _back(layers, at, int(np.searchsorted(layers[at][1], out)), begin)], _OUT)
+
+
+def _back(layers: list[tuple], at: int, j: int, begin: int) -> list[tuple[int, int, float]]:
+    """(step, candidate, cost) from the first step of a piece to candidate ``j`` of layer ``at``."""
+    rows = []
     while at >= 0 and layers[at][0] >= begin:
         step, own, total, prev = layers[at]
-        rows.append((key[0], step, int(own[j]), float(total[0][j])))
+        rows.append((step, int(own[j]), float(total[0][j])))
         j = int(prev[0][j])
         at -= 1
-    return _frame(rows[::-1], _OUT)
+    return rows[::-1]
+
+
+def _one_piece(key, left, right):  # noqa: ANN001, ANN202
+    """The sequence of a trace of one piece."""
+    layers = _piece(left, right, 0, None, None) if len(left) else []
+    if not layers:
+        return _frame([], _OUT)
+    _, own, total, _ = layers[-1]
+    return _frame([(key[0], *r) for r in _back(layers, len(layers) - 1, int(np.lexsort((own, total[0]))[0]), 0)], _OUT)
 
 
 def rank_candidates(snaps: DataFrame, most: int) -> DataFrame:
