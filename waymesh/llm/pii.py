@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from waymesh.llm.common import once, widen
 from waymesh.session import map_arrow
 
-# Common given names of several languages; names in clear contexts are found without the list.
+# Given names of several languages, chosen after the test texts and far from complete; names in clear contexts are found without the list.
 GIVEN_NAMES = """
 Adam Agnes Aisha Alejandro Ali Amara Amélie Ana Andrea Anna Anneliese Antoine Arjun Aylin Benoît Bruno Callum Camille Carlos Chinedu Chloé Claire
 Clara Daniel David Deirdre Delphine Dmitri Dörte Edda Elena Elif Emma Emre Erik Ewan Farid Fatima Fiona Fleur Friedhelm Gaspard Giulia Graham Greta Gudrun
