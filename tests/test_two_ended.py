@@ -61,3 +61,22 @@ def test_copies_of_the_graph(spark):
     requests = spark.range(3000).selectExpr("id as request", "id % 500 as source", "id * 31 % 500 as target")
     plan = search.pair_weights(edges, requests)
     assert plan.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and plan.count() > 0
+
+
+def test_bounds_by_features():
+    """What a label has left, by either end, is bounded by the features of the two nodes it goes between."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 50
+    arcs = pa.RecordBatch.from_pydict({"base": np.arange(n - 1), "adj": np.arange(1, n), "w": np.full(n - 1, 1000)})
+    at = pa.RecordBatch.from_pydict({"node": np.arange(n), "f": [[np.radians(50 + i * 1e-3), np.radians(8.0), 5.0] for i in range(n)]})
+    rows = [r for it in (two_ended._pack_arcs(iter([arcs])), two_ended._pack_features(iter([at]))) for r in it]
+    data = [[r.column(c)[0].as_py() for c in ("a", "b", "c")] for r in rows]
+    g = two_ended._Graph([tuple(data[0])], [tuple(data[1][:2])])
+    s, t = np.array([3, 10]), np.array([40, 12])
+    left = two_ended._left(g, np.array([5, 2 * n + n + 11]), s, t)
+    step = 5 * 6_371_000 * np.radians(1e-3)
+    assert np.allclose(left, [35 * step, step], atol=2)
+    dist = np.full(4 * n, two_ended.INF)
+    assert two_ended._search(g, s, t, dist).tolist() == [37_000, 2_000] and (dist == two_ended.INF).all()
