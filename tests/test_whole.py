@@ -89,3 +89,19 @@ def test_contraction_ends_when_no_node_can_be_taken_out(spark):
     assert levels.filter(f"level = {contraction.CORE}").count() <= 1
     pairs = spark.createDataFrame([(0, 40), (33, 2), (7, 7)], "source bigint, target bigint")
     assert {(r["source"], r["target"]): r["w"] for r in contraction.hierarchy_search(levels, up, pairs).collect()} == {(0, 40): 40, (33, 2): 31, (7, 7): 0}
+
+
+def test_sweep_finds_what_a_plain_search_finds(spark):
+    """One source and all targets: no search from each target, and no parts of shortcuts that nobody asks for."""
+    import random
+
+    from waymesh.operators import contraction, search
+
+    r = random.Random(8)
+    rows = [(r.randrange(60), r.randrange(60), i, r.randrange(1, 40)) for i in range(150)]
+    edges = spark.createDataFrame(rows, "base bigint, adj bigint, edge bigint, w bigint")
+    levels, up = contraction.contract(edges, None, None, parts=False)
+    assert up.columns == ["base", "adj", "w"] and levels.filter(f"level < {contraction.CORE}").count() > 0
+    src = spark.createDataFrame([(5,), (6,), (5,)], "source bigint")
+    got = sorted(tuple(x) for x in contraction.sweep(levels, up, src).collect())
+    assert got == sorted(tuple(x) for x in search.shortest(edges, src.distinct()).select("source", "node", "w").collect())
