@@ -80,3 +80,71 @@ def test_bounds_by_features():
     assert np.allclose(left, [35 * step, step], atol=2)
     dist = np.full(4 * n, two_ended.INF)
     assert two_ended._search(g, s, t, dist).tolist() == [37_000, 2_000] and (dist == two_ended.INF).all()
+
+
+def written(spark):
+    """Bytes of shuffle that all stages so far have written."""
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, none, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_the_graph_is_written_once(spark):
+    """All blocks read one copy; the graph was written for each of them, after two joins of all its arcs with places."""
+    cores = spark.sparkContext.defaultParallelism
+    edges = spark.range(400_000).selectExpr("pmod(xxhash64(id), 40000) as base", "pmod(xxhash64(id, 1), 40000) as adj", "id as edge", "1000 + pmod(xxhash64(id, 2), 1000000) as w")
+    requests = spark.range(200).selectExpr("id as request", "id * 97 % 40000 as source", "id * 31 % 40000 as target")
+    places = spark.range(40_000).selectExpr("id as node", "47 + id % 200 * 1e-3 as lat", "8 + id div 200 * 1e-3 as lon")
+    assert two_ended.copies(200, 400_000, cores) == cores > 3
+    before = written(spark)
+    got = search.pair_weights(edges, requests, places=places).count()
+    assert got > 100 and 400_000 * 4 < written(spark) - before < 400_000 * 12
+
+
+@pytest.mark.parametrize("packed", [two_ended.PACKED_ARCS, 0])
+def test_places(spark, packed):
+    """Bounds by the least weight a metre, with places for all nodes and for all but one, which may be a short way to anywhere."""
+    r = random.Random(8)
+    at = [(i, 47 + r.random(), 8 + r.random()) for i in range(40)]
+    places = spark.createDataFrame([*at, (77, 47.0, 8.0), (None, 47.0, 8.0)], "node bigint, lat double, lon double")
+    metres = lambda a, b: 111_195 * ((at[a][1] - at[b][1]) ** 2 + (0.68 * (at[a][2] - at[b][2])) ** 2) ** 0.5
+    ends = [(r.randrange(40), r.randrange(40)) for _ in range(300)]
+    edges = [(a, b, i, 1 if 0 in (a, b) else int(metres(a, b)) + 2) for i, (a, b) in enumerate(ends)]
+    req = [(i, i % 40, i // 40) for i in range(0, 1600, 1 if packed else 40)]
+    odd = places.selectExpr("node", "if(node = 0, double('nan'), lat) as lat", "lon")
+    for e, known in ((edges, places.filter("node <> 0")), (edges, odd), ([(a, b, i, w) for a, b, i, w in edges if 0 not in (a, b)], places)):
+        trees = {s: plain(e, s) for s in range(40)}
+        want = {i: trees[s][t] for i, s, t in req if t in trees[s]}
+        got = search.pair_weights(spark.createDataFrame(e, E), spark.createDataFrame(req, R), packed_arcs=packed, places=known).collect()
+        assert len(got) == len(want) and {x["request"]: x["w"] for x in got} == want
+
+
+def test_astar_beeline_where_a_customer_is_missing(spark, tmp_path):
+    """An order of no customer is an edge like others in the SQL; bounds that knew nothing of it missed ways over it."""
+    from waymesh.plans import graph_queries
+
+    r, n = random.Random(1), 30
+    at = [(47 + k * 7919 % 10_000 * 1e-5, 8 + k * 104_729 % 10_000 * 1e-5) for k in range(n + 1)]
+    rows, edges = [], []
+    for k in r.sample(range(10_000), 240):
+        a, b = r.randrange(n + 1), (k * 7919 + 13) % n
+        w = 1 if 0 in (a, b) else int(111_195 * ((at[a][0] - at[b][0]) ** 2 + (0.68 * (at[a][1] - at[b][1])) ** 2) ** 0.5) + 2
+        rows.append((k, a, float(w), "F", "1-URGENT"))
+        edges += [(a, b, k, w)] * (a != b)
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderstatus string, o_orderpriority string")
+    orders.selectExpr("*", "timestamp '1995-01-01' as o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(1, n + 1).selectExpr("id as c_custkey", "1 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(300).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    trees = {s: plain(edges, s) for s in range(n + 1)}
+    want = {k: w for k in range(300) if (w := trees[k * 7 % n + 1].get(k * 31 % n + 1)) is not None}
+    got = graph_queries.astar_beeline(spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {x["request"]: x["w"] for x in got} == want
+
+
+def test_requests_of_several_rows(spark):
+    """A block of more requests than a packed row holds."""
+    cores = spark.sparkContext.defaultParallelism
+    n = cores * two_ended.CHUNK * 11 // 10
+    edges = spark.createDataFrame([(i, (i + 1) % 5, i, 10**i) for i in range(5)], E)
+    got = search.pair_weights(edges, spark.range(n).selectExpr("id as request", "id % 5 as source", "(id + 2) % 5 as target"))
+    assert sorted(tuple(x) for x in got.groupBy("w").count().collect()) == sorted((10**i + 10 ** ((i + 1) % 5), n // 5) for i in range(5))

@@ -1,11 +1,11 @@
 """Least weights between many pairs of nodes, searched from both ends over a packed graph.
 
 A table of requests meets one graph, and each request needs a small part of it
-that nobody knows before.  So the graph is packed, some 10 bytes an arc, and
-sent once to each of a few blocks of requests, no more of them than there are
-cores and however many requests there are; a block unpacks it and answers its
-requests in groups over plain arrays.  Graphs of more than ``PACKED_ARCS`` arcs
-don't fit a task; see ``search.pair_weights`` for these.
+that nobody knows before.  So the graph is packed, some 10 bytes an arc,
+written once, and read by each of a few blocks of requests, no more of them
+than there are cores and however many requests there are; a block unpacks it
+and answers its requests in groups over plain arrays.  Graphs of more than
+``PACKED_ARCS`` arcs don't fit a task; see ``search.pair_weights`` for these.
 """
 
 from __future__ import annotations
@@ -18,22 +18,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymesh.operators.fragments import INF, _gather, lower_bound
+from waymesh.functions.geo import MEAN_RADIUS_M
+from waymesh.operators.fragments import INF, _gather, great_circle, lower_bound
 from waymesh.session import map_arrow
 
 #: Arcs of a graph that a task unpacks: some 45 bytes each at the peak, so about 550 MB.
 PACKED_ARCS = 12_000_000
 #: Numbers of features that are sent with a graph, 8 bytes each.
 PACKED_NUMBERS = 16_000_000
-#: Arcs or nodes of one packed row.
+#: Arcs, nodes or requests of one packed row.
 CHUNK = 250_000
 #: Labels that a group of requests has room for, 8 bytes each.
 GROUP_SLOTS = 12_000_000
 #: Arcs that are unpacked in the time of one request.
 ARCS_A_REQUEST = 20_000
 
-PAIR, ARCS, FEATURES = 0, 1, 2
+HEAD, ARCS, FEATURES, PLACES = 0, 1, 2, 3
 _PACKED = "kind int, n int, a binary, b binary, c binary"
+_PAIRS = "part int, request binary, source binary, target binary"
 
 
 def copies(n_requests: int, n_arcs: int, cores: int) -> int:
@@ -88,10 +90,16 @@ def _pack_arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _row(ARCS, len(base), base[:1].tobytes() + _narrow(steps), _narrow(adj[order]), _narrow(w[order]))
 
 
-def _pack_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack_features(batches: Iterator[pa.RecordBatch], kind: int = FEATURES) -> Iterator[pa.RecordBatch]:
     for t in _chunks(batches):
         f = t.column("f").combine_chunks()
-        yield _row(FEATURES, t.num_rows, _narrow(t.column("node").to_numpy()), f.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes(), b"")
+        yield _row(kind, t.num_rows, _narrow(t.column("node").to_numpy()), f.flatten().to_numpy(zero_copy_only=False).astype(float).tobytes(), b"")
+
+
+def _pack_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["request", "source", "target"]
+    for i, t in enumerate(_chunks(batches)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *[pa.array([_narrow(t.column(c).to_numpy())], pa.binary()) for c in names]], names=["part", *names])
 
 
 # --------------------------------------------------------------------------- in one block
@@ -100,7 +108,7 @@ def _pack_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 class _Graph:
     """Arcs of both directions over slots: a node's number, and that plus ``n`` for searches against the arcs."""
 
-    def __init__(self, arcs: list[tuple[bytes, bytes, bytes]], known: list[tuple[bytes, bytes]]) -> None:
+    def __init__(self, arcs: list[tuple[bytes, bytes, bytes]], known: list[tuple[bytes, bytes]], places: bool = False) -> None:
         base, adj, w = self._ends(arcs)
         low, high = (min(base.min(), adj.min()), max(base.max(), adj.max())) if len(base) else (0, -1)
         self.ids = None
@@ -124,6 +132,10 @@ class _Graph:
         self.feature = None
         if known:
             self._lay(known)
+            if places:
+                self._rate(base, adj, w)
+        if self.feature is not None:
+            self.reach = _most(self.feature[self.known])
 
     @staticmethod
     def _ends(arcs: list[tuple[bytes, bytes, bytes]]) -> list[np.ndarray]:
@@ -145,6 +157,18 @@ class _Graph:
                 self.feature, self.known = np.zeros((self.n, f.shape[1])), np.zeros(self.n, bool)
             self.feature[at[ok]], self.known[at[ok]] = f[ok], True
 
+    def _rate(self, base: np.ndarray, adj: np.ndarray, w: np.ndarray) -> None:
+        """Give places the least weight a metre of all arcs.  An arc to where no place is known may be of any length, so there is no bound then."""
+        self.feature = np.column_stack([self.feature, np.zeros(self.n)])
+        met = self.count[: self.n] + self.count[self.n :] > 0
+        rate = INF if len(w) and self.known[met].all() else 0
+        for i in range(0, len(w) if rate else 0, CHUNK):
+            metres = great_circle(self.feature[base[i : i + CHUNK]], self.feature[adj[i : i + CHUNK]])
+            rate = min(rate, (w[i : i + CHUNK] / np.maximum(metres, 0.001)).min())
+        self.feature[:, 2] = rate
+        if rate <= 0:
+            self.feature = None
+
     def code(self, x: np.ndarray) -> np.ndarray:
         """Numbers of nodes, below zero for those that no arc has."""
         if self.ids is None:
@@ -154,6 +178,15 @@ class _Graph:
         return np.where(self.ids[at] == x, at, -1).astype(np.int32)
 
 
+def _most(f: np.ndarray) -> int:
+    """No bound by these features is above it."""
+    if not len(f):
+        return 0
+    spread = np.nanmax(np.vstack([f, np.full(f.shape[1], -np.inf)]), axis=0) - np.nanmin(np.vstack([f, np.full(f.shape[1], np.inf)]), axis=0)
+    most = MEAN_RADIUS_M * (spread[0] + spread[1]) * f[:, 2].max() if f.shape[1] == 3 else spread.max()
+    return int(min(max(most * (1 + 1e-6), 0) + 1, INF // 2))
+
+
 def _distinct(x: np.ndarray) -> np.ndarray:
     """Sorted without repeats; ``np.unique`` hashes these, which takes several times as long."""
     x = np.sort(x)
@@ -197,8 +230,10 @@ def _search(g: _Graph, s: np.ndarray, t: np.ndarray, dist: np.ndarray) -> np.nda
         ok = w + np.minimum(other, far) < best[end >> 1]
         to, w = to[ok], w[ok]
         if g.feature is not None and len(to):
-            ok = w + _left(g, to, s, t) < best[end[ok] >> 1]
-            to, w = to[ok], w[ok]
+            most = best[end[ok] >> 1]
+            near = np.flatnonzero(w + g.reach >= most)  # a bound tells nothing of the others
+            out = near[w[near] + _left(g, to[near], s, t) >= most[near]]
+            to, w = np.delete(to, out), np.delete(w, out)
         np.minimum.at(dist, to, w)
         to = _distinct(to)
         touched.append(to)
@@ -223,21 +258,23 @@ def _left(g: _Graph, to: np.ndarray, s: np.ndarray, t: np.ndarray) -> np.ndarray
 
 
 def _answer(batches: Iterator[pa.RecordBatch], group_slots: int) -> Iterator[pa.RecordBatch]:
-    arcs, known, pairs = [], [], []
+    arcs, known, pairs, places = [], [], [], False
     for b in batches:
-        kind = b.column("kind").to_numpy()
-        for i in np.flatnonzero(kind == ARCS).tolist():
-            arcs.append(tuple(b.column(c)[i].as_py() for c in ("a", "b", "c")))
-        for i in np.flatnonzero(kind == FEATURES).tolist():
-            known.append(tuple(b.column(c)[i].as_py() for c in ("a", "b")))
-        if (kind == PAIR).any():
-            pairs.append(np.stack([b.column(c).filter(pa.array(kind == PAIR)).to_numpy() for c in ("request", "source", "target")]))
+        for i, kind in enumerate(b.column("kind").to_pylist()):
+            at = lambda *names: tuple(b.column(c)[i].as_py() for c in names)  # noqa: B023, E731
+            if kind == HEAD:
+                pairs.append(np.stack([_wide(x).astype(np.int64) for x in at("request", "source", "target")]))
+            elif kind == ARCS:
+                arcs.append(at("a", "b", "c"))
+            else:
+                known.append(at("a", "b"))
+                places |= kind == PLACES
     if not pairs:
         return
     request, s, t = np.concatenate(pairs, axis=1)
     w = np.full(len(request), INF)
     w[s == t] = 0
-    g = _Graph(arcs, known)
+    g = _Graph(arcs, known, places)
     arcs.clear()
     known.clear()
     if g.n:
@@ -252,17 +289,22 @@ def _answer(batches: Iterator[pa.RecordBatch], group_slots: int) -> Iterator[pa.
     yield pa.RecordBatch.from_arrays([pa.array(request[ok]), pa.array(w[ok])], names=["request", "w"])
 
 
-def pair_weights(edges: DataFrame, requests: DataFrame, n_arcs: int, features: DataFrame | None = None, group_slots: int = GROUP_SLOTS) -> DataFrame:
-    """(request, w) of requests(request, source, target) over edges(base, adj, w), of which there are ``n_arcs``; see ``search.pair_weights``."""
+def pair_weights(edges: DataFrame, requests: DataFrame, n_arcs: int, features: DataFrame | None = None, group_slots: int = GROUP_SLOTS, places: bool = False) -> DataFrame:
+    """(request, w) of requests(request, source, target) over edges(base, adj, w), of which there are ``n_arcs``; see ``search.pair_weights``.
+
+    With ``places``, f of features(node, f) is (y, x) in radians, and blocks
+    find the least weight a metre themselves.
+    """
     spark = edges.sparkSession
     n = copies(requests.count(), n_arcs, spark.sparkContext.defaultParallelism)
-    no = [F.lit(None).cast("bigint").alias(c) for c in ("request", "source", "target")]
-    graph = map_arrow(edges.select(*[F.col(c).cast("bigint").alias(c) for c in ("base", "adj", "w")]), _pack_arcs, _PACKED)
+    head = spark.range(1).select(F.lit(HEAD).alias("kind"), F.lit(0).alias("n"), *[F.lit(None).cast("binary").alias(c) for c in "abc"])
+    graph = head.unionByName(map_arrow(edges.select(*[F.col(c).cast("bigint").alias(c) for c in ("base", "adj", "w")]), _pack_arcs, _PACKED))
     if features is not None:
         known = features.select(F.col("node").cast("bigint").alias("node"), F.col("f").cast("array<double>").alias("f")).filter("node is not null")
-        graph = graph.unionByName(map_arrow(known, _pack_features, _PACKED))
-    graph = graph.select("kind", "n", "a", "b", "c", *no, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    none = F.lit(None).cast("binary")
-    pairs = requests.select(F.lit(PAIR).alias("kind"), F.lit(1).alias("n"), none.alias("a"), none.alias("b"), none.alias("c"), *[F.col(c).cast("bigint").alias(c) for c in ("request", "source", "target")], F.pmod(F.xxhash64("request"), F.lit(n)).cast("int").alias("block"))
-    rows = graph.unionByName(pairs).repartitionById(n, F.col("block"))
+        graph = graph.unionByName(map_arrow(known, partial(_pack_features, kind=PLACES if places else FEATURES), _PACKED))
+    ids = ["request", "source", "target"]
+    blocks = requests.select(*[F.col(c).cast("bigint").alias(c) for c in ids]).repartitionById(n, F.pmod(F.xxhash64("request"), F.lit(n)).cast("int"))
+    # a product of n partitions with one: all blocks read the one copy of the graph, which no other join or shuffle does; requests come with its head
+    rows = map_arrow(blocks, _pack_pairs, _PAIRS).hint("shuffle_replicate_nl").join(graph.repartition(1), (F.col("part") == 0) | (F.col("kind") == HEAD))
+    rows = rows.select("kind", "a", "b", "c", *[F.when(F.col("kind") == HEAD, F.col(c)).alias(c) for c in ids])
     return map_arrow(rows, partial(_answer, group_slots=group_slots), "request bigint, w bigint")
